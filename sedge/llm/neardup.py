@@ -5,7 +5,8 @@
 2. Bands with an equal in another class make candidates. A band's members are first
    compared with its smallest only (a star), so a band of any size gives one pair a member.
 3. Signatures of a candidate are compared batch by batch; it is dropped as
-   soon as the posterior chance that its similarity reaches the threshold is under MISS.
+   soon as the posterior chance that its similarity reaches the threshold is under MISS. Looks use 16 bits of
+   LOOKS entries; chance agreements only keep a pair longer.
 4. Survivors are confirmed on the full sets.
 5. Classes that share a band but are in different components after that are compared pair by pair (in random
    stars, then all), so no link is lost to the stars.
@@ -27,9 +28,11 @@ from .words import Words, flat, mix, pieces
 
 #: A pair at the threshold of 0.8 shares no band with a chance of (1 - 0.8 ** 6) ** 48 = 5e-7.
 BANDS, ROWS = 48, 6
-#: Signature entries compared at once, and the chance of dropping a true link in one look.
-BATCH, MISS = 32, 1e-8
-U32, U64 = np.uint32, np.uint64
+#: Signature entries kept for looks at a pair, how many a look compares, and the chance of dropping a true link in one look.
+LOOKS, BATCH, MISS = 128, 32, 1e-8
+#: So many ids (8 bytes each) are broadcast to pick their texts while these are read; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+U16, U32, U64 = np.uint16, np.uint32, np.uint64
 
 _rng = np.random.default_rng(20_240_601)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | U64(1)).astype(U32)
@@ -76,7 +79,7 @@ def _featured(batches, words: int):
                 band = salts.copy()
                 for k in range(ROWS):
                     band = mix(band ^ rows[:, k])
-                signatures.append(low.tobytes())
+                signatures.append((low[:LOOKS] >> U32(8)).astype(U16).tobytes())
                 bands.append(band.astype(np.int64))
             else:
                 signatures.append(None)
@@ -90,7 +93,7 @@ def _packed_sets(batches, words: int):
 
 
 @cache
-def least_matches(per_cent: int, entries: int = BANDS * ROWS) -> tuple[int, ...]:
+def least_matches(per_cent: int, entries: int = LOOKS) -> tuple[int, ...]:
     """For 1, 2, .. batches: the fewest equal entries with which a pair stays.
 
     With a flat prior, m equal of n entries give similarity a Beta(m + 1, n - m + 1); its chance of s
@@ -108,7 +111,7 @@ def least_matches(per_cent: int, entries: int = BANDS * ROWS) -> tuple[int, ...]
 
 def _unpruned(batches, least: tuple[int, ...]):
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), U32).reshape(len(batch), -1) for c in ("sa", "sb"))
+        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), U16).reshape(len(batch), -1) for c in ("sa", "sb"))
         stay, m = np.arange(len(batch)), np.zeros(len(batch), np.int64)
         for k, low in enumerate(least):
             part = slice(k * BATCH, (k + 1) * BATCH)
@@ -158,7 +161,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
 
     def linked(pairs: DataFrame) -> DataFrame:
         left = checkpointed(_with(pairs, signatures, "signature").mapInArrow(lambda it: _unpruned(it, least_matches(per_cent)), "a long, b long"))
-        ids = left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct()
+        ids = checkpointed(left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(lambda it: _packed_sets(it, words), "doc_id long, shingles binary")
         return _with(left, sets, "shingles").mapInArrow(lambda it: _confirmed(it, per_cent), "a long, b long")
 
