@@ -9,7 +9,7 @@
    LOOKS entries; chance agreements only keep a pair longer.
 4. Survivors are confirmed on the full sets.
 5. Classes that share a band but are in different components after that are compared pair by pair (in random
-   stars, then all), so no link is lost to the stars.
+   stars, then all that counts of their shingles by hash range do not rule out), so no link is lost to the stars.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ BANDS, ROWS = 48, 6
 LOOKS, BATCH, MISS = 128, 32, 1e-8
 #: So many ids (8 bytes each) are broadcast to pick their texts while these are read; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Counts that stand for a set where a whole band is compared, and rows that are compared at once.
+PROFILE, CELL = 128, 4096
 U16, U32, U64 = np.uint16, np.uint32, np.uint64
 
 _rng = np.random.default_rng(20_240_601)
@@ -130,6 +132,55 @@ def _confirmed(batches, per_cent: int):
         yield pa.record_batch([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _profiled(batches, words: int):
+    """How many shingles of each document fall in each of PROFILE ranges."""
+    for batch in batches:
+        counted = [np.bincount((x >> U64(40)).astype(np.int64) % PROFILE, minlength=PROFILE).astype(np.uint32).tobytes() for x in _sets(batch, words)]
+        yield pa.record_batch([batch["doc_id"], pa.array(counted, pa.binary())], names=["doc_id", "profile"])
+
+
+def _cell_pairs(rows: pa.Table, per_cent: int) -> pa.Table:
+    """Pairs of a cell's documents, of different components, that profiles do not rule out.
+
+    Two sets share at most the sum of the smaller counts, so what is left out has no link.
+    """
+    rows = rows.sort_by([("band", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("doc_id", "ascending")])
+    band, lo, hi, block, ids, comp = (rows[c].to_numpy() for c in ("band", "lo", "hi", "block", "doc_id", "component"))
+    x = np.frombuffer(b"".join(rows["profile"].to_pylist()), U32).reshape(len(rows), PROFILE).astype(np.int32)
+    size = x.sum(axis=1)
+    cuts = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), True])
+    found_a, found_b = [], []
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        names, inverse, n = np.unique(comp[i:j], return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            continue
+        few = np.flatnonzero(inverse != n.argmax())  # all but the largest component, each against all
+        for k in few.tolist():
+            other = inverse != inverse[k]
+            if lo[i] != hi[i]:
+                other &= block[i:j] != block[i + k]
+            at = np.flatnonzero(other)
+            both = np.minimum(x[i + k], x[i + at]).sum(axis=1)
+            near = at[100 * both >= per_cent * (size[i + k] + size[i + at] - both)]
+            found_a.append(np.full(len(near), ids[i + k]))
+            found_b.append(ids[i + near])
+    a = np.concatenate([np.zeros(0, np.int64), *found_a])
+    b = np.concatenate([np.zeros(0, np.int64), *found_b])
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
+
+
+def _met_in_cells(tagged: DataFrame, profiles: DataFrame, per_cent: int) -> DataFrame:
+    """Candidate pairs of different components in a band; a large band is cut into cells of CELL rows each way."""
+    blocks = tagged.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    dealt = tagged.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "doc_id", "component")
+    groups = max(4, tagged.count() // CELL)
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(groups)).cast("int")).join(profiles, "doc_id")
+    return cells.groupBy("bucket").applyInArrow(lambda t: _cell_pairs(t, per_cent), "a long, b long")
+
+
 def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """a, b, sa, sb: the values of both sides."""
     left = values.select(F.col("doc_id").alias("a"), F.col(column).alias("sa"))
@@ -159,11 +210,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
     shared = entries.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     entries = checkpointed(entries.join(shared, "band").select("band", "doc_id", "low"))
 
+    def picked(ids: DataFrame) -> DataFrame:
+        ids = checkpointed(ids.distinct())
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
     def linked(pairs: DataFrame) -> DataFrame:
         left = checkpointed(_with(pairs, signatures, "signature").mapInArrow(lambda it: _unpruned(it, least_matches(per_cent)), "a long, b long"))
-        ids = checkpointed(left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct())
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(lambda it: _packed_sets(it, words), "doc_id long, shingles binary")
+        ids = left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id")))
+        sets = picked(ids).mapInArrow(lambda it: _packed_sets(it, words), "doc_id long, shingles binary")
         return _with(left, sets, "shingles").mapInArrow(lambda it: _confirmed(it, per_cent), "a long, b long")
 
     links = checkpointed(linked(entries.where("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()))
@@ -176,8 +230,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
             drawn = tagged.groupBy("band").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("band", "doc_id", F.lit(k))).alias("c"))
             met = tagged.join(drawn, "band").where("component != c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:
-            other = tagged.select("band", F.col("doc_id").alias("a"), F.col("component").alias("other"))
-            met = tagged.join(other, "band").where("component < other").select("a", F.col("doc_id").alias("b"))
+            tagged = checkpointed(tagged)
+            met = _met_in_cells(tagged, picked(tagged.select("doc_id")).mapInArrow(lambda it: _profiled(it, words), "doc_id long, profile binary"), per_cent)
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = checkpointed(links.unionByName(linked(met)))
     whole = components(links)

@@ -58,3 +58,13 @@ def test_chain_of_copies(spark):
 
 def test_empty(spark):
     assert run(spark, [], 2) == {}
+
+
+def test_large_band_is_cut_into_cells(spark, monkeypatch):
+    from sedge.llm import neardup
+
+    monkeypatch.setattr(neardup, "CELL", 7)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(d, " ".join(r.choice("xyz") + str(r.random()) if r.random() < 0.07 else w for w in base)) for d in range(60)]
+    assert run(spark, rows, 2) == brute(rows, 2)
