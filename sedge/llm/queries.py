@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, rules, sharding, substrings
+from . import decontaminate, neardup, personal, pieces, rules, sharding, substrings
+
+
+#: Vocabulary files of public tokenizers; a parameter of the operators.
+TOKENIZERS = os.environ.get("SEDGE_TOKENIZERS", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +23,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.read(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, personal.KINDS), F.sha2(personal.written(F.col("base")), 256).alias("base_sha256"), personal.written(F.col("spans")).alias("spans"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -33,7 +56,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op7_minhash_neardup, op9_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_sentencepiece, op6_personal_data, op7_minhash_neardup, op8_decontamination, op9_sharding, op10_substring_dedup)}
 
 #: Words of each document, split at ASCII white space.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
