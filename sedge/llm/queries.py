@@ -7,17 +7,25 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, personal, pieces, rules, sharding, substrings
+from . import decontaminate, neardup, personal, pieces, quality, rules, sharding, substrings, tokenfiles
 
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
 TOKENIZERS = os.environ.get("SEDGE_TOKENIZERS", "/opt/tokenizers")
+#: The free id of the byte-pair vocabularies, and how they split text before merging.
+SEPARATOR = 50256
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -27,6 +35,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.read(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of whole texts; file names hang on partitions and are left out."""
+    ranks, pattern = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN
+    return tokenfiles.document_token_counts(table(spark, sf_dir, "documents"), ranks, pattern, SEPARATOR).select("doc_id", "n_tokens")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find_personal(table(spark, sf_dir, "documents"))
 
@@ -56,7 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_sentencepiece, op6_personal_data, op7_minhash_neardup, op8_decontamination, op9_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_sentencepiece, op5_token_counts, op6_personal_data, op7_minhash_neardup, op8_decontamination, op9_sharding, op10_substring_dedup)}
 
 #: Words of each document, split at ASCII white space.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
