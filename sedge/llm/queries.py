@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, personal, pieces, quality, rules, sharding, substrings, tokenfiles
+from . import decontaminate, neardup, personal, pieces, pitmanyor, quality, rules, sharding, substrings, tokenfiles
 
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
@@ -26,6 +26,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -70,7 +74,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_sentencepiece, op5_token_counts, op6_personal_data, op7_minhash_neardup, op8_decontamination, op9_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pitman_yor, op3_quality_rules, op4_sentencepiece, op5_token_counts, op6_personal_data, op7_minhash_neardup, op8_decontamination, op9_sharding, op10_substring_dedup)}
 
 #: Words of each document, split at ASCII white space.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
