@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +27,15 @@ from .words import U64, Words, flat, mix, pieces
 CONTEXT, PARENT, SWEEPS = (0.8, 2.0), (0.6, 10.0), 4
 #: Customers of a restaurant in one bucket; entries that a bucket holds; customers seated singly before blocks of an eighth.
 SALT, BUCKET_ROWS, SINGLY = 1 << 21, 1 << 20, 64
+SEGMENT_BYTES = 16 << 20
 END, START = U64(0xE0D0_0000_0000_0001), U64(0x57A2_7000_0000_0001)
 _SHORT = U64(24)
-_LOG = 12.0  # steps of a doubling in which a pair's word frequency is sent
+_LOG = 5.0  # steps of a doubling in which a pair's word frequency is sent
 
-_REQUEST = pa.schema([("bucket", pa.int32()), ("seg", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_REQUEST_DDL = "bucket int, seg int, kind int, a binary, b binary, c binary"
-_PAIRS = pa.schema([("bucket", pa.int32()), ("seg", pa.int32()), *((c, pa.binary()) for c in ("ctx", "salt", "parts", "n", "low", "high", "count", "freq"))])
-_PAIRS_DDL = "bucket int, seg int, ctx binary, salt binary, parts binary, n binary, low binary, high binary, count binary, freq binary"
+_REQUEST = pa.schema([("bucket", pa.int32()), ("seg", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("totals", pa.list_(pa.float64()))])
+_REQUEST_DDL = "bucket int, seg int, kind int, a binary, b binary, c binary, totals array<double>"
+_PAIRS = pa.schema([("bucket", pa.int32()), ("seg", pa.int32()), *((c, pa.binary()) for c in ("ctx", "top", "salt", "parts", "n", "low", "high", "count", "freq", "over"))])
+_PAIRS_DDL = "bucket int, seg int, ctx binary, top binary, salt binary, parts binary, n binary, low binary, high binary, count binary, freq binary, over binary"
 #: kinds of rows: words a segment asks for, training counts, tables of dishes, tables of contexts, answers about pairs, answers about words.
 ASK, COUNTS, DISHES, CONTEXTS, OF_PAIRS, OF_WORDS, TOTALS = range(7)
 
@@ -67,9 +69,8 @@ def reseat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.rand
 class Segment:
     """Tokens of a segment's documents: words (index into vocabulary), contexts (START: its length) and distinct pairs."""
 
-    def __init__(self, docs: pa.Table):
-        text, offsets = flat(docs["text"])
-        learn = np.asarray(docs["learn"]).astype(bool)
+    def __init__(self, text: np.ndarray, offsets: np.ndarray, learn: np.ndarray, ids: np.ndarray | None = None):
+        self.ids = ids
         words, lengths = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for first, last in pieces(offsets):
             w = Words(text, offsets, first, last, lower=True)
@@ -84,6 +85,16 @@ class Segment:
         self.learn = learn[self.doc]
         self.vocabulary, self.word = np.unique(tokens, return_inverse=True)
 
+    @classmethod
+    def unpacked(cls, rows: pa.Table) -> Segment:
+        parts = []
+        for blob in rows["docs"].to_pylist():
+            raw = zstandard.decompress(blob)
+            n = int.from_bytes(raw[:8], "little")
+            parts.append((np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n), np.frombuffer(raw, np.uint8, n, 8 + 16 * n), np.frombuffer(raw, np.uint8, -1, 8 + 17 * n)))
+        ids, lengths, learn, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return cls(text, np.r_[0, np.cumsum(lengths)], learn.astype(bool), ids)
+
     def pair(self) -> None:
         v = len(self.vocabulary)
         context = np.r_[v, self.word[:-1]]
@@ -103,7 +114,7 @@ class Segment:
         key = mix(ctx * U64(0x9E3779B97F4A7C15) + salt)
         order = np.lexsort((dish, key))
         key, ctx, dish, salt, parts = (x[order] for x in (key, ctx, dish, salt, parts))
-        freq = np.round(_LOG * np.log2(np.maximum(known[self.follower[order]], 1))).astype(np.uint16)
+        freq = np.round(_LOG * np.log2(np.maximum(known[self.follower[order]], 1))).astype(np.uint8)
         return order, X.bucket_cuts(key, buckets), key, ctx, dish, salt, parts, self.count[order], freq
 
 
@@ -115,13 +126,13 @@ def _learned_words(batches, buckets: int):
     def flush():
         h, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
         n = np.bincount(inverse, np.concatenate([n for _, n in held]), len(h)).astype(np.int64)
-        rows = [(b, -1, COUNTS, h[i:j].tobytes(), n[i:j].tobytes(), b"") for b, i, j in X.slices(X.bucket_cuts(h, buckets))]
+        rows = [(b, -1, COUNTS, h[i:j].tobytes(), n[i:j].tobytes(), b"", None) for b, i, j in X.slices(X.bucket_cuts(h, buckets))]
         yield from X.table(_REQUEST, rows).to_batches()
 
     for batch in batches:
         for at in range(0, len(batch), 1024):
             part = batch.slice(at, 1024)
-            s = Segment(part)
+            s = Segment(*flat(part["text"]), np.asarray(part["learn"]).astype(bool))
             n = np.bincount(s.word, s.learn, len(s.vocabulary)).astype(np.int64)
             held.append((s.vocabulary[n > 0], n[n > 0]))
             size += len(s.word)
@@ -140,9 +151,24 @@ def _sum_words(rows: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([rows["bucket"][0].as_py()], pa.int32()), "a": [h.tobytes()], "b": [n.tobytes()], "types": [len(h)], "tokens": [int(n.sum())]})
 
 
+def _packed(batches):
+    """The documents of a batch for each segment, as one compressed row."""
+    for batch in batches:
+        batch = pa.Table.from_batches([batch]).sort_by("seg")
+        text, offsets = flat(batch["text"])
+        seg, ids, learn = (np.asarray(batch[c]) for c in ("seg", "doc_id", "learn"))
+        ids = np.asarray(batch["doc_id"].fill_null(0)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1], True]) if len(seg) else [0]
+        rows = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            raw = (int(j - i).to_bytes(8, "little"), ids[i:j].tobytes(), np.diff(offsets[i : j + 1]).tobytes(), learn[i:j].astype(np.uint8).tobytes(), text[offsets[i] : offsets[j]].tobytes())
+            rows.append((int(seg[i]), zstandard.compress(b"".join(raw), 1)))
+        yield from X.table(pa.schema([("seg", pa.int32()), ("docs", pa.binary())]), rows).to_batches()
+
+
 def _ask(docs: pa.Table, buckets: int) -> pa.Table:
-    s, seg = Segment(docs), docs["seg"][0].as_py()
-    return X.table(_REQUEST, [(b, seg, ASK, s.vocabulary[i:j].tobytes(), b"", b"") for b, i, j in X.slices(X.bucket_cuts(s.vocabulary, buckets))])
+    s, seg = Segment.unpacked(docs), docs["seg"][0].as_py()
+    return X.table(_REQUEST, [(b, seg, ASK, s.vocabulary[i:j].tobytes(), b"", b"", None) for b, i, j in X.slices(X.bucket_cuts(s.vocabulary, buckets))])
 
 
 def _of_kind(rows: pa.Table, kind: int) -> list[dict]:
@@ -157,10 +183,10 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.nd
     return np.where(keys[at] == asked, values[at], values.dtype.type(0))
 
 
-def _tell_counts(rows: pa.Table) -> pa.Table:
+def _tell_counts(asked: pa.Table, rows: pa.Table) -> pa.Table:
     counts = _of_kind(rows, COUNTS)
     h, n = (np.frombuffer(counts[0][c], t) if counts else np.zeros(0, t) for c, t in (("a", U64), ("b", np.int64)))
-    told = [(r["bucket"], r["seg"], OF_WORDS, _looked_up(h, n, np.frombuffer(r["a"], U64)).tobytes(), b"", b"") for r in _of_kind(rows, ASK)]
+    told = [(r["bucket"], r["seg"], OF_WORDS, _looked_up(h, n, np.frombuffer(r["a"], U64)).tobytes(), b"", b"", None) for r in asked.to_pylist()]
     return X.table(_REQUEST, told)
 
 
@@ -169,10 +195,19 @@ def _gathered(replies: pa.Table, kind: int, column: str, dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for _, x in got)])
 
 
+def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """40 bits as 32 and 8."""
+    return (h & U64(0xFFFFFFFF)).astype(np.uint32), (h >> U64(32)).astype(np.uint8)
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(U64) | high.astype(U64) << U64(32)
+
+
 def _send_pairs(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     if not len(docs):
         return X.table(_PAIRS, [])
-    s, seg = Segment(docs), docs["seg"][0].as_py()
+    s, seg = Segment.unpacked(docs), docs["seg"][0].as_py()
     s.pair()
     _, cuts, key, ctx, dish, salt, parts, count, freq = s.deal(_gathered(replies, OF_WORDS, "a", np.int64), buckets)
     rows = []
@@ -181,8 +216,9 @@ def _send_pairs(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         n = np.diff(np.r_[first, j - i]).astype(np.uint32)
         first += i
-        own = dish[i:j]
-        rows.append((b, seg, ctx[first].tobytes(), salt[first].tobytes(), parts[first].tobytes(), n.tobytes(), (own & U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (own >> U64(32)).astype(np.uint8).tobytes(), count[i:j].tobytes(), freq[i:j].tobytes()))
+        many = np.flatnonzero(count[i:j] > 254).astype(np.uint32)
+        small = (x.tobytes() for x in (*_halves(ctx[first]), salt[first], parts[first], n, *_halves(dish[i:j]), np.minimum(count[i:j], 255).astype(np.uint8), freq[i:j]))
+        rows.append((b, seg, *small, np.r_[many, count[i:j][many]].astype(np.uint32).tobytes()))
     return X.table(_PAIRS, rows)
 
 
@@ -194,11 +230,15 @@ def _sampled(blocks: pa.Table, words: int, tokens: int, vocabulary: int) -> pa.T
         return np.concatenate([np.frombuffer(r[column], dtype) for r in rows])
 
     n = joined("n", np.uint32)
-    ctx = np.repeat(joined("ctx", U64), n)
+    ctx = np.repeat(_whole(joined("ctx", np.uint32), joined("top", np.uint8)), n)
     salt, parts = np.repeat(joined("salt", np.uint32), n), np.repeat(joined("parts", np.uint32), n)
-    dish = joined("low", np.uint32).astype(U64) | joined("high", np.uint8).astype(U64) << U64(32)
-    count, freq = joined("count", np.uint32), joined("freq", np.uint16)
-    sizes = [len(r["count"]) // 4 for r in rows]
+    dish = _whole(joined("low", np.uint32), joined("high", np.uint8))
+    freq, sizes, counted = joined("freq", np.uint8), [len(r["count"]) for r in rows], []
+    for r in rows:
+        own, (many, exact) = np.frombuffer(r["count"], np.uint8).astype(np.uint32), np.frombuffer(r["over"], np.uint32).reshape(2, -1)
+        own[many] = exact
+        counted.append(own)
+    count = np.concatenate(counted)
     key = mix(ctx * U64(0x9E3779B97F4A7C15) + salt)
     order = np.lexsort((dish, key))
     k, d = key[order], dish[order]
@@ -231,7 +271,7 @@ def _sampled(blocks: pa.Table, words: int, tokens: int, vocabulary: int) -> pa.T
         own = pair[at : at + size]
         large = np.flatnonzero(c[own] > 254)
         exact = np.r_[large.astype(np.float64), c[own[large]].astype(np.float64), mean[own[large]]]
-        out.append((bucket, r["seg"], OF_PAIRS, np.minimum(c[own], 255).astype(np.uint8).tobytes(), part[own].tobytes(), exact.tobytes()))
+        out.append((bucket, r["seg"], OF_PAIRS, np.minimum(c[own], 255).astype(np.uint8).tobytes(), part[own].tobytes(), exact.tobytes(), None))
         at += size
     seated = tables > 0
     dishes, inverse = np.unique(dish[lead][seated], return_inverse=True)
@@ -240,7 +280,7 @@ def _sampled(blocks: pa.Table, words: int, tokens: int, vocabulary: int) -> pa.T
     contexts, inverse = np.unique(ctx[lead], return_inverse=True)
     per_context = np.bincount(inverse, mean_room[room] / np.bincount(room, minlength=rooms)[room], len(contexts)).astype(np.float32)
     for kind, h, x in ((DISHES, dishes, per_dish), (CONTEXTS, contexts, per_context)):
-        out += [(b, -1, kind, h[i:j].tobytes(), x[i:j].tobytes(), b"") for b, i, j in X.slices(X.bucket_cuts(h << _SHORT, words))]
+        out += [(b, -1, kind, h[i:j].tobytes(), x[i:j].tobytes(), b"", None) for b, i, j in X.slices(X.bucket_cuts(h << _SHORT, words))]
     return X.table(_REQUEST, out)
 
 
@@ -255,41 +295,46 @@ def _parent(rows: pa.Table, vocabulary: int):
     """Dishes of a bucket's part of the parent restaurant: customers and mean tables."""
     dish, customers = _added(_of_kind(rows, DISHES), np.uint32)
     discount, strength = PARENT
-    bucket = rows["bucket"][0].as_py()
-    rng = np.random.default_rng([20_240_608, int(bucket)])
+    rng = np.random.default_rng([20_240_608, int(rows["bucket"][0].as_py()) if len(rows) else -1])
     new = np.full(len(dish), (strength + discount * vocabulary) / (vocabulary + 1))  # a table at least for each word
     tables = sum((reseat(customers.astype(np.int64), new, discount, rng) for _ in range(SWEEPS - 1)), np.zeros(len(dish))) / (SWEEPS - 1)
     return dish, customers, tables
 
 
-def _tell_words(rows: pa.Table, vocabulary: int) -> pa.Table:
-    """Answers about words: discounted parent customers and tables of the word's own restaurant; the bucket's totals (seg -1)."""
+def _tell_words(asked: pa.Table, rows: pa.Table, vocabulary: int) -> pa.Table:
+    """Answers about words: discounted parent customers and tables of the word's own restaurant; ."""
     dish, customers, tables = _parent(rows, vocabulary)
     contexts, of_context = _added(_of_kind(rows, CONTEXTS), np.float32)
     counts = _of_kind(rows, COUNTS)
     h, n = (np.frombuffer(counts[0][c], t) if counts else np.zeros(0, t) for c, t in (("a", U64), ("b", np.int64)))
     left = customers - PARENT[0] * tables
     out = []
-    for r in _of_kind(rows, ASK):
-        asked = np.frombuffer(r["a"], U64)
-        short = asked >> _SHORT
-        out.append((r["bucket"], r["seg"], OF_WORDS, _looked_up(h, n, asked).tobytes(), _looked_up(dish, left, short).astype(np.float32).tobytes(), _looked_up(contexts, of_context, short).astype(np.float32).tobytes()))
-    start = float(_looked_up(contexts, of_context, np.array([START >> _SHORT]))[0])
-    out.append((rows["bucket"][0].as_py(), -1, TOTALS, np.array([customers.sum(), tables.sum(), start]).tobytes(), b"", b""))
+    for r in asked.to_pylist():
+        words = np.frombuffer(r["a"], U64)
+        short = words >> _SHORT
+        out.append((r["bucket"], r["seg"], OF_WORDS, _looked_up(h, n, words).tobytes(), _looked_up(dish, left, short).astype(np.float32).tobytes(), _looked_up(contexts, of_context, short).astype(np.float32).tobytes(), None))
     return X.table(_REQUEST, out)
 
 
+def _totals(rows: pa.Table, vocabulary: int) -> pa.Table:
+    """Customers and tables of the bucket's part of the parent, and tables of the restaurant of text starts."""
+    dish, customers, tables = _parent(rows, vocabulary)
+    contexts, of_context = _added(_of_kind(rows, CONTEXTS), np.float32)
+    start = float(_looked_up(contexts, of_context, np.array([START >> _SHORT]))[0])
+    return X.table(_REQUEST, [(rows["bucket"][0].as_py(), -1, TOTALS, b"", b"", b"", [float(customers.sum()), float(tables.sum()), start])])
+
+
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def _scored(docs: pa.Table, replies: pa.Table, buckets: int, tokens: int, vocabulary: int) -> pa.Table:
     if not len(docs):
         return X.table(_SCORES, [])
-    s = Segment(docs)
+    s = Segment.unpacked(docs)
     s.pair()
     known = _gathered(replies, OF_WORDS, "a", np.int64)
     left, own_tables = _gathered(replies, OF_WORDS, "b", np.float32), _gathered(replies, OF_WORDS, "c", np.float32)
-    totals = np.frombuffer(_of_kind(replies, TOTALS)[0]["a"])
+    totals = _of_kind(replies, TOTALS)[0]["totals"]
     order, cuts, *_ = s.deal(known, buckets)
     c, t = np.zeros(len(order)), np.zeros(len(order))
     got = {r["bucket"]: r for r in _of_kind(replies, OF_PAIRS)}
@@ -308,7 +353,7 @@ def _scored(docs: pa.Table, replies: pa.Table, buckets: int, tokens: int, vocabu
     base = np.log10((known + 1) / (tokens + vocabulary + 1))
     n = len(s.lengths)
     return pa.table([
-        docs["doc_id"], pa.array(s.lengths), pa.array(np.bincount(s.doc, known[s.word] > 0, n).astype(np.int64)),
+        pa.array(s.ids), pa.array(s.lengths), pa.array(np.bincount(s.doc, known[s.word] > 0, n).astype(np.int64)),
         pa.array(np.bincount(s.doc, base[s.word], n)), pa.array(np.bincount(s.doc, np.log10(p)[s.which], n)),
     ], schema=_SCORES)
 
@@ -319,34 +364,36 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     Tokens are words (A-Z lowered) and one end for each text. held_out: a condition on doc_id; its rows
     are scored, not learned. n_known counts tokens seen in training; base_score is of single words with one added
     to each count. Perplexity is 10 ** (-score / n_tokens). Null and empty texts are one end. With nothing to learn from, all
-    probabilities are uniform. Repeated rows count each; an empty table gives an empty result; other columns
+    probabilities are uniform. Repeated rows count each, null ids are dropped; an empty table gives an empty result; other columns
     are ignored.
     """
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2 if held_out is None else held_out
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("learn", ~F.coalesce(held_out, F.lit(False)))
+    docs = docs.where(F.col("doc_id").isNotNull())
     size = X.total_bytes(docs, "text")
-    words, pairs, segments = max(4, size // (32 << 20)), max(4, size // 8 // BUCKET_ROWS), max(4, size // X.SEGMENT_BYTES)
+    words, pairs, segments = max(4, size // (32 << 20)), max(4, size // 8 // BUCKET_ROWS), max(4, size // SEGMENT_BYTES)
 
     learned = docs.mapInArrow(lambda it: _learned_words(it, words), _REQUEST_DDL)
     learned = checkpointed(learned.groupBy("bucket").applyInArrow(_sum_words, "bucket int, a binary, b binary, types long, tokens long"))
     types, tokens = learned.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    empty = F.lit(b"")
-    counts = learned.select("bucket", F.lit(-1).alias("seg"), F.lit(COUNTS).alias("kind"), "a", "b", empty.alias("c"))
+    none = F.lit(None).cast("array<double>")
+    counts = learned.select("bucket", F.lit(-1).alias("seg"), F.lit(COUNTS).alias("kind"), "a", "b", F.lit(b"").alias("c"), none.alias("totals"))
 
-    segs = docs.select(X.segment(segments, F.col("doc_id"), F.col("text")), "doc_id", "text", "learn")
+    # from here on one query, whose exchanges (documents by segment, words by bucket, pairs by bucket) are each written once and read again
+    segs = docs.select(X.segment(segments, F.col("doc_id"), F.col("text")), "doc_id", "text", "learn").mapInArrow(_packed, "seg int, docs binary")
     whole = segs.groupBy("seg")
-    asked = whole.applyInArrow(lambda t: _ask(t, words), _REQUEST_DDL)
-    told = asked.unionByName(counts).groupBy("bucket").applyInArrow(_tell_counts, _REQUEST_DDL)
+    asked = whole.applyInArrow(lambda t: _ask(t, words), _REQUEST_DDL).groupBy("bucket")
+    told = asked.cogroup(counts.groupBy("bucket")).applyInArrow(_tell_counts, _REQUEST_DDL)
     sent = whole.cogroup(told.groupBy("seg")).applyInArrow(lambda d, r: _send_pairs(d, r, pairs), _PAIRS_DDL)
     sampled = sent.groupBy("bucket").applyInArrow(lambda t: _sampled(t, words, tokens, types), _REQUEST_DDL)
-    sampled = checkpointed(sampled)
     tables = sampled.where(F.col("kind").isin(DISHES, CONTEXTS))
-    answers = asked.unionByName(counts).unionByName(tables).groupBy("bucket").applyInArrow(lambda t: _tell_words(t, types), _REQUEST_DDL)
-    answers = checkpointed(answers)
-    parts = [np.frombuffer(r.a) for r in answers.where(F.col("kind") == TOTALS).select("a").collect()]  # three numbers for each bucket of words
-    totals = np.sum(parts, axis=0) if parts else np.zeros(3)
-    total = docs.sparkSession.range(segments).select(F.lit(-1).alias("bucket"), F.col("id").cast("int").alias("seg"), F.lit(TOTALS).alias("kind"), F.lit(totals.tobytes()).alias("a"), empty.alias("b"), empty.alias("c"))
-    replies = sampled.where(F.col("kind") == OF_PAIRS).unionByName(answers.where("seg >= 0")).unionByName(total)
+    seats = counts.unionByName(tables).groupBy("bucket")
+    answers = asked.cogroup(seats).applyInArrow(lambda a, t: _tell_words(a, t, types), _REQUEST_DDL)
+    sums = seats.applyInArrow(lambda t: _totals(t, types), _REQUEST_DDL).agg(F.array(*(F.sum(F.col("totals")[k]) for k in range(3))).alias("totals"))
+    # one row of three numbers for each segment
+    total = docs.sparkSession.range(segments).withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one")
+    total = total.select(F.lit(-1).alias("bucket"), F.col("id").cast("int").alias("seg"), F.lit(TOTALS).alias("kind"), *(F.lit(b"").alias(c) for c in "abc"), "totals")
+    replies = sampled.where(F.col("kind") == OF_PAIRS).unionByName(answers).unionByName(total)
     scored = whole.cogroup(replies.groupBy("seg")).applyInArrow(lambda d, r: _scored(d, r, pairs, tokens, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
