@@ -33,7 +33,7 @@ LOOKS, BATCH, MISS = 128, 32, 1e-8
 #: So many ids (8 bytes each) are broadcast to pick their texts while these are read; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Counts that stand for a set where a whole band is compared, and rows that are compared at once.
-PROFILE, CELL = 128, 4096
+PROFILE, CELL = 512, 4096
 U16, U32, U64 = np.uint16, np.uint32, np.uint64
 
 _rng = np.random.default_rng(20_240_601)
