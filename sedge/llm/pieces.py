@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Cut texts whose ids a task remembers; when full it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _PART = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -69,7 +69,8 @@ class Codec:
                     score[done], back[done] = s, (1, -1)
 
         for end, (length, i, s) in self.automaton.iter(part):
-            bytes_to(end)
+            if done < end:
+                bytes_to(end)
             if (s := score[end + 1 - length] + s) > score[end + 1]:
                 score[end + 1], back[end + 1] = s, (length, i)
         bytes_to(n)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 U64 = np.uint64
 
 _rng = np.random.default_rng(0x5EED)
