@@ -133,21 +133,25 @@ def _confirmed(batches, per_cent: int):
 
 
 def _profiled(batches, words: int):
-    """How many shingles of each document fall in each of PROFILE ranges."""
+    """How many shingles of each document fall in each of PROFILE ranges: a byte each, and the sum of what bytes can't hold."""
     for batch in batches:
-        counted = [np.bincount((x >> U64(40)).astype(np.int64) % PROFILE, minlength=PROFILE).astype(np.uint32).tobytes() for x in _sets(batch, words)]
-        yield pa.record_batch([batch["doc_id"], pa.array(counted, pa.binary())], names=["doc_id", "profile"])
+        counted, over = [], []
+        for x in _sets(batch, words):
+            n = np.bincount((x >> U64(40)).astype(np.int64) % PROFILE, minlength=PROFILE)
+            counted.append(np.minimum(n, 255).astype(np.uint8).tobytes())
+            over.append(int(np.maximum(n - 255, 0).sum()))
+        yield pa.record_batch([batch["doc_id"], pa.array(counted, pa.binary()), pa.array(over, pa.int64())], names=["doc_id", "profile", "over"])
 
 
 def _cell_pairs(rows: pa.Table, per_cent: int) -> pa.Table:
     """Pairs of a cell's documents, of different components, that profiles do not rule out.
 
-    Two sets share at most the sum of the smaller counts, so what is left out has no link.
+    Two sets share at most the sum of the smaller counts (and the smaller excess), so what is left out has no link.
     """
     rows = rows.sort_by([("band", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("doc_id", "ascending")])
-    band, lo, hi, block, ids, comp = (rows[c].to_numpy() for c in ("band", "lo", "hi", "block", "doc_id", "component"))
-    x = np.frombuffer(b"".join(rows["profile"].to_pylist()), U32).reshape(len(rows), PROFILE).astype(np.int32)
-    size = x.sum(axis=1)
+    band, lo, hi, block, ids, comp, over = (rows[c].to_numpy() for c in ("band", "lo", "hi", "block", "doc_id", "component", "over"))
+    x = np.frombuffer(b"".join(rows["profile"].to_pylist()), np.uint8).reshape(len(rows), PROFILE)
+    size = x.sum(axis=1, dtype=np.int64) + over
     cuts = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), True])
     found_a, found_b = [], []
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -160,7 +164,7 @@ def _cell_pairs(rows: pa.Table, per_cent: int) -> pa.Table:
             if lo[i] != hi[i]:
                 other &= block[i:j] != block[i + k]
             at = np.flatnonzero(other)
-            both = np.minimum(x[i + k], x[i + at]).sum(axis=1)
+            both = np.minimum(x[i + k], x[i + at]).sum(axis=1, dtype=np.int64) + np.minimum(over[i + k], over[i + at])
             near = at[100 * both >= per_cent * (size[i + k] + size[i + at] - both)]
             found_a.append(np.full(len(near), ids[i + k]))
             found_b.append(ids[i + near])
@@ -231,7 +235,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
             met = tagged.join(drawn, "band").where("component != c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:
             tagged = checkpointed(tagged)
-            met = _met_in_cells(tagged, picked(tagged.select("doc_id")).mapInArrow(lambda it: _profiled(it, words), "doc_id long, profile binary"), per_cent)
+            met = _met_in_cells(tagged, picked(tagged.select("doc_id")).mapInArrow(lambda it: _profiled(it, words), "doc_id long, profile binary, over long"), per_cent)
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = checkpointed(links.unionByName(linked(met)))
     whole = components(links)
