@@ -24,12 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
         moved = near.where(F.col("b") > F.col("a") if large else F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = low.where("a != m").select("a", F.col("m").alias("b"))
         out = moved.unionByName(own) if not large else moved
-        return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     before = None
     while True:
-        edges = checkpointed(star(star(edges, True), False))
+        edges = checkpointed(star(star(edges, True), False).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -237,7 +237,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
             tagged = checkpointed(tagged)
             met = _met_in_cells(tagged, picked(tagged.select("doc_id")).mapInArrow(lambda it: _profiled(it, words), "doc_id long, profile binary, over long"), per_cent)
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = checkpointed(links.unionByName(linked(met)))
+        # what is known goes on as each id's link to its component
+        known = own.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        links = checkpointed(known.unionByName(linked(met)))
     whole = components(links)
     out = members.join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left")
     same = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
