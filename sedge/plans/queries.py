@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sedge.functions import text as T
 from sedge.functions import vectors as V
-from sedge.operators import evaluation, graph, ranking, sequences, tables
+from sedge.operators import aggregates, evaluation, graph, ranking, sequences, tables
+from sedge.streaming import totals as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -415,3 +416,74 @@ def g18_corpus_inventory(spark, d):
     n = F.length("text")
     return table(spark, d, "documents").groupBy("lang", "source").agg(
         F.count("*").alias("documents"), F.sum(n).alias("chars"), F.sum(F.when(n <= 800, 1).otherwise(F.ceil((n - 800) / 700) + 1)).alias("chunks"))
+
+
+# distributions, summaries and text statistics
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'purchase') AS n_purchase,
+ count(*) FILTER (event_type = 'error') AS n_error FROM events GROUP BY 1""")
+def g4_distribution(spark, d):
+    e = table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_type")
+    return aggregates.distribution(e, ["day"], "event_type", ["click", "purchase", "error"])
+
+
+@query("SELECT conv_id, count(*) AS messages, count(DISTINCT role) AS roles, max(turn) AS last_turn, arg_max(length(text), turn) AS last_length FROM conversations GROUP BY conv_id")
+def g10_snapshot_summary(spark, d):
+    c = table(spark, d, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.countDistinct("role").alias("roles"), F.max("turn").alias("last_turn"), F.max_by(F.length("text").cast("long"), "turn").alias("last_length"))
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def g12_nearest_rank(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(aggregates.nearest_rank("value", 0.5).alias("p50"), aggregates.nearest_rank("value", 0.95).alias("p95"))
+
+
+@query("""WITH s AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1), b AS (SELECT * FROM s WHERE event_type = 'click')
+ SELECT s.event_type, s.n - b.n AS d_n, s.users - b.users AS d_users FROM s LEFT JOIN b ON true""")
+def g15_baseline_delta(spark, d):
+    s = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return aggregates.deltas(s, "event_type", "click", ["n", "users"])
+
+
+@query("SELECT source, count(*) AS total, count(*) FILTER (n_chars >= 500) AS qualified, max(n_chars) AS top FROM documents GROUP BY source")
+def g16_lane_summary(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") >= 500).alias("qualified"), F.max("n_chars").alias("top"))
+
+
+@query("""SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+|[\\x{4e00}-\\x{9fff}]+')) AS token FROM documents WHERE lang = 'en') GROUP BY ALL""")
+def g24_term_frequency(spark, d):
+    t = table(spark, d, "documents").where("lang = 'en'")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+|[\\x{4e00}-\\x{9fff}]+)"), F.lit(1))
+    return t.select("doc_id", F.explode(words).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
+ n AS (SELECT DISTINCT left(word, CAST(k AS INT)) AS node FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM w))
+ SELECT count(*) AS nodes, max(length(node)) AS max_depth, (SELECT count(*) FROM w) AS vocabulary FROM n""")
+def g35_trie_stats(spark, d):
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")).distinct()
+    nodes = w.select("word", F.explode(aggregates.prefixes(F.col("word"))).alias("node")).groupBy("node").agg(F.max(F.col("node") == F.col("word")).alias("whole"))
+    return nodes.agg(F.count("*").alias("nodes"), F.max(F.length("node")).cast("long").alias("max_depth"), F.count_if("whole").alias("vocabulary"))
+
+
+@query("SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS words FROM documents")
+def g36_text_stats(spark, d):
+    t = F.col("text")
+    words = F.size(F.regexp_extract_all(t, F.lit("([^ \\t\\n\\r\\f\\x0B]+)"), F.lit(1)))
+    return table(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), (T.length_without(t, "[^\n]") + 1).cast("long").alias("lines"), words.cast("long").alias("words"))
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def g38_distinct_categories(spark, d):
+    return table(spark, d, "documents").select("lang", "source").distinct()
+
+
+# streams
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY event_type")
+def z13_stream_totals(spark, d):
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return streams.totals(stream, ["event_type"], F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
