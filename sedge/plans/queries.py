@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sedge.functions import text as T
 from sedge.functions import vectors as V
 from sedge.operators import aggregates, evaluation, graph, ranking, sequences, tables
+from sedge.sources import files
 from sedge.streaming import totals as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,6 +480,26 @@ def g38_distinct_categories(spark, d):
     return table(spark, d, "documents").select("lang", "source").distinct()
 
 
+# sources
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<nav\\b[^>]*>.*?</nav>', ' ', 'g'), '(?is)<footer\\b[^>]*>.*?</footer>', ' ', 'g'), '(?is)<header\\b[^>]*>.*?</header>', ' ', 'g'), '(?is)<aside\\b[^>]*>.*?</aside>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages)
+ SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article>', 1), ''), nullif(regexp_extract(h, '(?is)<main\\b[^>]*>(.*?)</main>', 1), ''), nullif(regexp_extract(h, '(?is)<body\\b[^>]*>(.*?)</body>', 1), ''), h), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') AS text FROM p""")
+def s7_page_text(spark, d):
+    return table(spark, d, "pages").select("page_id", files.page_text(F.col("html")).alias("text"))
+
+
+@query("SELECT label, count(*) AS vectors, min(len(embedding)) AS least_dimension, max(len(embedding)) AS dimension FROM embeddings GROUP BY label")
+def s16_collection_statistics(spark, d):
+    size = F.size("embedding").cast("long")
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"), F.min(size).alias("least_dimension"), F.max(size).alias("dimension"))
+
+
+@query("SELECT event_id, event_type, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE props->>'k' IS NOT NULL")
+def s17_json_scan(spark, d):
+    return table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k IS NOT NULL")
+
+
 # streams
 
 
