@@ -10,6 +10,8 @@
 4. Survivors are confirmed on the full sets.
 5. Classes that share a band but are in different components after that are compared pair by pair (in random
    stars, then all that counts of their shingles by hash range do not rule out), so no link is lost to the stars.
+   Members of a band of over CELL meet by their rarest shingles in its place: two sets at the threshold share one of
+   the first n - ceil(threshold * n) + 1 in any order of all shingles, so this is exact too.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ LOOKS, BATCH, MISS = 128, 32, 1e-8
 BROADCAST_IDS = 2_000_000
 #: Counts that stand for a set where a whole band is compared, and rows that are compared at once.
 PROFILE, CELL = 512, 4096
+#: Slots in which shingles are counted to put the rare ones first; the order is exact, the counts need not be.
+SLOTS = 1 << 20
 U16, U32, U64 = np.uint16, np.uint32, np.uint64
 
 _rng = np.random.default_rng(20_240_601)
@@ -143,6 +147,45 @@ def _profiled(batches, words: int):
         yield pa.record_batch([batch["doc_id"], pa.array(counted, pa.binary()), pa.array(over, pa.int64())], names=["doc_id", "profile", "over"])
 
 
+def _counted(batches, words: int):
+    """slot, n: how many shingles of a task's documents fall in each of SLOTS."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for x in _sets(batch, words):
+            np.add.at(total, (x % U64(SLOTS)).astype(np.int64), 1)
+    slot = np.flatnonzero(total)
+    for i in range(0, len(slot), 1 << 16):
+        part = slot[i : i + (1 << 16)]
+        yield pa.record_batch([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["slot", "n"])
+
+
+def _prefixes(batches, words: int, per_cent: int, often: np.ndarray):
+    """doc_id and, as band, each of its rarest shingles of which a linked document must share one."""
+    for batch in batches:
+        ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d, x in zip(batch["doc_id"].to_pylist(), _sets(batch, words), strict=True):
+            first = len(x) + (-per_cent * len(x) // 100) + 1
+            found.append(x[np.lexsort((x, often[(x % U64(SLOTS)).astype(np.int64)]))[:first]].astype(np.int64))
+            ids.append(np.full(len(found[-1]), d, np.int64))
+        yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], names=["doc_id", "band"])
+
+
+def _by_rare_shingles(tagged: DataFrame, docs: DataFrame, words: int, per_cent: int) -> DataFrame:
+    """tagged (band, doc_id, component) with shared rare shingles of docs, the texts of its ids, as bands."""
+    slots = docs.mapInArrow(lambda it: _counted(it, words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(often)
+    rare = docs.mapInArrow(lambda it: _prefixes(it, words, per_cent, sent.value), "doc_id long, band long")
+    rare = checkpointed(rare.distinct().join(tagged.select("doc_id", "component").distinct(), "doc_id").select("band", "doc_id", "component"))
+    return rare.join(_open_bands(rare), "band")
+
+
+def _open_bands(tagged: DataFrame) -> DataFrame:
+    """Bands with members of more than one component."""
+    return tagged.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+
+
 def _cell_pairs(rows: pa.Table, per_cent: int) -> pa.Table:
     """Pairs of a cell's documents, of different components, that profiles do not rule out.
 
@@ -180,7 +223,9 @@ def _met_in_cells(tagged: DataFrame, profiles: DataFrame, per_cent: int) -> Data
     dealt = tagged.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "doc_id", "component")
-    groups = max(4, tagged.count() // CELL)
+    # rows as they are after the copies, so that a bucket holds about one cell
+    copied = tagged.groupBy("band").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.ceil(F.col("n") / CELL))).first()[0] or 0
+    groups = max(4, copied // CELL)
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(groups)).cast("int")).join(profiles, "doc_id")
     return cells.groupBy("bucket").applyInArrow(lambda t: _cell_pairs(t, per_cent), "a long, b long")
 
@@ -228,13 +273,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
     for k in range(1, rounds + 1):
         own = components(links)
         tagged = entries.join(own.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        open_bands = tagged.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-        tagged = tagged.join(open_bands, "band")
+        tagged = tagged.join(_open_bands(tagged), "band")
         if k < rounds:  # a star from a member drawn anew
             drawn = tagged.groupBy("band").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("band", "doc_id", F.lit(k))).alias("c"))
             met = tagged.join(drawn, "band").where("component != c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:
             tagged = checkpointed(tagged)
+            hot = checkpointed(tagged.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("band"))
+            if not hot.isEmpty():
+                many = checkpointed(tagged.join(hot, "band"))
+                rare = _by_rare_shingles(many, picked(many.select("doc_id")), words, per_cent)
+                tagged = checkpointed(tagged.join(hot, "band", "left_anti").unionByName(rare))
             met = _met_in_cells(tagged, picked(tagged.select("doc_id")).mapInArrow(lambda it: _profiled(it, words), "doc_id long, profile binary, over long"), per_cent)
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         # what is known goes on as each id's link to its component

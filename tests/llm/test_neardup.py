@@ -68,3 +68,38 @@ def test_large_band_is_cut_into_cells(spark, monkeypatch):
     base = [f"b{i}" for i in range(120)]
     rows = [(d, " ".join(r.choice("xyz") + str(r.random()) if r.random() < 0.07 else w for w in base)) for d in range(60)]
     assert run(spark, rows, 2) == brute(rows, 2)
+
+
+def test_a_bucket_is_about_one_cell(spark, monkeypatch):
+    """One band of 480 members in cells of 16: the copies, 14,400 rows, count for the buckets, not the 480."""
+    import pyarrow as pa
+    from sedge.llm import neardup
+
+    def seen(rows, per_cent):
+        return pa.table({"a": [len(rows)], "b": [0]})
+
+    monkeypatch.setattr(neardup, "CELL", 16)
+    monkeypatch.setattr(neardup, "_cell_pairs", seen)
+    tagged = spark.range(480).selectExpr("7L band", "id doc_id", "id component")
+    profiles = spark.range(480).selectExpr("id doc_id", "cast('' as binary) profile", "0L over")
+    sizes = [r.a for r in neardup._met_in_cells(tagged, profiles, 80).collect()]
+    assert sum(sizes) == 480 * 30 and max(sizes) <= 16 * 16
+
+
+def test_members_of_a_hot_band_meet_by_rare_shingles(spark, monkeypatch):
+    """Texts that share 70 of 100 words are no copies; those of a band need not all meet, and the copies among them are found."""
+    from sedge.llm import neardup
+
+    met, cells = [], neardup._met_in_cells
+
+    def seen(tagged, profiles, per_cent):
+        met.append(max(r["count"] for r in tagged.groupBy("band").count().collect()))
+        return cells(tagged, profiles, per_cent)
+
+    monkeypatch.setattr(neardup, "CELL", 7)
+    monkeypatch.setattr(neardup, "_met_in_cells", seen)
+    same = " ".join(f"s{i}" for i in range(70))
+    rows = [(d, same + " " + " ".join(f"o{d // 2}_{i}" for i in range(30)) + " end" * (d % 2)) for d in range(400)]
+    got = run(spark, rows, 2)
+    assert got == brute(rows, 2) and len({c for _, c, _ in got.values()}) == 200
+    assert met and max(met) <= 7
