@@ -1,6 +1,7 @@
 """A corpus cleaned in five stages, each an operator of sedge.llm over all that its predecessor kept.
 
-Each stage's result is written as Parquet and read again as the next one's documents.
+Each stage's result is written as Parquet and read again as the next one's documents. Within a stage rows are told
+apart by a number of their own, so ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -11,33 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm import decontaminate, neardup, personal, pieces, rules
-from sedge.llm.durable import shared_dir
+from sedge.llm.durable import checkpointed, keyed, shared_dir, unused
 from sedge.llm.queries import TOKENIZERS, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
-    gone = rules.quality_rules(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, key = keyed(docs)
+    gone = rules.quality_rules(rows, id_col=key).where("NOT kept").select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8) stays, the one of the smallest id."""
-    gone = neardup.near_duplicates(docs, words=5).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies (five words, 0.8) stays, one of the smallest id (null: last)."""
+    rows, key = keyed(docs)
+    copies = checkpointed(neardup.near_duplicates(rows, words=5, id_col=key).where("NOT kept").select(F.col("doc_id").alias(key), "component_id"))
+    heads = copies.select(F.col("component_id").alias(key), "component_id").distinct()
+    members = copies.unionByName(heads)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
+    stays = members.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias(key))
+    gone = members.select(key).join(stays, key, "left_anti")
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, within its error budget, go."""
-    gone = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, key = keyed(docs)
+    gone = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows the text."""
-    found = personal.find_personal(docs).where(F.size("spans") > 0).select("doc_id", "spans")
-    text = personal.redacted(F.col("text"), F.coalesce("spans", F.array().cast(personal._SPANS)))
-    clean = docs.join(found, "doc_id", "left").withColumn("text", text)
+    rows, key = keyed(docs)
+    spans = unused(rows, "spans")
+    found = personal.find_personal(rows, id_col=key).where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
+    text = personal.redacted(F.col("text"), F.coalesce(spans, F.array().cast(personal._SPANS)))
+    clean = rows.join(found, key, "left").withColumn("text", text)
     return clean.withColumn("n_chars", F.length("text").cast("long") if "n_chars" in docs.columns else F.lit(None)).select(docs.columns)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +26,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder; an executor's loss does not lose it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """name, lengthened until docs has no such column in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, kept as Parquet in the shared folder so that it stays, and its column's name."""
+    key = unused(docs, "row_key")
+    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    path = f"{shared_dir(docs.sparkSession)}/keyed-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path), key

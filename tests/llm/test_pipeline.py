@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -22,3 +24,30 @@ def test_stages_take_effect(spark, tmp_path):
     assert [set(k) for k in kept] == [{1, 2, 5, 6}, {1, 5, 6}, {1, 6}, {1, 6}]
     assert kept[-1][6] == third + " mail [EMAIL] now"
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 6}
+
+
+def test_rows_of_repeated_and_null_ids(spark, tmp_path):
+    """Every row is judged by its own text; the caller's columns may have any name."""
+    texts = [" ".join(f"{c}{i}" for i in range(100)) for c in "abcdefgh"]
+    item = "which letters follow the seventh word of this rather long question"
+    rows = [
+        (1, texts[0]), (1, texts[0]), (1, "too short"),
+        (2, texts[1] + " " + item + " " + texts[1].upper()), (2, texts[2] + " mail me@site.org now"), (2, "to you@other.com " + texts[3]),
+        (None, "too short"), (None, texts[4]), (None, texts[4]), (0, texts[4] + " x"),
+        (None, texts[5] + " " + item), (None, texts[6] + " mail them@third.net now"),
+    ]
+    schema = "doc_id long, text string, spans string, Row_Key long, component_id string"
+    spark.createDataFrame([(*r, "mine", 7, "own") for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("source", F.lit(None).cast("string"))
+    counts = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        counts.append(docs.count())
+    assert counts == [10, 7, 5, 5]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in docs.collect())
+    assert got == sorted([(1, texts[0]), (2, texts[2] + " mail [EMAIL] now"), (2, "to [EMAIL] " + texts[3]), (0, texts[4] + " x"), (-1, texts[6] + " mail [EMAIL] now")])
+    assert {(r.spans, r.Row_Key, r.component_id) for r in docs.collect()} == {("mine", 7, "own")}
