@@ -429,6 +429,12 @@ def g4_distribution(spark, d):
     return aggregates.distribution(e, ["day"], "event_type", ["click", "purchase", "error"])
 
 
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def g4_distribution_all_types(spark, d):
+    """Of all types, whatever they are; g4_distribution has columns for three."""
+    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
 @query("SELECT conv_id, count(*) AS messages, count(DISTINCT role) AS roles, max(turn) AS last_turn, arg_max(length(text), turn) AS last_length FROM conversations GROUP BY conv_id")
 def g10_snapshot_summary(spark, d):
     c = table(spark, d, "conversations")
@@ -459,6 +465,13 @@ def g24_term_frequency(spark, d):
     return t.select("doc_id", F.explode(words).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
+@query("""SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+|[\\x{4e00}-\\x{9fff}]+')) AS token FROM documents) GROUP BY ALL""")
+def g24_term_frequency_corpus(spark, d):
+    """Of all documents; g24_term_frequency has the English ones."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+|[\\x{4e00}-\\x{9fff}]+)"), F.lit(1))
+    return table(spark, d, "documents").select("doc_id", F.explode(words).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+
+
 @query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
  n AS (SELECT DISTINCT left(word, CAST(k AS INT)) AS node FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM w))
  SELECT count(*) AS nodes, max(length(node)) AS max_depth, (SELECT count(*) FROM w) AS vocabulary FROM n""")

@@ -34,3 +34,10 @@ def test_mmr_takes_the_best_first(spark):
     got = QUERIES["r6_mmr"](spark, SF).toPandas()
     assert (got.groupby("query_id").size() == 10).all()
     assert (got[got.position == 1].query_id == got[got.position == 1].id).all()
+
+
+def test_whole_tables_are_counted(spark):
+    d = QUERIES["g24_term_frequency_corpus"](spark, SF).select("doc_id").distinct()
+    texts = spark.read.parquet(f"{SF}/documents.parquet").where("text rlike '[A-Za-z0-9_]'")
+    assert d.count() == texts.select("doc_id").distinct().count() > texts.where("lang = 'en'").count()
+    assert QUERIES["g4_distribution_all_types"](spark, SF).agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
