@@ -341,6 +341,12 @@ def k9_upsert(spark, d):
     return tables.upsert(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 4 = 0").withColumn("status", F.lit("X")), ["o_orderkey"])
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders""")
+def k9_upsert_all_orders(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    return tables.upsert(o, o.where("o_orderkey % 4 = 0").withColumn("status", F.lit("X")), ["o_orderkey"])
+
+
 @query("""SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey <> 5 OR c_custkey % 2 = 0""")
 def k11_manifest_replace(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -399,6 +405,29 @@ def g29_graph_info(spark, d):
     return graph.expand(seeds, edges).groupBy("hop").agg(F.count("*").alias("nodes"))
 
 
+#: The same over every line, from suppliers of the agreed seed set.
+_WHOLE_GRAPH = _GRAPH.replace(" WHERE l_quantity >= 45", "").replace("s_suppkey % 10", "s_suppkey % 50")
+
+
+def _lines(spark, d):
+    names = F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")
+    return table(spark, d, "lineitem").groupBy(*names).agg((F.max("l_quantity") / 50).alias("weight"))
+
+
+@query(f"WITH {_WHOLE_GRAPH} SELECT node, round(score, 6) AS score, hop FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, hop) AS r FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2)) WHERE r = 1")
+def n2_two_hop_whole_graph(spark, d):
+    seeds = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("score"))
+    return graph.expand(seeds, _lines(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
+ SELECT count(DISTINCT s) + count(DISTINCT p) AS nodes, count(*) AS edges, ['part', 'supplier'] AS labels FROM e""")
+def g29_graph_info_whole(spark, d):
+    edges = _lines(spark, d)
+    nodes = edges.select(F.col("a").alias("node"), F.lit("supplier").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.lit("part").alias("label")))
+    return graph.info(nodes, edges)
+
+
 # sources
 
 

@@ -41,3 +41,11 @@ def test_whole_tables_are_counted(spark):
     texts = spark.read.parquet(f"{SF}/documents.parquet").where("text rlike '[A-Za-z0-9_]'")
     assert d.count() == texts.select("doc_id").distinct().count() > texts.where("lang = 'en'").count()
     assert QUERIES["g4_distribution_all_types"](spark, SF).agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_whole_graph_and_store(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    info = QUERIES["g29_graph_info_whole"](spark, SF).first()
+    assert info.edges == lines.select("l_suppkey", "l_partkey").distinct().count()
+    assert info.nodes == lines.select("l_suppkey").distinct().count() + lines.select("l_partkey").distinct().count() and info.labels == ["part", "supplier"]
+    assert QUERIES["k9_upsert_all_orders"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
