@@ -120,3 +120,55 @@ def test_discovery_and_redaction(spark):
     text = {r.doc_id: r.t for r in df.join(got.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", personal.redacted(df.text, got.spans).alias("t")).collect()}
     assert text[5] == "é call [PHONE] now; of 2005 sheep" and text[100] == "please call [PHONE] now" and text[104] == "no data" and text[102] is None
     assert personal.find_personal(df.limit(0)).count() == 0
+
+
+def test_encode_against_plain_search_over_whole_texts(spark, vocabulary):
+    """Every row, repeated and of any length, has the ids that a plain pass over its parts gives."""
+    r = random.Random(8)
+    texts = [None, "", " ", "  ", "a  ", "▁", "x▁ y", "é" * 700, "漢字かな" * 300, "no\tspace\nhere"] + ["".join(r.choice("the and  ing é漢z,.") for _ in range(r.randint(0, 200))) for _ in range(80)]
+    texts += texts[:30]
+    codec = pieces.Codec(vocabulary)
+
+    def plainly(t):
+        return [i for p in re.findall("▁*[^▁]+|▁+", "▁" + t.replace(" ", "▁")) for i in codec.best(p)] if t else []
+
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, exact string").repartition(3)
+    got = {x.doc_id: x for x in pieces.encode(df, vocabulary).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        assert got[k].ids == plainly(t) and got[k].n_tokens == len(got[k].ids) and got[k].exact == ("▁" not in (t or ""))
+
+
+def test_few_remembered_parts(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    codec, text = pieces.Codec(vocabulary), "one two three four one two five six one seven " * 3
+    assert codec.decode(codec.encode(text)) == text and codec.encode(text) == pieces.Codec(vocabulary).encode(text)
+    assert len(codec.fresh) <= 3 and len(codec.older) <= 3
+
+
+def test_same_ids_as_the_library_gives_for_scored_pieces(tmp_path):
+    """A model of pieces with scores, written by hand: the automaton's ids score what the library's own search finds, and are the same but for ties."""
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    import sentencepiece
+
+    r = random.Random(12)
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = True
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.remove_extra_whitespaces = False
+    names = ["▁", *"abcdeé"] + sorted({r.choice(["", "▁"]) + "".join(r.choice("abcdeé") for _ in range(r.randint(2, 5))) for _ in range(150)})
+    kinds = [("<unk>", 2, 0.0), ("<s>", 3, 0.0), ("</s>", 3, 0.0), *((f"<0x{b:02X}>", 6, 0.0) for b in range(256)), *((n, 1, -r.random() * 4 - 2 * (len(n) == 1)) for n in names)]
+    for name, kind, score in kinds:
+        model.pieces.add(piece=name, type=kind, score=score)
+    path = f"{tmp_path}/own.model"
+    open(path, "wb").write(model.SerializeToString())
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Codec(pieces.Vocabulary.read(path))
+    same = []
+    for _ in range(400):
+        t = "".join(r.choice("aabbcdeé  xß") for _ in range(r.randint(1, 60)))
+        own, theirs = codec.encode(t), library.encode(t)
+        same.append(own == theirs)  # of equal scores the library may take another
+        assert abs(sum(kinds[i][2] for i in own) - sum(kinds[i][2] for i in theirs)) < 1e-4 and library.decode(own) == library.decode(theirs), t
+        assert [i for i in own if 3 <= i < 259] == [i for i in theirs if 3 <= i < 259]
+    assert sum(same) > 200
