@@ -55,7 +55,7 @@ def _anchors(docs: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _send_anchors(docs: pa.Table, window: int, buckets: int) -> pa.Table:
     h, counts = np.unique(_anchors(docs, window)[0], return_counts=True)
     seg = docs["seg"][0].as_py()
-    return X.table(_BLOCKS, [(b, seg, h[i:j].tobytes(), X.pack_bits(counts[i:j] > 1)) for b, i, j in X.slices(X.bucket_cuts(h, buckets))])
+    return X.table(_BLOCKS, [(b, seg, h[i:j].tobytes(), X.pack_bits(counts[i:j] > 1)) for b, i, j in X.dealt(h, buckets)])
 
 
 def _joined(blocks: pa.Table) -> tuple[list[int], list[int], np.ndarray]:
@@ -81,7 +81,7 @@ def _candidates(docs: pa.Table, replies: pa.Table, window: int, buckets: int):
     """Distinct hashes of the windows that hold a shared anchor, each one's first place, and the windows."""
     h, word, at = _anchors(docs, window)
     h, inverse = np.unique(h, return_inverse=True)
-    shared = X.answers(replies, X.bucket_cuts(h, buckets))
+    shared = X.answers(replies, h, buckets)
     hot = word[shared[inverse]] if len(h) else word
     total = int(at[-1])
     reach = np.zeros(total + 1, np.int32)
@@ -110,7 +110,7 @@ def _send_windows(docs: pa.Table, replies: pa.Table, window: int, buckets: int)
     g, first, _, start, at = _candidates(docs, replies, window, buckets)
     ids = docs["doc_id"].to_numpy()[np.searchsorted(at, start[first], "right") - 1]
     seg = docs["seg"][0].as_py()
-    return X.table(_BLOCKS, [(b, seg, g[i:j].tobytes(), ids[i:j].astype(np.int64).tobytes()) for b, i, j in X.slices(X.bucket_cuts(g, buckets))])
+    return X.table(_BLOCKS, [(b, seg, g[i:j].tobytes(), ids[i:j].astype(np.int64).tobytes()) for b, i, j in X.dealt(g, buckets)])
 
 
 def _first_windows(blocks: pa.Table) -> pa.Table:
@@ -128,7 +128,7 @@ def _strip(docs: pa.Table, replies: pa.Table, window: int, buckets: int, schema:
         return X.table(schema, [])
     kinds = replies["kind"].to_numpy()
     g, first, inverse, start, at = _candidates(docs, replies.filter(pa.array(kinds == 1)), window, buckets)
-    leads = X.answers(replies.filter(pa.array(kinds == 2)), X.bucket_cuts(g, buckets))
+    leads = X.answers(replies.filter(pa.array(kinds == 2)), g, buckets)
     gone = np.ones(len(start), bool)
     gone[first[leads]] = False
     cover = np.zeros(int(at[-1]) + 1, np.int32)
