@@ -1,9 +1,11 @@
-"""Personal data: patterns of known shapes, and identifiers found through the words around others.
-
-Known shapes (email, ip, card, phone) are seeds. The words around a mention are its lexical patterns, mentions and patterns
-form a bipartite graph, and Spark scores both sides in turn: a pattern by the share of its distinct values that
-are believed, a value by its best-supported patterns. Number-like or mail-like tokens that no
-shape took are believed, with the kind of their pattern, if the score is high enough.
+"""Personal data: patterns of known shapes, and identifiers found by bootstrapping from the words around others.
+
+Known shapes (email, ip, card, phone) are seeds. The words before and after a mention, each alone and both together,
+are its lexical patterns; values and patterns form a graph that Spark scores round by round. A pattern's weight for a kind is
+the score of its distinct believed values of that kind over all its distinct values and one; a pattern of BELIEF or more is
+trusted, and a number-like or mail-like token that no shape took is believed with the kind and weight of its best
+trusted pattern. Believed values count as seeds in the next round, so they make further patterns trusted, until
+a round believes nothing new.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ _DIGIT = re.compile(r"[0-9]")
 #: A token that could be an identifier of an unknown shape.
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?()[]{}<>\"'|*#$&%"
-#: A pattern counts from so many distinct seed values on; a value is believed from this score on.
-SUPPORT, BELIEF, ROUNDS = 5, 0.9, 3
+_SPACE = frozenset(" \t\n\r\x0b\x0c")
+#: Weight from which a pattern is trusted. As one is added to its values, no pattern of under LEAST values is.
+BELIEF = 0.9
+LEAST = 9
 
 
 def luhn(digits: str) -> bool:
@@ -66,46 +70,62 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def _word_before(text: str, at: int) -> str:
-    stop = at
-    while stop and text[stop - 1] in " \t\n\r\x0b\x0c":
-        stop -= 1
-    start = stop
-    while start and stop - start < 32 and text[start - 1] not in " \t\n\r\x0b\x0c":
-        start -= 1
-    return text[start:stop].lower()
+def word_before(text: str, at: int) -> str:
+    """The last word that ends at or before at, lower case, without marks at its edges; words of marks only are passed over."""
+    while at:
+        while at and text[at - 1] in _SPACE:
+            at -= 1
+        stop = at
+        while at and text[at - 1] not in _SPACE:
+            at -= 1
+        if word := text[at:stop].strip(_EDGE).lower():
+            return word
+    return ""
+
+
+def word_after(text: str, at: int) -> str:
+    """The first word that starts at or after at, likewise."""
+    while at < len(text):
+        while at < len(text) and text[at] in _SPACE:
+            at += 1
+        start = at
+        while at < len(text) and text[at] not in _SPACE:
+            at += 1
+        if word := text[start:at].strip(_EDGE).lower():
+            return word
+    return ""
+
 
+def mentions(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, str, str]]:
+    """(start, end, kind or None, value, word before, word after) of seeds and of tokens of unknown shape.
 
-def mentions(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, str]]:
-    """(start, end, kind or None, value, word before) of seeds and of tokens of unknown shape."""
-    taken = sorted((a, b) for a, b, _ in spans)
+    A token of unknown shape has four digits or an @, is taken without marks at its edges and overlaps no seed.
+    """
     found: list[tuple[int, int, str | None]] = list(spans)
     if _DIGIT.search(text) or "@" in text:
-        k = 0
+        taken, k, reach = sorted((a, b) for a, b, _ in spans), 0, 0
         for m in _TOKEN.finditer(text):
             token = m[0]
             if "@" not in token and sum("0" <= c <= "9" for c in token) < 4:
                 continue
             start = m.start() + len(token) - len(token.lstrip(_EDGE))
             end = m.end() - len(token) + len(token.rstrip(_EDGE))
-            while k < len(taken) and taken[k][1] <= start:
+            while k < len(taken) and taken[k][0] < end:  # seeds that start before the token's end; reach: their furthest end
+                reach = max(reach, taken[k][1])
                 k += 1
-            if start < end and end - start <= 64 and not any(a < end and start < b for a, b in taken[max(0, k - 4) : k + 4]):
+            if start < end and reach <= start:
                 found.append((start, end, None))
-    out = []
-    for start, end, kind in found:
-        out.append((start, end, kind, text[start:end].lower(), _word_before(text, start)))
-    return out
+    return [(start, end, kind, text[start:end].lower(), word_before(text, start), word_after(text, end)) for start, end, kind in found]
 
 
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()),
     ("row", pa.int64()),
     ("base", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))),
-    ("mentions", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("pattern", pa.string())]))),
+    ("mentions", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("left", pa.string()), ("right", pa.string())]))),
 ])
 _SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
-_DDL = f"doc_id long, row long, base {_SPANS}, mentions array<struct<start:bigint,end:bigint,kind:string,value:string,pattern:string>>"
+_DDL = f"doc_id long, row long, base {_SPANS}, mentions array<struct<start:bigint,end:bigint,kind:string,value:string,left:string,right:string>>"
 
 
 def _scanned(batches):
@@ -115,38 +135,52 @@ def _scanned(batches):
             text = t.as_py() or ""
             spans = base_spans(text)
             base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
-            around.append([{"start": a, "end": b, "kind": k, "value": v, "pattern": p} for a, b, k, v, p in mentions(text, spans)])
+            around.append([{"start": a, "end": b, "kind": k, "value": v, "left": p, "right": q} for a, b, k, v, p, q in mentions(text, spans)])
         yield pa.record_batch([batch["doc_id"], batch["row"], pa.array(base, _SCHEMA.field(2).type), pa.array(around, _SCHEMA.field(3).type)], schema=_SCHEMA)
 
 
 def believed(found: DataFrame) -> DataFrame:
-    """value, kind of the unknown values that patterns support; found has kind (null: unknown), value, pattern.
+    """value, kind of the unknown values that bootstrapping reaches; found has kind (null: unknown), value, left, right.
 
-    score(pattern, kind) = sum of its distinct values' scores / (values + 1); a value's score is that of
-    its best pattern. Seeds stay at 1.
+    Of equal weights the kind that is later in the alphabet counts. Each round reads pairs of a pattern and a value, combined before they are
+    shuffled, so a pattern or value may hold any share of them; the driver sees only if something is new.
     """
-    pairs = checkpointed(found.where("pattern != ''").groupBy("pattern", "value").agg(F.max("kind").alias("seed")))
-    known = pairs.where("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    known = checkpointed(known)
-    sizes = pairs.join(known.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias("values"))
-    open_pairs = pairs.where("seed IS NULL").select("pattern", "value").join(known.select("pattern", "kind"), "pattern")
-    open_pairs = checkpointed(open_pairs)
-    scores = None
-    for _ in range(ROUNDS):
-        gained = known.select("pattern", "kind", F.lit(0.0).alias("extra")) if scores is None else open_pairs.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("extra"))
-        patterns = known.join(gained, ["pattern", "kind"], "left").join(sizes, "pattern")
-        patterns = patterns.select("pattern", "kind", ((F.col("seeds") + F.coalesce("extra", F.lit(0.0))) / (F.col("values") + 1)).alias("weight"))
-        scores = checkpointed(open_pairs.join(patterns, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("weight").alias("score")))
-    best = scores.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
-    return best.where(F.col("b.score") >= BELIEF).select("value", F.col("b.kind").alias("kind"))
+    blank = F.lit("")
+
+    def pattern(side: str, left, right):
+        return F.struct(F.lit(side).alias("side"), left.alias("left"), right.alias("right"))
+
+    sides = F.array(pattern("before", F.col("left"), blank), pattern("after", blank, F.col("right")), pattern("both", F.col("left"), F.col("right")))
+    named = F.filter(sides, lambda p: ((p["side"] == "after") | (p["left"] != "")) & ((p["side"] == "before") | (p["right"] != "")))
+    pairs = found.select("value", "kind", F.explode(named).alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
+    # only patterns that could be trusted and have a value to find
+    sizes = pairs.groupBy("pattern").agg(F.count("*").alias("values"), F.count_if(F.col("seed").isNull()).alias("unknown"))
+    sizes = sizes.where((F.col("values") >= LEAST) & (F.col("unknown") > 0)).select("pattern", "values")
+    pairs = checkpointed(pairs.join(sizes, "pattern"))
+    weight = (F.sum("score") / (F.first("values") + 1)).alias("weight")
+    seeds = pairs.where("seed IS NOT NULL").select("pattern", "values", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    unknown = pairs.where("seed IS NULL").select("pattern", "value", "values")
+    known = None
+    while True:
+        support = seeds if known is None else seeds.unionByName(unknown.join(known, "value").select("pattern", "values", "kind", "score"))
+        trusted = support.groupBy("pattern", "kind").agg(weight).where(F.col("weight") >= BELIEF)
+        reached = unknown.join(trusted, "pattern").groupBy("value").agg(F.max(F.struct("weight", "kind")).alias("best"))
+        fresh = reached.select("value", F.col("best.kind").alias("kind"), F.col("best.weight").alias("score"))
+        if known is not None:
+            fresh = fresh.join(known, "value", "left_anti")
+        fresh = checkpointed(fresh)
+        if fresh.isEmpty():
+            return fresh.select("value", "kind") if known is None else known.select("value", "kind")
+        known = fresh if known is None else checkpointed(known.unionByName(fresh))
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and spans: arrays of (start, end, kind) by start, then kind as in KINDS.
 
     base has the known shapes, spans those and the discovered ones. Offsets are code points, the end
-    exclusive. One row for each row of docs, repeated ones too. Null and empty texts have empty arrays; an
-    empty table gives an empty result. Other columns are ignored.
+    exclusive. One row for each row of docs, repeated ones and null ids too. A value counts once for a pattern, however often and
+    in however many rows it stands there. Null and empty texts have empty arrays; texts and words of any length are taken whole; an
+    empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     scanned = checkpointed(thin.mapInArrow(_scanned, _DDL))

@@ -172,3 +172,55 @@ def test_same_ids_as_the_library_gives_for_scored_pieces(tmp_path):
         assert abs(sum(kinds[i][2] for i in own) - sum(kinds[i][2] for i in theirs)) < 1e-4 and library.decode(own) == library.decode(theirs), t
         assert [i for i in own if 3 <= i < 259] == [i for i in theirs if 3 <= i < 259]
     assert sum(same) > 200
+
+
+def plain_bootstrap(texts):
+    """Spans beyond the base of each text, by rounds over plain sets."""
+    every = [[(a, b, kind, v, [(s, x, y) for s, x, y in (("before", p, ""), ("after", "", q), ("both", p, q)) if (s == "after" or p) and (s == "before" or q)]) for a, b, kind, v, p, q in personal.mentions(t, personal.base_spans(t))] for t in texts]
+    values, seed = {}, {}
+    for _, _, kind, v, patterns in (m for d in every for m in d):
+        for p in patterns:
+            values.setdefault(p, set()).add(v)
+            if kind:
+                seed[p, v] = max(kind, seed.get((p, v), ""))
+    known = {}
+    while True:
+        best = {}
+        for p, vs in values.items():
+            for kind in personal.KINDS:
+                score = sum(1.0 if seed.get((p, v)) == kind else known[v][1] if (p, v) not in seed and known.get(v, ("",))[0] == kind else 0.0 for v in vs)
+                if (w := score / (len(vs) + 1)) >= personal.BELIEF:
+                    for v in vs:
+                        if (p, v) not in seed and v not in known:
+                            best[v] = max(best.get(v, (0, "")), (w, kind))
+        if not best:
+            return [[(a, b, known[v][0]) for a, b, kind, v, _ in d if kind is None and v in known] for d in every]
+        known |= {v: (kind, w) for v, (w, kind) in best.items()}
+
+
+def test_values_found_by_patterns_of_a_second_generation(spark):
+    """Seeds stand after "ring", others after "ring" and before "please", others only before "please"."""
+    texts = [f"é ring +1 555 010 {1000 + i} now" for i in range(1500)]
+    texts += [f"so ring 9{i:03d}-{i} please" for i in range(60)] + [f"try {i} and 8{i:03d}-{i}, please" for i in range(1)] + [f"or of 7{i:03d} sheep" for i in range(40)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {r.doc_id: [tuple(x) for x in r.spans if x not in r.base] for r in personal.find_personal(df).collect()}
+    assert got == dict(enumerate(plain_bootstrap(texts)))
+    assert [s[2] for s in got[1500]] == ["phone"] and [s[2] for s in got[1560]] == ["phone"] and not got[1570]
+    assert "ring" not in texts[1560]
+
+
+def test_bootstrapping_against_plain_rounds(spark):
+    r = random.Random(11)
+    texts = []
+    for _ in range(400):
+        t = []
+        for _ in range(r.randint(1, 5)):
+            w, v = r.choice([("call", f"+1 555 010 {r.randint(1000, 9999)}"), ("call", f"{r.randint(100, 999)}-{r.randint(10, 99)}"), ("mail", f"u{r.randint(0, 99)}@ex.org"), ("mail", f"u{r.randint(0, 30)}@ex"), ("of", str(r.randint(1000, 1300))), ("host", f"10.0.0.{r.randint(0, 255)}"), ("host", f"10.0.{r.randint(0, 9999)}")])
+            t += [r.choice([w, w, w.upper() + ":", "x"]), v, r.choice(["now", "soon.", "(", ""])]
+        texts.append(" ".join(t))
+    texts += [f"call +1 555 01{i:05d} now" for i in range(6000)] + [f"Mail v{i}@ex.org soon" for i in range(900)]
+    texts += [None, "", texts[0], "9" * 5000, "word" * 3000 + " call 55-5512"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kind string").repartition(3)
+    got = {x.doc_id: [tuple(s) for s in x.spans if s not in x.base] for x in personal.find_personal(df).collect()}
+    want = dict(enumerate(plain_bootstrap([t or "" for t in texts])))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and any(want.values())
