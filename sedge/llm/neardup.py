@@ -93,6 +93,11 @@ def _featured(batches, words: int):
         yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_FEATURES)
 
 
+def _sizes(batches, words: int):
+    for batch in batches:
+        yield pa.record_batch([batch["doc_id"], pa.array([len(s) for s in _sets(batch, words)], pa.int64())], names=["doc_id", "n_shingles"])
+
+
 def _packed_sets(batches, words: int):
     for batch in batches:
         yield pa.record_batch([batch["doc_id"], pa.array([s.tobytes() for s in _sets(batch, words)], pa.binary())], schema=_SETS)
@@ -243,10 +248,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
     Documents are linked if their sets of distinct shingles (``words`` words, A-Z lowered) have
     a Jaccard similarity of per_cent / 100 or more; see the module on what is exact. A text with fewer words is one
     shingle, its whole sequence. Texts without words and null texts have no shingles and are alone. Rows
-    that share a doc_id are in one component with all that any of them links to. Null ids are dropped, other
-    columns ignored. An empty table gives an empty result.
+    that share a doc_id are in one component with all that any of them links to. Rows of a null id have
+    their n_shingles, no component_id, and are kept; they link nothing. Texts of any length are taken whole; other columns are ignored, whatever their names.
+    An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    nameless = every.where("doc_id IS NULL").mapInArrow(lambda it: _sizes(it, words), "doc_id long, n_shingles long")
+    nameless = nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    docs = every.where("doc_id IS NOT NULL")
     features = checkpointed(docs.mapInArrow(lambda it: _featured(it, words), "doc_id long, n_shingles long, key1 long, key2 long, signature binary, bands array<bigint>"))
     keys = ["n_shingles", "key1", "key2"]
     thin = features.select("doc_id", *keys)
@@ -269,7 +278,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
         sets = picked(ids).mapInArrow(lambda it: _packed_sets(it, words), "doc_id long, shingles binary")
         return _with(left, sets, "shingles").mapInArrow(lambda it: _confirmed(it, per_cent), "a long, b long")
 
-    links = checkpointed(linked(entries.where("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()))
+    # rows of one id are one document: their classes are linked
+    own = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high").select("doc_id", "a")
+    own = members.join(own, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
+    links = checkpointed(own.unionByName(linked(entries.where("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())))
     for k in range(1, rounds + 1):
         own = components(links)
         tagged = entries.join(own.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -292,4 +304,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
     whole = components(links)
     out = members.join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left")
     same = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return same.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return same.withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(nameless)

@@ -25,13 +25,16 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Packed hashes that one bucket compares at once.
 BUCKET_ROWS = 1 << 20
 
+#: Where a window stands in the order of documents.
+_PLACE = np.dtype([("none", "u1"), ("id", "<i8"), ("rank", "<i8")])
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("seg", pa.int32()), ("hash", pa.binary()), ("more", pa.binary())])
 _BITS = pa.schema([("seg", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())])
 _DDL = {_BLOCKS: "bucket int, seg int, hash binary, more binary", _BITS: "seg int, bucket int, kind int, bits binary"}
 
 
 def _ordered(docs: pa.Table) -> pa.Table:
-    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """By id, null ids last; rows of one id by a hash of their texts."""
+    return docs.sort_by([("doc_id", "ascending"), ("rank", "ascending")])
 
 
 def _anchors(docs: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,15 +111,17 @@ def _send_windows(docs: pa.Table, replies: pa.Table, window: int, buckets: int)
     if len(docs) == 0:
         return X.table(_BLOCKS, [])
     g, first, _, start, at = _candidates(docs, replies, window, buckets)
-    ids = docs["doc_id"].to_numpy()[np.searchsorted(at, start[first], "right") - 1]
+    own = np.searchsorted(at, start[first], "right") - 1
+    places = np.empty(len(g), _PLACE)
+    places["none"], places["id"], places["rank"] = docs["doc_id"].is_null().to_numpy()[own], docs["doc_id"].fill_null(0).to_numpy()[own], docs["rank"].to_numpy()[own]
     seg = docs["seg"][0].as_py()
-    return X.table(_BLOCKS, [(b, seg, g[i:j].tobytes(), ids[i:j].astype(np.int64).tobytes()) for b, i, j in X.dealt(g, buckets)])
+    return X.table(_BLOCKS, [(b, seg, g[i:j].tobytes(), places[i:j].tobytes()) for b, i, j in X.dealt(g, buckets)])
 
 
 def _first_windows(blocks: pa.Table) -> pa.Table:
     segs, at, h = _joined(blocks)
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in blocks["more"].to_pylist()])
-    order = np.lexsort((np.repeat(segs, np.diff(at)), ids, h))
+    place = np.concatenate([np.frombuffer(x, _PLACE) for x in blocks["more"].to_pylist()])
+    order = np.lexsort((np.repeat(segs, np.diff(at)), place["rank"], place["id"], place["none"], h))
     first = np.ones(len(h), bool)
     first[order[1:]] = h[order[1:]] != h[order[:-1]]
     return _reply(blocks, 2, first, segs, at)
@@ -153,17 +158,18 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     left in the same document. ``window`` is at least PERIOD.
 
     Null text: no words, kept_text "". Empty table: empty result. Shorter texts lose
-    nothing. Rows that share a doc_id count as separate documents in the order of their
-    texts; null ids are an error of the caller and dropped. Other columns are ignored.
-    Windows are compared by 64-bit hashes.
+    nothing; texts of any length are taken whole. Rows that share a doc_id count as separate documents in the order of a
+    64-bit hash of their texts, so of equal rows one keeps its words; rows of a null id come after all others.
+    Other columns are ignored, whatever their names. Windows are compared by 64-bit hashes.
     """
     if window < PERIOD:
         raise ValueError(f"window must be {PERIOD} words or more")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = X.total_bytes(docs, "text")
     segments = max(4, size // X.SEGMENT_BYTES)
     buckets = max(4, size // 6 * len(COVER) // PERIOD // BUCKET_ROWS)
-    segs = docs.select(X.segment(segments, F.col("doc_id"), F.col("text")), "doc_id", "text")
+    # dealt by row, so rows that are equal are spread too
+    segs = docs.select(X.segment(segments, F.col("doc_id"), F.monotonically_increasing_id()), "doc_id", F.xxhash64("text").alias("rank"), "text")
     whole = segs.groupBy("seg")
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 

@@ -103,3 +103,14 @@ def test_members_of_a_hot_band_meet_by_rare_shingles(spark, monkeypatch):
     got = run(spark, rows, 2)
     assert got == brute(rows, 2) and len({c for _, c, _ in got.values()}) == 200
     assert met and max(met) <= 7
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows of one id are one document; a null id links nothing."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(2, a), (3, b), (5, a), (5, b), (5, ""), (7, c), (7, c), (9, a + " end"), (11, "one"), (11, None), (None, a), (None, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.doc_id in (2, 3, 5, 9)} == {2} and {r.component_id for r in got if r.doc_id == 7} == {7} and {r.component_id for r in got if r.doc_id == 11} == {11}
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None) == [(0, None, True), (29, None, True)]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)

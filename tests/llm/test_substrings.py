@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 from sedge.llm.substrings import COVER, PERIOD, remove_repeats
 
 
@@ -43,3 +45,26 @@ def test_brute_force(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_repeated_and_null_ids(spark):
+    """The order of rows of one id hangs on their texts alone, and a null id comes last."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: r.randint(20, 60)] + [f"t{k}"]) for k in range(40)]
+    rows = [(r.choice([1, 7, 7, 9, None]), t) for t in texts] + [(7, texts[0]), (7, texts[0]), (None, texts[1]), (None, None)]
+    key = lambda x: (x[0] is None, x[0] or 0, (xxhash.xxh64_intdigest(x[1] or "", 42) + (1 << 63)) % (1 << 64))
+    seen, want = set(), []
+    for d, t in sorted(rows, key=key):
+        words = (t or "").split()
+        gone = set()
+        for i in range(len(words) - 19):
+            w = tuple(words[i : i + 20])
+            if w in seen:
+                gone.update(range(i, i + 20))
+            seen.add(w)
+        want.append((d, len(words), len(gone), " ".join(x for k, x in enumerate(words) if k not in gone)))
+    for parts in (1, 5):
+        df = spark.createDataFrame([(*x, 1, "b") for x in rows], "doc_id long, text string, rank int, bucket string").repartition(parts)
+        got = [(x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in remove_repeats(df).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
