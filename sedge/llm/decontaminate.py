@@ -104,9 +104,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_cent: int = 5, id_co
     """doc_id, item_id, distance, start, end: each item that a document holds within per_cent % of its length in edits.
 
     Both are compared as ``normal`` texts; start and end (exclusive) are characters of the normal document. One row
-    for each document and item, its smallest distance, and the first such hit. Items without text are
-    ignored, repeated items are found each. Null, empty and short documents have no rows of their own; an
-    empty table gives an empty result. Items are searched in blocks of BLOCK_CHARS, each sent to the
+    for each row of docs and item, its smallest distance, and the first such hit; repeated rows and null ids have rows each. Items without
+    text are ignored, repeated items are found each. Null, empty and short documents have no rows of their own; texts of any length
+    are searched whole; other columns are ignored, whatever their names; an empty table gives an empty result. Items are searched in blocks of BLOCK_CHARS, each sent to the
     tasks; the documents are read once for each block and never shuffled.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -116,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_cent: int = 5, id_co
     found = None
     for b in range(blocks):
         # about BLOCK_CHARS characters: a bounded part of the items
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
         sent = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, normal(r.text)) for r in rows))
 
         def run(batches, sent=sent):

@@ -36,7 +36,7 @@ from .words import U64, Words, flat, mix, pieces
 CONTEXT, PARENT, SWEEPS, BURN = (0.8, 2.0), (0.6, 10.0), 3, 1
 #: Customers of a context for each bucket that has a part of its dishes; entries that a bucket holds.
 SALT, BUCKET_ROWS = 1 << 20, 1 << 20
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 10 << 20
 END = U64(0xE0D0_0000_0000_0001)
 
 _ROW = pa.schema([("key", pa.int32()), ("peer", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("x", pa.list_(pa.float64()))])

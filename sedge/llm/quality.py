@@ -78,13 +78,24 @@ class Model:
             return np.full(len(counts), self.prior)
         cosines = self.project(counts) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.vectors))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < len(self.vectors) else np.broadcast_to(np.arange(k), (len(counts), k))
+        near = _nearest(cosines, k)
         votes = np.maximum(np.take_along_axis(cosines, near, axis=1), 0.0) ** 8
         total = votes.sum(axis=1)
         share = (votes * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
         return np.where((total > 1e-9) & (counts.sum(axis=1) > 0), np.clip(share, 0, 1), self.prior)
 
 
+def _nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k largest; of equals at the end those of the smaller place."""
+    if k == cosines.shape[1]:
+        return np.broadcast_to(np.arange(k), cosines.shape)
+    last = np.partition(cosines, -k, axis=1)[:, -k, None]
+    above, level = cosines > last, cosines == last
+    room = k - above.sum(axis=1, keepdims=True)
+    take = above | level & (np.cumsum(level, axis=1) <= room)
+    return np.nonzero(take)[1].reshape(-1, k)
+
+
 def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     x = np.zeros_like(counts)
     row, term = np.nonzero(counts)
@@ -116,8 +127,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     held_out: a condition on doc_id; its rows are never fitted. At most SAMPLE labelled
     documents are (those of the smallest id hashes, so the choice does not
     hang on files or order). Null and empty texts get the share of label 1. Labels other than 0
-    and 1, nulls, and labels of ids that docs lacks are left out; an id with two labels counts with each.
-    Repeated rows are scored each. An empty table gives an empty result.
+    and 1, nulls, and labels of ids that docs lacks are left out; an id with two labels counts with each, and a labelled
+    id with several texts with one of them. Of equal cosines at the last neighbour those fitted first (by id) vote. Texts of any length
+    are scored whole. Repeated rows and null ids are scored each. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

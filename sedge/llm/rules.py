@@ -93,7 +93,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document goes if it fails the base rules (under 50 words, or more than half of its words in repeated
     3-word windows) or if its host is rejected. Null and empty texts have no words and fail. Documents
-    without a host are judged alone. Repeated rows count each. An empty table gives an empty result.
+    without a host are judged alone. Repeated rows and null ids count each. Texts of any length are measured whole; a rate that is a
+    rule's limit exactly does not reject. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     measured = checkpointed(measures(docs, id_col, text_col, host_col))
     hosts = host_verdicts(measured.where(F.col("host").isNotNull()))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import checkpointed
@@ -33,9 +33,9 @@ def numbered(rows: DataFrame, *keys: Column) -> tuple[DataFrame, int]:
     ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_place")
     kept = checkpointed(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION))}))
     sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
-    ends = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("a._part") > F.col("b._part"), "left")
-    bases = ends.groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_base"))
     # one row for each partition: bounded by the number of partitions, not by rows
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     out = kept.join(F.broadcast(bases), "_part").withColumn("_row", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
     return out, kept.count()
 
@@ -74,8 +74,8 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "doc_id
 
     Shards differ by one row at most and slots run from 0 without gaps. The order is by
     doc_id, then the carried columns, so equal inputs give equal places whatever their
-    files. Null ids come first. Rows that are equal in all of these get places of their own. An empty table
-    gives an empty result. Columns not carried are ignored.
+    files. Null ids come first. Rows that are equal in all of these get places of their own. Texts of any length cost what their carried
+    columns do. An empty table gives an empty result. Columns not carried are ignored, whatever their names.
     """
     carry = carry or {}
     thin = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in carry.items()))

@@ -136,7 +136,8 @@ def count_tokens(spark: SparkSession, folder: str, separator: int, block_bytes:
 def document_token_counts(docs: DataFrame, ranks_path: str, pattern: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, file, ordinal, n_tokens of docs by way of token files in the shared folder, which are deleted afterwards.
 
-    One row for each row of docs, repeated ones too. An empty table gives an empty result.
+    One row for each row of docs, repeated ones and null ids too. Null and empty texts have none; texts of any length are encoded whole.
+    Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"

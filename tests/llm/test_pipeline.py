@@ -51,3 +51,16 @@ def test_rows_of_repeated_and_null_ids(spark, tmp_path):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in docs.collect())
     assert got == sorted([(1, texts[0]), (2, texts[2] + " mail [EMAIL] now"), (2, "to [EMAIL] " + texts[3]), (0, texts[4] + " x"), (-1, texts[6] + " mail [EMAIL] now")])
     assert {(r.spans, r.Row_Key, r.component_id) for r in docs.collect()} == {("mine", 7, "own")}
+
+
+def test_empty_table_and_very_long_text(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int, ids string"
+    spark.createDataFrame([(1, "which letters follow the seventh word of this rather long question")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"w{i}" for i in range(60_000)) + " mail me@site.org"
+    for k, rows in enumerate(([], [(1, long, "en", "a", 0, 1, "x"), (2, long + " twice", "en", "a", 0, 1, "x"), (3, "x" * 200_000, "en", "a", 0, 1, "x")])):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+        assert [r.doc_id for r in docs.collect()] == ([1] if rows else [])

@@ -57,3 +57,44 @@ def test_shards(spark):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert [x[2] for x in out[0][:20]] != sorted(x[2] for x in out[0][:20] if x[2] is not None)
     assert shard(spark.createDataFrame([], DDL), carry=carry).count() == 0
+
+
+def test_places_against_a_plain_permutation(spark):
+    """Rows in order, numbered, and sent through the network written out in plain numbers."""
+    import math
+
+    rows = [(i * 7 % 1009, f"t{i}", "s", "", 0) for i in range(1009)] + [(None, "n", "s", "", 0)]
+    df = spark.createDataFrame(rows, DDL)
+    n, seed = len(rows), 5
+    width = math.isqrt(n - 1) + 1
+    height = -(-n // width)
+    hashes = {(r.k, r.x): r.h for r in spark.range(max(width, height)).selectExpr("explode(sequence(0, 5)) k", "id x").select("k", "x", F.xxhash64(F.lit(seed), "k", "x").alias("h")).collect()}
+
+    def network(x):
+        left, right = x // width, x % width
+        for k in range(6):
+            if k % 2:
+                right = (right + hashes[k, left] % width) % width
+            else:
+                left = (left + hashes[k, right] % height) % height
+        return left * width + right
+
+    def walked(x):
+        x = network(x)
+        while x >= n:
+            x = network(x)
+        return x
+
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {r[0]: (walked(k) % 8, walked(k) // 8) for k, r in enumerate(order)}
+    got = {r.doc_id: (r.shard, r.slot) for r in shard(df, 8, seed).collect()}
+    assert got == want
+
+
+def test_first_row_numbers_of_partitions(spark):
+    from sedge.llm.sharding import numbered
+
+    df = spark.range(5000).selectExpr("id % 3 k", "id")
+    got, n = numbered(df, F.col("k"), F.col("id"))
+    assert n == 5000 and [r.id for r in got.orderBy("_row").collect()] == sorted(range(5000), key=lambda i: (i % 3, i))
+    assert sorted(r._row for r in got.collect()) == list(range(5000))

@@ -1,9 +1,11 @@
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
-from sedge.llm import tokenfiles
+from sedge.llm import quality, tokenfiles
 from sedge.llm.quality import score_quality
 from sedge.llm.queries import PATTERN, SEPARATOR, TOKENIZERS
 
@@ -56,3 +58,35 @@ def test_quality_edges(spark):
     assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got if r.doc_id < 40)
     assert {r.score for r in score_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert score_quality(docs.limit(0), labels).count() == 0
+
+
+def test_votes_against_plain_voting(spark):
+    """Scores are those of a plain sum over every neighbour at or above the 25th cosine, ties by label order."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = {d for d in texts if zlib.crc32(str(d).encode()) % 5 == 0}
+    fitted = sorted(d for d in known if d in texts and d not in held)
+    counts = {d: np.concatenate(list(quality.term_counts(pa.record_batch([pa.array([t])], names=["text"]))))[0] for d, t in texts.items()}
+    model = quality.fit(np.stack([counts[d] for d in fitted]), np.array([known[d] for d in fitted], np.float32))
+    got = {r.doc_id: r.score for r in score_quality(docs, labels).collect()}
+    assert len(fitted) > quality.NEIGHBOURS and set(got) == set(texts)
+    for d in texts:
+        v = model.project(counts[d][None])[0]
+        cosines = [(float(np.dot(v, u)), -k) for k, u in enumerate(model.vectors)]
+        near = sorted(cosines, reverse=True)[: quality.NEIGHBOURS]
+        weights = [(max(c, 0.0) ** 8, model.labels[-k]) for c, k in near]
+        total = sum(w for w, _ in weights)
+        want = sum(w * y for w, y in weights) / total if total > 1e-9 and counts[d].sum() else model.prior
+        assert abs(got[d] - want) < 1e-3, (d, got[d], want)
+
+
+def test_ties_at_the_last_neighbour():
+    """Of equal cosines those of the smaller place count, so a copy's score does not hang on the block it is in."""
+    n = quality.NEIGHBOURS
+    vectors = np.zeros((2 * n, 2), np.float32)
+    vectors[:, 0] = 1
+    model = quality.Model(np.ones(quality.TERMS, np.float32), np.eye(quality.TERMS, 2, dtype=np.float32), vectors, np.r_[np.ones(n), np.zeros(n)].astype(np.float32), 0.5)
+    counts = np.zeros((3, quality.TERMS), np.float32)
+    counts[:2, 0] = 4
+    assert model.score(counts).tolist() == [1.0, 1.0, 0.5]
