@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -50,3 +52,121 @@ def three_slices(text: Column, budget: int) -> Column:
     middle = F.floor((F.length(text) - third) / 2).cast("int")
     cut = F.concat_ws("...", F.substring(text, 1, third), F.substring(text, middle + 1, F.lit(third)), F.substring(text, -third, third))
     return F.when(F.length(text) <= budget, text).otherwise(cut)
+
+
+# what follows takes text as it is; nfkc is the one function here that needs Python
+
+
+def nfkc(text: Column | str) -> Column:
+    """Unicode compatibility form; null stays null."""
+
+    def normal(t: pd.Series) -> pd.Series:
+        return t.str.normalize("NFKC")
+
+    return F.pandas_udf(normal, StringType())(text)
+
+
+def collapsed(text: Column) -> Column:
+    """White space runs as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, "\\s+", " "))
+
+
+def stripped_markup(text: Column, cap: int = 2000) -> Column:
+    """Tags and control characters become spaces, white space collapses; what is longer than cap ends in an ellipsis."""
+    plain = collapsed(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "[\\x00-\\x1F\\x7F]", " "))
+    return F.when(F.length(plain) > cap, F.concat(F.substring(plain, 1, cap), F.lit("..."))).otherwise(plain)
+
+
+def utf16_prefix(text: Column, units: int) -> Column:
+    """At most so many UTF-16 units from the start, never half a character."""
+    coded = F.substring(F.encode(text, "UTF-16BE"), 1, 2 * units)
+    open_end = F.hex(F.substring(coded, -2, 1)).between("D8", "DB") & (F.octet_length(coded) == 2 * units)
+    return F.decode(F.when(open_end, F.substring(coded, F.lit(1), F.lit(2 * units - 2))).otherwise(coded), "UTF-16BE")
+
+
+def matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+
+
+#: Words that graph lookups pass over.
+STOP_WORDS = (
+    "a", "an", "and", "are", "did", "do", "does", "for", "from", "how", "in", "is", "of", "on", "the", "to", "was", "were",
+    "what", "when", "where", "which", "who", "why", "with", "什么", "哪些", "如何", "是否", "关于",
+)
+
+
+def graph_tokens(text: Column) -> Column:
+    """Distinct lookup tokens of lower-case text: Latin runs of two or more characters; ideograph runs, their characters and pairs."""
+    parts = matches(F.lower(text), "[a-z0-9][a-z0-9._:-]*|[\\u3400-\\u9fff]+")
+    stop = F.array(*map(F.lit, STOP_WORDS))
+
+    def of(m: Column) -> Column:
+        at = F.sequence(F.lit(1), F.length(m))
+        single = F.filter(F.concat(F.array(m), F.transform(at, lambda i: F.substring(m, i, F.lit(1)))), lambda t: ~F.array_contains(stop, t))
+        pairs = F.filter(F.transform(at, lambda i: F.substring(m, i, F.lit(2))), lambda t: F.length(t) == 2)
+        latin = F.filter(F.array(m), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+        return F.when(m.rlike("^[\\u3400-\\u9fff]"), F.concat(single, pairs)).otherwise(latin)
+
+    return F.array_distinct(F.flatten(F.transform(parts, of)))
+
+
+def gram_tokens(text: Column) -> Column:
+    """Words, characters and pairs of characters of each word, in lower case."""
+    words = matches(F.lower(text), "[\\p{L}\\p{N}]+")
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.length(w))
+        return F.concat(F.array(w), F.transform(at, lambda i: F.substring(w, i, F.lit(1))), F.filter(F.transform(at, lambda i: F.substring(w, i, F.lit(2))), lambda t: F.length(t) == 2))
+
+    return F.flatten(F.transform(words, of))
+
+
+def token_shares(text: Column) -> dict[str, Column]:
+    """Counts of ideographs, Latin words, numbers and marks, and an estimate of tokens from them."""
+    han, words = F.size(matches(text, "[\\u4e00-\\u9fff]")), F.size(matches(text, "[a-zA-Z]+"))
+    numbers, marks = F.size(matches(text, "[0-9]+")), F.size(matches(text, "[^a-zA-Z0-9_\\s\\u4e00-\\u9fff]"))
+    tokens = F.ceil(han * F.lit(0.7)) + F.ceil(words * F.lit(1.5)) + numbers + marks
+    return {"han": han, "words": words, "numbers": numbers, "marks": marks, "tokens": F.greatest(F.lit(1), tokens)}
+
+
+def character_overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two texts' sets of characters."""
+    x, y = (F.filter(F.split(t, ""), lambda c: c != "") for t in (a, b))
+    return F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))
+
+
+def token_similarity(a: Column, b: Column, id_a: Column, id_b: Column) -> Column:
+    """1 if equal, 0.8 of the share of lengths if one holds the other, else 0.7 edit similarity and 0.3 nearness of ids."""
+    low, high = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    edit = F.lit(1.0) - F.levenshtein(a, b) / high
+    return F.when(a == b, F.lit(1.0)).when(a.contains(b) | b.contains(a), F.lit(0.8) * low / high).otherwise(edit * 0.7 + 0.3 / (1 + F.abs(id_a - id_b) * 0.001))
+
+
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a of the UTF-8 bytes."""
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, F.lit(1))), 16, 10).cast("long"))
+    start, step, room = F.lit(2166136261).cast("long"), F.lit(16777619).cast("long"), F.lit((1 << 32) - 1).cast("long")
+    return F.when(F.length(text) == 0, start).otherwise(F.aggregate(codes, start, lambda h, c: (h.bitwiseXOR(c) * step).bitwiseAND(room)))
+
+
+def slug(name: Column) -> Column:
+    """A file name without its extension, lower case, everything but letters and digits as one dash."""
+    bare = F.regexp_replace(F.lower(name), "\\.[a-z0-9]+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def packed_paragraphs(text: Column, size: int, overlap: int) -> Column:
+    """Array of chunks: paragraphs (parted by blank lines) gathered until the next would pass size; each chunk but the first begins with
+    the end of the one before, of overlap characters at most, cut after a sentence's end if it holds one."""
+    parts = F.filter(F.transform(F.split(text, "\\n\\s*\\n"), F.trim), lambda p: p != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(s, p):
+        full = (F.length(s["open"]) + F.length(p) > size) & (s["open"] != "")
+        tail = F.substring(s["open"], F.greatest(F.lit(1), F.length(s["open"]) - overlap + 1), F.lit(overlap))
+        cut = F.regexp_replace(tail, "(?s)^.*?[.!?。！？]\\s*", "")
+        tail = F.trim(F.when(tail.rlike("[.!?。！？]") & (cut != ""), cut).otherwise(tail))
+        head = F.when(full, tail).otherwise(s["open"])
+        return F.struct(F.when(full, F.array_append(s["done"], F.trim(s["open"]))).otherwise(s["done"]).alias("done"), F.concat(head, F.when(head != "", F.lit("\n\n")).otherwise(F.lit("")), p).alias("open"))
+
+    return F.aggregate(parts, start, step, lambda s: F.when(s["open"] != "", F.array_append(s["done"], F.trim(s["open"]))).otherwise(s["done"]))

@@ -34,8 +34,10 @@ def unit(v: Column) -> Column:
 
 
 def similarity(raw: Column, metric: str) -> Column:
-    """A store's raw score as a similarity: COSINE as it is, IP as it is, L2 as 1 / (1 + d)."""
-    return 1 / (1 + raw) if metric == "L2" else raw
+    """A store's raw score as a similarity. COSINE: as it is from 0 to 1, else 1 less it; IP: as it is; L2: 1 / (1 + d)."""
+    if metric == "L2":
+        return 1 / (1 + raw)
+    return F.when(raw.between(0, 1), raw).otherwise(1 - raw) if metric == "COSINE" else raw
 
 
 def statistics(v: Column) -> dict[str, Column]:
@@ -59,3 +61,35 @@ def statistics(v: Column) -> dict[str, Column]:
         "l1": l1,
         "l2": norm(v),
     }
+
+
+def plain_cosine(a: Column, b: Column) -> Column:
+    """Null where either is a zero vector."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
+def soft_cosine(a: Column, b: Column) -> Column:
+    """With 1e-8 added to the product of lengths."""
+    return dot(a, b) / (norm(a) * norm(b) + 1e-8)
+
+
+def static_weight(v: Column) -> dict[str, Column]:
+    """Norms, largest size, mean, population variance and the share of entries up to 1e-6."""
+    n = F.size(v).cast("double")
+    mean = total(v) / n
+    return {
+        "l2": norm(v), "l1": total(F.transform(v, F.abs)), "top": F.array_max(F.transform(v, F.abs)), "mean": mean,
+        "variance": total(F.transform(v, lambda x: F.pow(x - mean, F.lit(2.0)))) / n, "sparsity": F.size(F.filter(v, lambda x: F.abs(x) <= 1e-6)) / n,
+    }
+
+
+def entropy(v: Column) -> Column:
+    """Bits of the entries' absolute shares; 0 for a zero vector."""
+    l1 = total(F.transform(v, F.abs))
+    shares = F.transform(v, lambda x: F.coalesce(F.try_divide(F.abs(x), l1), F.lit(0.0)))
+    return -total(F.transform(shares, lambda p: F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0))))
+
+
+def pseudo_embedding(seed: Column, frequency: Column, size: int) -> Column:
+    """sin(seed * (i + 1) * .01) * .5 * (1 + frequency) for i below size."""
+    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.sin(seed * i * 0.01) * 0.5 * (1 + frequency))

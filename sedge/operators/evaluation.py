@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """query_id, recall, mrr, ndcg at k; null for a query without gold.
+    """query_id, recall, mrr, ndcg at k of each query that is ranked or has gold; null without gold, 0 without hits.
 
     ranked: query_id, id, rank; the first of repeated ids counts. gold: query_id, id, relevance (over 0).
     """
@@ -19,7 +19,7 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
         F.count("*").alias("n_gold"), F.sum(F.when(F.col("p") <= k, gain / F.log2(F.col("p") + 1)).otherwise(0.0)).alias("idcg"))
     found = once.join(gold, ["query_id", "id"]).groupBy("query_id").agg(
         F.count("*").alias("hits"), F.min("pos").alias("first"), F.sum(gain / F.log2(F.col("pos") + 1)).alias("dcg"))
-    out = ranked.select("query_id").distinct().join(ideal, "query_id", "left").join(found, "query_id", "left")
+    out = ranked.select("query_id").unionByName(gold.select("query_id")).distinct().join(ideal, "query_id", "left").join(found, "query_id", "left")
     has = F.col("n_gold") > 0
     return out.select(
         "query_id",

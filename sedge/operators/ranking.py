@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sedge.functions.text import lexical_tokens
 
-#: Query vectors that are sent to the tasks at once.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors in a broadcast tile; products of queries and rows that are held at once (8 bytes each).
+TILE_BYTES, CELLS = 16 << 20, 1 << 21
 
 
 def top(hits: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -21,57 +21,124 @@ def top(hits: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFra
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _query_tiles(queries: DataFrame, id_col: str, vector_col: str):
+    """Broadcast tiles of query vectors, each of TILE_BYTES at most, in one pass over the queries."""
+    rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL").toArrow()
+    q = np.array(rows["v"].to_pylist(), float).reshape(len(rows), -1)
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    ids = rows["id"].to_numpy()
+    step = max(1, TILE_BYTES // max(1, 8 * q.shape[1]))
+    return [queries.sparkSession.sparkContext.broadcast((ids[i : i + step], q[i : i + step])) for i in range(0, len(ids), step)]
+
+
+def _unit_rows(batch: pd.DataFrame, vector_col: str) -> np.ndarray:
+    x = np.stack(batch[vector_col].to_numpy()).astype(float)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k largest, all of those equal to the last one with them; flat row numbers and columns."""
+    if s.shape[1] <= k:
+        return np.nonzero(np.ones(s.shape, bool))
+    last = np.partition(s, -k, axis=1)[:, -k, None]
+    return np.nonzero(s >= last)
+
+
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, score, rank: exact cosine top k of each query; the threshold holds before the limit.
 
-    Queries go out in blocks of QUERY_BLOCK and are multiplied with each batch as a matrix; a batch hands on
-    its k best for each query, so what is shuffled is k rows for each query and batch.
+    The queries are a stated set, held by the driver once; they go out in tiles of TILE_BYTES, and every task runs all tiles over its rows,
+    so the corpus is read once. Products are made CELLS at a time. A block of rows hands on its k best for each
+    query, and what is shuffled is that. Rows without a vector are left out.
+    """
+    tiles = _query_tiles(queries, id_col, vector_col)
+
+    def search(batches):
+        for batch in batches:
+            for tile in tiles:
+                names, q = tile.value
+                step = max(1, CELLS // max(1, len(names)))
+                for at in range(0, len(batch), step):
+                    part = batch.iloc[at : at + step]
+                    s = q @ _unit_rows(part, vector_col).T
+                    row, column = _best(s, k)
+                    out = pd.DataFrame({"query_id": names[row], "id": part[id_col].to_numpy()[column], "score": s[row, column]})
+                    yield out if threshold is None else out[out.score >= threshold]
+
+    hits = corpus.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(search, "query_id long, id long, score double")
+    return top(hits, ["query_id"], "score", "id", k)
+
+
+def similar_rows(corpus: DataFrame, queries: DataFrame, over: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, id, score of every row whose cosine with a query of the stated set is over the threshold; nothing is shuffled."""
+    tiles = _query_tiles(queries, id_col, vector_col)
+
+    def search(batches):
+        for batch in batches:
+            for tile in tiles:
+                names, q = tile.value
+                step = max(1, CELLS // max(1, len(names)))
+                for at in range(0, len(batch), step):
+                    part = batch.iloc[at : at + step]
+                    s = q @ _unit_rows(part, vector_col).T
+                    row, column = np.nonzero(s > over)
+                    yield pd.DataFrame({"query_id": names[row], "id": part[id_col].to_numpy()[column], "score": s[row, column]})
+
+    return corpus.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(search, "query_id long, id long, score double")
+
+
+def grouped_vector_search(corpus: DataFrame, queries: DataFrame, group_col: str, groups: int, size: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, the group, id, score, grp, place: the best groups of each query by their best hit, and the best hits of each.
+
+    A block of rows hands on its best hits for each query and group; groups are told apart as long numbers.
     """
-    ids = sorted(r[0] for r in queries.select(id_col).collect()) if queries.count() <= QUERY_BLOCK else None
-    blocks = [queries] if ids is not None else [queries.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == b) for n in [queries.count() // QUERY_BLOCK + 1] for b in range(n)]
-    parts = []
-    for block in blocks:
-        rows = block.select(id_col, vector_col).collect()
-        q = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        sent = corpus.sparkSession.sparkContext.broadcast(([r[0] for r in rows], q))
-
-        def search(batches, sent=sent):
-            names, q = sent.value
-            names = np.array(names)
-            for batch in batches:
-                if not len(batch) or not len(names):
-                    continue
-                own = batch[id_col].to_numpy()
-                x = np.stack(batch[vector_col].to_numpy()).astype(float)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = q @ (x / np.where(n > 0, n, 1)).T
-                keep = np.argsort(own, kind="stable")
-                s, own = s[:, keep], own[keep]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                out = pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "id": own[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
-                yield out if threshold is None else out[out.score >= threshold]
-
-        parts.append(corpus.select(id_col, vector_col).mapInPandas(search, "query_id long, id long, score double"))
-    return top(reduce(DataFrame.unionByName, parts), ["query_id"], "score", "id", k)
-
-
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score, rank. docs: doc_id, text; queries: query_id, text. Repeated query tokens count each time.
-
-    Only tokens that some query has are exploded from the documents; term counts are combined before the shuffle.
+    tiles = _query_tiles(queries, id_col, vector_col)
+
+    def search(batches):
+        for batch in batches:
+            for tile in tiles:
+                names, q = tile.value
+                for label, part in batch.groupby(group_col, sort=True):
+                    step = max(1, CELLS // max(1, len(names)))
+                    for at in range(0, len(part), step):
+                        block = part.iloc[at : at + step]
+                        s = q @ _unit_rows(block, vector_col).T
+                        row, column = _best(s, size)
+                        yield pd.DataFrame({"query_id": names[row], group_col: label, "id": block[id_col].to_numpy()[column], "score": s[row, column]})
+
+    hits = corpus.select(id_col, group_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(search, f"query_id long, {group_col} long, id long, score double")
+    best = top(hits, ["query_id", group_col], "score", "id", size).withColumnRenamed("rank", "place")
+    leaders = top(best.where("place = 1").select("query_id", group_col, "score"), ["query_id"], "score", group_col, groups)
+    return best.join(leaders.select("query_id", group_col, F.col("rank").alias("grp")), ["query_id", group_col])
+
+
+#: Distinct query tokens up to which they are sent to the tasks as a list; more are met by a join.
+ASKED_WORDS = 50_000
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int | None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score, rank (k None: all hits, without rank). docs: doc_id, text; queries: query_id, text. Repeated query tokens count each time.
+
+    A document's tokens are counted in its own row, so each document and asked token is one row and the
+    corpus is read once for the hits and once, lengths only, for their mean.
     """
     asked = queries.select("query_id", F.explode(lexical_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     words = asked.select("token").distinct()
+    few = words.limit(ASKED_WORDS + 1).toArrow()["token"].to_pylist()
     cut = docs.select("doc_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    sizes = cut.select("doc_id", F.size("tokens").alias("len"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    postings = cut.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(words, "token", "left_semi").groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    hits = asked.join(postings.join(df, "token"), "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * weight).alias("score"))
-    return top(hits.where("score > 0"), ["query_id"], "score", "doc_id", k)
+    whole = cut.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
+    own = cut.select("doc_id", F.size("tokens").alias("len"), "tokens")
+    if len(few) <= ASKED_WORDS:
+        own = own.withColumn("tokens", F.filter("tokens", lambda t: t.isin(few) if few else F.lit(False)))
+    postings = own.select("doc_id", "len", F.explode("tokens").alias("token")).groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf"))
+    if len(few) > ASKED_WORDS:
+        postings = postings.join(words, "token", "left_semi")
+    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(whole["avgdl"] or 1.0)))
+    hits = asked.join(postings.join(df, "token"), "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * weight).alias("score")).where("score > 0")
+    return hits if k is None else top(hits, ["query_id"], "score", "doc_id", k)
 
 
 def reciprocal_rank_fusion(hits: DataFrame, weights: dict[str, float], constant: int = 60) -> DataFrame:
@@ -104,24 +171,28 @@ def max_merge(lists: list[DataFrame], key: list[str], score: str) -> DataFrame:
     return reduce(DataFrame.unionByName, lists).groupBy(*key).agg(F.max(score).alias(score))
 
 
-def mmr(hits: DataFrame, k: int, balance: float = 0.5) -> DataFrame:
+def mmr(hits: DataFrame, k: int, balance: float = 0.7) -> DataFrame:
     """query_id, id, position: greedy maximal marginal relevance over each query's list (bounded by its search's k).
 
-    hits: query_id, id, score, embedding. Similarity to what is chosen starts at 0; the first maximum in id order wins.
+    hits: query_id, id, score, rank, embedding. Similarity to what is chosen starts at 0; of equal values the first in rank order wins. Rows without
+    an embedding follow in rank order while there is room.
     """
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        x = np.stack(group.embedding.to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        relevance, near, out = group.score.to_numpy(), np.zeros(len(group)), []
-        left = np.ones(len(group), bool)
-        for _ in range(min(k, len(group))):
-            value = np.where(left, balance * relevance - (1 - balance) * near, -np.inf)
-            at = int(value.argmax())
-            out.append(at)
-            left[at] = False
-            near = np.maximum(near, x @ x[at])
-        return pd.DataFrame({"query_id": group.query_id.iloc[0], "id": group.id.to_numpy()[out], "position": np.arange(1, len(out) + 1)})
+        group = group.sort_values("rank", kind="stable")
+        has = group.embedding.notna().to_numpy()
+        ids, rest = group.id.to_numpy()[has], group.id.to_numpy()[~has]
+        out = []
+        if len(ids):
+            x = np.stack(group.embedding.to_numpy()[has]).astype(float)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            relevance, near, left = group.score.to_numpy()[has], np.zeros(len(ids)), np.ones(len(ids), bool)
+            for _ in range(min(k, len(ids))):
+                at = int(np.where(left, balance * relevance - (1 - balance) * near, -np.inf).argmax())
+                out.append(ids[at])
+                left[at] = False
+                near = np.maximum(near, x @ x[at])
+        out = [*out, *rest][:k]
+        return pd.DataFrame({"query_id": group.query_id.iloc[0], "id": out, "position": np.arange(1, len(out) + 1)})
 
     return hits.groupBy("query_id").applyInPandas(choose, "query_id long, id long, position long")

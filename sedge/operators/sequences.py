@@ -21,8 +21,8 @@ def prefix_within(rows: DataFrame, by: list[str], order: list[Column], cost: Col
 
 
 def message_window(messages: DataFrame, rounds: int) -> DataFrame:
-    """System messages and the last 2 * rounds others of each conversation."""
-    w = Window.partitionBy("conv_id", F.col("role") == "system").orderBy(F.desc("turn"))
+    """System messages and the last 2 * rounds others of each conversation; of equal turns the later text is the later message."""
+    w = Window.partitionBy("conv_id", F.col("role") == "system").orderBy(F.desc("turn"), F.desc("text"))
     return messages.withColumn("_n", F.row_number().over(w)).where((F.col("role") == "system") | (F.col("_n") <= 2 * rounds)).drop("_n")
 
 

@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
 from sedge.functions import vectors as V
 from sedge.operators import aggregates, evaluation, graph, ranking, sequences, tables
+from sedge.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sedge.sources import files
 from sedge.streaming import totals as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # predicates and projections
 
 
@@ -181,7 +162,7 @@ _BM25 = f"""q AS (SELECT item_id AS query_id, unnest({_TOK}) AS token FROM bench
 
 def _bm25(spark, d, k):
     asked = table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
-    hits = ranking.bm25_search(table(spark, d, "documents"), asked, 1 << 30)
+    hits = ranking.bm25_search(table(spark, d, "documents"), asked, None)
     return ranking.top(hits.select("query_id", "doc_id", F.round("score", 9).alias("score")), ["query_id"], "score", "doc_id", k)
 
 
@@ -244,7 +225,7 @@ def w3_first_seen(spark, d):
 def r6_mmr(spark, d):
     e = table(spark, d, "embeddings")
     hits = ranking.vector_search(e, e.where("vec_id % 50 = 0"), 30)
-    return ranking.mmr(hits.join(e.select(F.col("vec_id").alias("id"), "embedding"), "id"), 10)
+    return ranking.mmr(hits.join(e.select(F.col("vec_id").alias("id"), "embedding"), "id"), 10, 0.5)
 
 
 @query("""WITH r AS (SELECT source AS query_id, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
@@ -467,7 +448,7 @@ def g4_distribution_all_types(spark, d):
 @query("SELECT conv_id, count(*) AS messages, count(DISTINCT role) AS roles, max(turn) AS last_turn, arg_max(length(text), turn) AS last_length FROM conversations GROUP BY conv_id")
 def g10_snapshot_summary(spark, d):
     c = table(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.countDistinct("role").alias("roles"), F.max("turn").alias("last_turn"), F.max_by(F.length("text").cast("long"), "turn").alias("last_length"))
+    return c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.countDistinct("role").alias("roles"), F.max("turn").alias("last_turn"), F.max_by(F.length("text").cast("long"), F.struct("turn", "text")).alias("last_length"))
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
@@ -550,3 +531,7 @@ def z13_stream_totals(spark, d):
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     return streams.totals(stream, ["event_type"], F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
+
+
+# the other parts enter theirs in the same place
+from sedge.plans import evaluations, graphs, retrieval, stores, texts, traces, vectorial  # noqa: E402, F401
