@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
+from .durable import checkpointed, swept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         edges = checkpointed(star(star(edges, True), False).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        swept(edges.sparkSession)
         if now == before:
             break
         before = now

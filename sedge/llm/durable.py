@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,6 +29,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which with a large heap may be long after many small
+    steps have filled the disks; spark.cleaner.periodicGC.interval asks for the same every half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """name, lengthened until docs has no such column in any case."""
     taken = {c.lower() for c in docs.columns}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .durable import checkpointed
+from .durable import checkpointed, swept
 from .words import Words, flat, mix, pieces
 
 #: A pair at the threshold of 0.8 shares no band with a chance of (1 - 0.8 ** 6) ** 48 = 5e-7.
@@ -283,6 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
     own = members.join(own, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
     links = checkpointed(own.unionByName(linked(entries.where("doc_id != low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())))
     for k in range(1, rounds + 1):
+        swept(docs.sparkSession)
         own = components(links)
         tagged = entries.join(own.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         tagged = tagged.join(_open_bands(tagged), "band")
