@@ -36,7 +36,7 @@ def reading_minutes(text: Column) -> Column:
 def preprocessed(text: Column) -> Column:
     """CRLF to LF, at most one blank line in a row, lines trimmed."""
     lines = F.split(F.regexp_replace(F.regexp_replace(text, "\\r\\n", "\n"), "\\n{3,}", "\n\n"), "\\n")
-    return F.trim(F.array_join(F.transform(lines, F.trim), "\n"))
+    return F.trim(F.array_join(F.transform(lines, lambda line: F.trim(line)), "\n"))
 
 
 def fixed_windows(text: Column, size: int, overlap: int) -> Column:
@@ -158,7 +158,7 @@ def slug(name: Column) -> Column:
 def packed_paragraphs(text: Column, size: int, overlap: int) -> Column:
     """Array of chunks: paragraphs (parted by blank lines) gathered until the next would pass size; each chunk but the first begins with
     the end of the one before, of overlap characters at most, cut after a sentence's end if it holds one."""
-    parts = F.filter(F.transform(F.split(text, "\\n\\s*\\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, "\\n\\s*\\n"), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(s, p):

@@ -141,6 +141,22 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int | None, k1: float =
     return hits if k is None else top(hits, ["query_id"], "score", "doc_id", k)
 
 
+def bm25_within(hits: DataFrame, docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, id, score of each hit that has a token of its query, where only a query's own hits are its corpus.
+
+    hits: query_id, id (bounded by a search's k); docs: id, text; queries: query_id, text.
+    """
+    asked = queries.select("query_id", F.explode(lexical_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    own = hits.join(docs.select("id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("tokens")), "id").select("query_id", "id", F.size("tokens").alias("len"), "tokens")
+    w = Window.partitionBy("query_id")
+    own = own.withColumns({"n": F.count("*").over(w), "avgdl": F.avg("len").over(w)})
+    postings = own.select("query_id", "id", "len", "n", "avgdl", F.explode("tokens").alias("token")).groupBy("query_id", "id", "len", "n", "avgdl", "token").agg(F.count("*").alias("tf"))
+    met = postings.join(asked, ["query_id", "token"]).withColumn("df", F.count("*").over(Window.partitionBy("query_id", "token")))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    score = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    return met.groupBy("query_id", "id").agg(F.sum(score).alias("score"))
+
+
 def reciprocal_rank_fusion(hits: DataFrame, weights: dict[str, float], constant: int = 60) -> DataFrame:
     """query_id, id, score: the sum of weight / (constant + rank) over lanes. hits: query_id, lane, id, rank. Lanes of weight 0 add nothing, not even ids."""
     w = reduce(lambda c, kv: c.when(F.col("lane") == kv[0], F.lit(kv[1])), weights.items(), F.when(F.lit(False), F.lit(0.0)))

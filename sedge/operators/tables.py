@@ -72,3 +72,19 @@ def filled_upsert(stored: DataFrame, incoming: DataFrame, key: list[str]) -> Dat
     rest = [c for c in stored.columns if c not in key]
     new = latest(incoming.select(stored.columns), key, *(F.col(c) for c in stored.columns)).select(*key, *(F.col(c).alias(f"_{c}") for c in rest))
     return stored.join(new, key, "full").select(*key, *(F.coalesce(f"_{c}", c).alias(c) for c in rest))
+
+
+def checked_vectors(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
+    """rows whose vectors have the dimension; one that has not fails the job."""
+    wrong = F.concat(F.lit("a vector has dimension "), F.size(vector).cast("string"))
+    return rows.withColumn(vector, F.when(F.size(vector) == dimension, F.col(vector)).otherwise(F.raise_error(wrong)))
+
+
+def constraint(columns: list[str], asked: list[tuple]) -> Column:
+    """All of the (field, operator, value) constraints on known fields, as one condition; without any, true."""
+
+    def of(field: str, operator: str, value) -> Column:
+        c = F.col(field)
+        return {"eq": lambda: c == value, "contains": lambda: c.startswith(value), "in": lambda: c.isin(value), "not": lambda: c != value}[operator]()
+
+    return reduce(lambda a, b: a & b, (of(*x) for x in asked if x[0] in columns), F.lit(True))

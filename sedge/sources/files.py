@@ -29,3 +29,28 @@ def page_text(html: Column) -> Column:
     html = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
     held = [F.nullif(F.regexp_extract(html, f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}>", 1), F.lit("")) for tag in HOLDERS]
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(*held, html), "(?s)<[^>]*>", " "), r"[ \t\r\n\f]+", " "))
+
+
+def json_records(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Records of JSON files with a stated schema; a record that does not fit it fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def markdown_tables(rows: DataFrame, sheet: str, columns: list[str], order: str) -> DataFrame:
+    """sheet, text: a heading and a Markdown table for each sheet, its rows in order. A sheet is one text, so it is as large as that."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |"))
+    head = F.concat(F.lit("## "), F.col(sheet).cast("string"), F.lit("\n| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |\n"))
+    listed = rows.groupBy(sheet).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("l"))
+    return listed.select(sheet, F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text")).withColumnRenamed(sheet, "sheet")
+
+
+#: Extensions by format, in the order in which they are tried.
+FORMATS = (("text", "txt|text"), ("markdown", "md|markdown"), ("sheet", "xlsx|xls|csv"), ("json", "json"), ("pdf", "pdf"), ("docx", "docx"), ("pptx", "pptx"))
+
+
+def format_of(name: Column) -> Column:
+    """How a source is read: by its address, else by its extension, else as raw text."""
+    out = F.when(name.rlike(r"^https?://(www\.)?(youtube\.com|youtu\.be)/"), "youtube").when(name.rlike("^https?://"), "url")
+    for kind, extensions in FORMATS:
+        out = out.when(F.lower(name).rlike(rf"\.({extensions})$"), kind)
+    return out.otherwise("raw")
