@@ -14,6 +14,11 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, where f uses it in a lambda over an array."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
@@ -29,8 +34,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v at length 1; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
 def similarity(raw: Column, metric: str) -> Column:
@@ -46,10 +50,10 @@ def statistics(v: Column) -> dict[str, Column]:
     mean = total(v) / n
 
     def moment(k: int) -> Column:
-        return total(F.transform(v, lambda x: F.pow(x - mean, F.lit(float(k))))) / n
+        return let(mean, lambda m: total(F.transform(v, lambda x: F.pow(x - m, F.lit(float(k)))))) / n
 
     var, l1 = moment(2), total(F.transform(v, F.abs))
-    share = F.transform(v, lambda x: F.try_divide(F.abs(x), l1))
+    share = let(l1, lambda whole: F.transform(v, lambda x: F.try_divide(F.abs(x), whole)))
     return {
         "mean": mean,
         "variance": var,
@@ -79,14 +83,14 @@ def static_weight(v: Column) -> dict[str, Column]:
     mean = total(v) / n
     return {
         "l2": norm(v), "l1": total(F.transform(v, F.abs)), "top": F.array_max(F.transform(v, F.abs)), "mean": mean,
-        "variance": total(F.transform(v, lambda x: F.pow(x - mean, F.lit(2.0)))) / n, "sparsity": F.size(F.filter(v, lambda x: F.abs(x) <= 1e-6)) / n,
+        "variance": let(mean, lambda m: total(F.transform(v, lambda x: F.pow(x - m, F.lit(2.0))))) / n, "sparsity": F.size(F.filter(v, lambda x: F.abs(x) <= 1e-6)) / n,
     }
 
 
 def entropy(v: Column) -> Column:
     """Bits of the entries' absolute shares; 0 for a zero vector."""
     l1 = total(F.transform(v, F.abs))
-    shares = F.transform(v, lambda x: F.coalesce(F.try_divide(F.abs(x), l1), F.lit(0.0)))
+    shares = let(l1, lambda whole: F.transform(v, lambda x: F.coalesce(F.try_divide(F.abs(x), whole), F.lit(0.0))))
     return -total(F.transform(shares, lambda p: F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0))))
 
 

@@ -37,7 +37,7 @@ def w15_first_relevant(spark, d):
 
 
 @query("""WITH q AS (SELECT DISTINCT source FROM documents UNION SELECT 'nowhere' || doc_id FROM labels WHERE quality + toxic > 0 AND doc_id % 50 = 0)
- SELECT source AS query_id, CASE WHEN source LIKE 'nowhere%' THEN 0.0 END AS recall FROM q WHERE source LIKE 'nowhere%'""")
+ SELECT source AS query_id, CASE WHEN source LIKE 'nowhere%' THEN CAST(0 AS DOUBLE) END AS recall FROM q WHERE source LIKE 'nowhere%'""")
 def e1_queries_without_hits(spark, d):
     """A query with gold and nothing ranked scores 0 and is there."""
     ranked, _ = _ranked(spark, d)
@@ -124,7 +124,7 @@ def g11_eval_summary(spark, d):
 
 
 @query(f"""WITH {_CASES}, s AS ({_SUMMARY}), f AS (SELECT unnest(['FAILED_CASES', 'RECALL_AT_K', 'REQUIRED_FACT_COVERAGE', 'UNANSWERABLE_TPR', 'ANSWERABLE_ABSTAIN_FPR', 'SELECTIVE_ACCURACY', 'TOKEN_COVERAGE']) AS code, unnest([(total - completed)::DOUBLE, recall, facts, tpr, fpr, selective, token_cover]) AS actual, unnest([0.0, 1, 1, 1, 0, 1, 0.3]) AS expected, unnest(['=', '=', '=', '=', '=', '=', '>=']) AS rule FROM s)
- SELECT code, actual, expected FROM f WHERE CASE rule WHEN '=' THEN actual IS DISTINCT FROM expected ELSE actual IS NULL OR actual < expected END""")
+ SELECT code, actual, CAST(expected AS DOUBLE) AS expected FROM f WHERE CASE rule WHEN '=' THEN actual IS DISTINCT FROM expected ELSE actual IS NULL OR actual < expected END""")
 def e5_gate_findings(spark, d):
     s = evaluation.summary(_cases(spark, d)).withColumn("failed", (F.col("total") - F.col("completed")).cast("double"))
     rules = [("FAILED_CASES", "failed", "=", 0.0), ("RECALL_AT_K", "recall", "=", 1.0), ("REQUIRED_FACT_COVERAGE", "facts", "=", 1.0), ("UNANSWERABLE_TPR", "tpr", "=", 1.0), ("ANSWERABLE_ABSTAIN_FPR", "fpr", "=", 0.0), ("SELECTIVE_ACCURACY", "selective", "=", 1.0), ("TOKEN_COVERAGE", "token_cover", ">=", 0.3)]

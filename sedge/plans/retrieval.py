@@ -207,7 +207,7 @@ def r16_entity_lookup(spark, d):
 
 @query("""WITH q AS (SELECT p_partkey, p_brand AS name FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'none such ' || p_partkey FROM part WHERE p_partkey % 3 = 2),
  a AS (SELECT p_brand AS name, min(p_name) AS standard FROM part GROUP BY 1), n AS (SELECT DISTINCT p_name AS name FROM part)
- SELECT p_partkey, coalesce(a.standard, n.name, q.name) AS standard, CASE WHEN a.name IS NOT NULL THEN 'alias' WHEN n.name IS NOT NULL THEN 'exact' ELSE 'self' END AS how, 1.0 AS confidence FROM q LEFT JOIN a USING (name) LEFT JOIN n ON n.name = q.name""")
+ SELECT p_partkey, coalesce(a.standard, n.name, q.name) AS standard, CASE WHEN a.name IS NOT NULL THEN 'alias' WHEN n.name IS NOT NULL THEN 'exact' ELSE 'self' END AS how, CAST(1 AS DOUBLE) AS confidence FROM q LEFT JOIN a USING (name) LEFT JOIN n ON n.name = q.name""")
 def r17_f24_entity_validation(spark, d):
     """An alias becomes its standard name, a known name and an unknown one stay."""
     p = table(spark, d, "part")
@@ -254,7 +254,7 @@ def p10_hallucinated_entities(spark, d):
 
 
 @query("""WITH t AS (SELECT item_id, lower(text) AS t, length(text) AS n FROM benchmark) SELECT item_id, CASE WHEN regexp_matches(t, '^(hi|hello|你好)\\b') THEN 'chat' WHEN regexp_matches(t, 'why|how|explain|compare') THEN 'reasoning' WHEN n > 200 THEN 'reasoning' END AS intent,
- CASE WHEN regexp_matches(t, '^(hi|hello|你好)\\b') THEN 0.95 WHEN regexp_matches(t, 'why|how|explain|compare') THEN 0.9 WHEN n > 200 THEN 0.8 END AS confidence FROM t""")
+ CAST(CASE WHEN regexp_matches(t, '^(hi|hello|你好)\\b') THEN 0.95 WHEN regexp_matches(t, 'why|how|explain|compare') THEN 0.9 WHEN n > 200 THEN 0.8 END AS DOUBLE) AS confidence FROM t""")
 def f25_rule_intent(spark, d):
     t = F.lower("text")
     rules = ((t.rlike(r"^(hi|hello|你好)\b"), "chat", 0.95), (t.rlike("why|how|explain|compare"), "reasoning", 0.9), (F.length("text") > 200, "reasoning", 0.8))
@@ -285,7 +285,7 @@ def f27_intent_shares(spark, d):
     return table(spark, d, "documents").select("doc_id", *(F.round(F.coalesce(F.try_divide(c, whole), F.lit(0.0)), 6).alias(k) for k, c in raw.items()))
 
 
-@query(f"WITH c AS (SELECT doc_id, {_HITS} FROM (SELECT doc_id, lower(text) AS t FROM documents)) SELECT doc_id, CASE WHEN greatest(tech, law, trade) = 0 THEN 'general' WHEN tech = greatest(tech, law, trade) THEN 'tech' WHEN law = greatest(tech, law, trade) THEN 'law' ELSE 'trade' END AS domain, least(0.95, 0.3 + 0.15 * greatest(tech, law, trade)) AS confidence FROM c")
+@query(f"WITH c AS (SELECT doc_id, {_HITS} FROM (SELECT doc_id, lower(text) AS t FROM documents)) SELECT doc_id, CASE WHEN greatest(tech, law, trade) = 0 THEN 'general' WHEN tech = greatest(tech, law, trade) THEN 'tech' WHEN law = greatest(tech, law, trade) THEN 'law' ELSE 'trade' END AS domain, round(CAST(least(0.95, 0.3 + 0.15 * greatest(tech, law, trade)) AS DOUBLE), 2) AS confidence FROM c")
 def f29_domain_recognition(spark, d):
     t = F.lower("text")
     hits = {k: sum((t.contains(w).cast("int") for w, _ in ws), F.lit(0)) for k, ws in _CATEGORIES.items()}
@@ -293,7 +293,7 @@ def f29_domain_recognition(spark, d):
     domain = F.when(top == 0, "general")
     for k, n in hits.items():
         domain = domain.when(n == top, k)
-    return table(spark, d, "documents").select("doc_id", domain.alias("domain"), F.least(F.lit(0.95), 0.3 + 0.15 * top).alias("confidence"))
+    return table(spark, d, "documents").select("doc_id", domain.alias("domain"), F.round(F.least(F.lit(0.95), 0.3 + 0.15 * top), 2).alias("confidence"))
 
 
 @query("""WITH m AS (SELECT conv_id, turn, 'quoted' AS kind, unnest(regexp_extract_all(text, '"([^"]+)"', 1)) AS name FROM conversations UNION ALL SELECT conv_id, turn, 'measure', unnest(regexp_extract_all(text, '[0-9]+ ?(?:kg|km|MB|GB|ms|%)')) FROM conversations

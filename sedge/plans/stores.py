@@ -288,14 +288,18 @@ def g18_inventory_completeness(spark, d):
 @query("""WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents), v AS (SELECT doc_id, strlen(t) / length(t) AS x FROM t WHERE t <> '') SELECT doc_id, count(*) AS tokens, round(avg(x), 6) AS mean, round(max(x), 6) AS high, round(min(x), 6) AS low, round(var_pop(x), 6) AS variance, round(avg(CAST(x < 1.05 AS INT)), 6) AS low_share FROM v GROUP BY doc_id""")
 def g30_density_statistics(spark, d):
     """Bytes to a character over a document's words, in its own row."""
-    words = F.transform(F.filter(F.split("text", " "), lambda t: t != ""), lambda t: F.octet_length(t) / F.length(t))
     from sedge.functions import vectors as V
 
-    n, v = F.size("x"), F.col("x")
-    mean = V.total(v) / n
-    rows = table(spark, d, "documents").select("doc_id", words.alias("x")).where(F.size("x") > 0)
-    var = V.total(F.transform(v, lambda x: F.pow(x - mean, F.lit(2.0)))) / n
-    return rows.select("doc_id", n.cast("long").alias("tokens"), *(F.round(c, 6).alias(k) for k, c in (("mean", mean), ("high", F.array_max(v)), ("low", F.array_min(v)), ("variance", var), ("low_share", F.size(F.filter(v, lambda x: x < 1.05)) / n))))
+    words = F.transform(F.filter(F.split("text", " "), lambda t: t != ""), lambda t: F.octet_length(t) / F.length(t))
+
+    def measured(v):
+        n, mean = F.size(v), V.total(v) / F.size(v)
+        var = V.let(mean, lambda m: V.total(F.transform(v, lambda x: F.pow(x - m, F.lit(2.0))))) / n
+        parts = {"mean": mean, "high": F.array_max(v), "low": F.array_min(v), "variance": var, "low_share": F.size(F.filter(v, lambda x: x < 1.05)) / n}
+        return F.struct(n.cast("long").alias("tokens"), *(F.round(c, 6).alias(k) for k, c in parts.items()))
+
+    rows = table(spark, d, "documents").select("doc_id", V.let(words, lambda v: F.when(F.size(v) > 0, measured(v))).alias("m"))
+    return rows.where("m IS NOT NULL").select("doc_id", "m.*")
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS t FROM documents), k AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS t FROM benchmark), f AS (SELECT doc_id, avg(CAST(t IN (SELECT t FROM k) AS INT)) AS known, avg(CAST(regexp_matches(t, '[^\\x00-\\x7F]') AS INT)) AS fallback, avg(1 / (1 + length(t))) AS freq FROM t WHERE t <> '' GROUP BY 1),

@@ -107,7 +107,7 @@ def f30_token_kinds(spark, d):
     return words.groupBy("item_id", "token", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, props->>'k' AS k, json_exists(props, 'k') AS has_k, json_array_length(json_keys(props)) AS n_keys FROM events")
+@query("SELECT event_id, props->>'k' AS k, json_exists(props, 'k') AS has_k, CAST(json_array_length(json_keys(props)) AS BIGINT) AS n_keys FROM events")
 def f35_json_paths(spark, d):
     p = F.col("props")
     return table(spark, d, "events").select("event_id", F.get_json_object(p, "$.k").alias("k"), F.array_contains(F.json_object_keys(p), "k").alias("has_k"), F.size(F.json_object_keys(p)).cast("long").alias("n_keys"))
@@ -209,7 +209,7 @@ def x1_byte_stage(spark, d):
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) SELECT doc_id, c AS ch, strlen(c) AS bytes, count(*) AS n,
- CASE WHEN regexp_matches(c, '[\\x{4e00}-\\x{9fff}]') THEN 13.0 WHEN regexp_matches(c, '[a-zA-Z]') THEN 4.7 WHEN regexp_matches(c, '[0-9]') THEN 3.3 ELSE 6.0 END AS entropy FROM c WHERE c <> '' GROUP BY ALL""")
+ CAST(CASE WHEN regexp_matches(c, '[\\x{4e00}-\\x{9fff}]') THEN 13.0 WHEN regexp_matches(c, '[a-zA-Z]') THEN 4.7 WHEN regexp_matches(c, '[0-9]') THEN 3.3 ELSE 6.0 END AS DOUBLE) AS entropy FROM c WHERE c <> '' GROUP BY ALL""")
 def x2_character_stage(spark, d):
     c = F.col("ch")
     entropy = F.when(c.rlike("[\\u4e00-\\u9fff]"), 13.0).when(c.rlike("[a-zA-Z]"), 4.7).when(c.rlike("[0-9]"), 3.3).otherwise(6.0)

@@ -174,7 +174,7 @@ def w5_grouped_search(spark, d):
     """The three best labels of each query, two hits of each."""
     e = table(spark, d, "embeddings")
     parts = ranking.grouped_vector_search(e, e.where("vec_id % 50 = 0"), "label", groups=3, size=2)
-    return parts.select("query_id", "label", "id", F.round("score", 6).alias("score"), F.col("grp").cast("long").alias("grp"), F.col("place").cast("long").alias("place"))
+    return parts.select("query_id", F.col("label").cast("int").alias("label"), "id", F.round("score", 6).alias("score"), F.col("grp").cast("long").alias("grp"), F.col("place").cast("long").alias("place"))
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 50 = 0),
