@@ -170,3 +170,11 @@ def packed_paragraphs(text: Column, size: int, overlap: int) -> Column:
         return F.struct(F.when(full, F.array_append(s["done"], F.trim(s["open"]))).otherwise(s["done"]).alias("done"), F.concat(head, F.when(head != "", F.lit("\n\n")).otherwise(F.lit("")), p).alias("open"))
 
     return F.aggregate(parts, start, step, lambda s: F.when(s["open"] != "", F.array_append(s["done"], F.trim(s["open"]))).otherwise(s["done"]))
+
+
+def closed_json(text: Column) -> Column:
+    """text with the brackets that it opens and does not close, arrays before objects; brackets inside strings are not told apart."""
+    def missing(opened: str, closed: str) -> Column:
+        return F.greatest(F.lit(0), length_without(text, f"[^\\{opened}]") - length_without(text, f"[^\\{closed}]"))
+
+    return F.concat(text, F.repeat(F.lit("]"), missing("[", "]")), F.repeat(F.lit("}"), missing("{", "}")))

@@ -329,3 +329,36 @@ def f33_json_in_text(spark, d):
     t = F.col("text")
     found = F.when(t.rlike(r"(?s)^\s*\{.*\}\s*$"), "whole").when(t.rlike(r"(?s)```(json)?\s*\{.*\}\s*```"), "fenced").when(t.rlike(r"(?s)\{.*\}"), "inside").otherwise("none")
     return table(spark, d, "conversations").select("conv_id", "turn", found.alias("found"))
+
+
+@query("""WITH t AS (SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ') AS title, length(html) AS n FROM pages) SELECT page_id, title, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CAST(greatest(1, ceil(n / 400.0)) AS BIGINT) AS minutes,
+ CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 99 END AS category FROM t ORDER BY category, title, page_id""")
+def s25_article_list(spark, d):
+    """Articles by their category's place in a list (others last), then title."""
+    title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    k = F.col("page_id") % 3
+    name = F.when(k == 0, "guide").when(k == 1, "news").otherwise("misc")
+    place = F.array_position(F.array(F.lit("guide"), F.lit("news")), name)
+    rows = table(spark, d, "pages").select("page_id", title.alias("title"), T.slug(title).alias("slug"), F.greatest(F.lit(1), F.ceil(F.length("html") / 400)).cast("long").alias("minutes"), F.when(place > 0, place).otherwise(99).cast("int").alias("category"))
+    return rows.orderBy("category", "title", "page_id")
+
+
+@query("""WITH p AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_一-龥]+'), lambda t: t <> '')) AS token FROM documents) SELECT 'dense' AS side, count(*) AS n FROM embeddings UNION ALL SELECT 'lexical', count(*) FROM p""")
+def k7_k8_dual_write(spark, d):
+    """Vectors and token postings written side by side; a pointer names both only when both are whole, and readers go by it."""
+    base = f"{shared_dir(spark)}/dual-{uuid.uuid4().hex}"
+    table(spark, d, "embeddings").write.parquet(f"{base}/dense")
+    table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.lexical_tokens(F.col("text")))).alias("token")).write.parquet(f"{base}/lexical")
+    spark.createDataFrame([("dense", f"{base}/dense"), ("lexical", f"{base}/lexical")], "side string, path string").write.parquet(f"{base}/current")
+    sides = {r.side: r.path for r in spark.read.parquet(f"{base}/current").collect()}  # two rows
+    counted = [spark.read.parquet(sides[s]).agg(F.lit(s).alias("side"), F.count("*").alias("n")) for s in ("dense", "lexical")]
+    return counted[0].unionByName(counted[1])
+
+
+@query("SELECT l_orderkey AS graph, count(DISTINCT l_partkey) AS nodes, CAST(sum(l_quantity) AS BIGINT) AS weight FROM lineitem GROUP BY 1")
+def k29_graph_serialised(spark, d):
+    """Nodes as a map by name, written as JSON entries, and read back into the map."""
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("graph"), F.col("l_partkey").cast("string").alias("node")).agg(F.sum("l_quantity").cast("long").alias("w"))
+    text = n.groupBy("graph").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("node", "w")))).alias("text"))
+    back = text.select("graph", F.from_json("text", "map<string,bigint>").alias("m"))
+    return back.select("graph", F.size(F.map_keys("m")).cast("long").alias("nodes"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("weight"))

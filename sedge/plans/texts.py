@@ -279,3 +279,61 @@ def w6_w7_chunk_neighbours(spark, d):
     w = Window.partitionBy("doc_id").orderBy("idx")
     head = F.md5(F.substring("c.content", 1, 100))
     return c.select("doc_id", F.col("idx").cast("long").alias("idx"), "total", F.when(F.col("idx") > 0, head).alias("before"), F.lead(head).over(w).alias("after"))
+
+
+@query("""SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens, t[1] AS first FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_一-龥]+'), lambda t: t <> '') AS t FROM documents)""")
+def f1_lexical_tokens(spark, d):
+    t = table(spark, d, "documents").select("doc_id", T.lexical_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"), F.try_element_at("t", F.lit(1)).alias("first"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_name || repeat('知识', p_size % 4) AS t, p_size % 4 * 2 AS cjk FROM part) SELECT p_partkey, CAST(ceil(cjk / 1.5 + (length(t) - cjk) / 4) AS BIGINT) AS chat FROM c""")
+def f16_chat_tokens(spark, d):
+    """Names with some ideographs added, so that both kinds count."""
+    t = F.concat("p_name", F.repeat(F.lit("知识"), F.col("p_size") % 4))
+    return table(spark, d, "part").select("p_partkey", T.tokens_chat(t).alias("chat"))
+
+
+@query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
+def f34_repaired_json(spark, d):
+    """JSON that was cut before its last brackets is closed again, then read."""
+    cut = F.regexp_replace("props", "[}\\]]+$", "")
+    return table(spark, d, "events").select("event_id", F.get_json_object(T.closed_json(cut), "$.k").cast("long").alias("k"))
+
+
+@query("""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT user_id, list(n ORDER BY n DESC) AS n FROM n GROUP BY 1), x AS (SELECT user_id, 1 - coalesce(n[2], 0) / n[1] AS s FROM s)
+ SELECT user_id, round(s, 6) AS stability, CASE WHEN s >= 0.7 THEN 'stable' WHEN s >= 0.5 THEN 'moderate' WHEN s >= 0.3 THEN 'unstable' ELSE 'critical' END AS level FROM x""")
+def x7_stability(spark, d):
+    """One less the share of the second choice in the first; choices here are a user's kinds of events."""
+    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
+    two = n.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("user_id").agg(F.max("n").alias("a"), F.sum(F.when(F.col("r") == 2, F.col("n"))).alias("b"))
+    s = two.select("user_id", (1 - F.coalesce("b", F.lit(0)) / F.col("a")).alias("s"))
+    level = F.when(F.col("s") >= 0.7, "stable").when(F.col("s") >= 0.5, "moderate").when(F.col("s") >= 0.3, "unstable").otherwise("critical")
+    return s.select("user_id", F.round("s", 6).alias("stability"), level.alias("level"))
+
+
+@query("""WITH h AS (SELECT p_partkey, 0.4 * least(1, length(p_name) / 10) + 0.3 * least(1, strlen(p_brand) / 10) + 0.3 * least(1, p_size / 20 / 2) AS h FROM part) SELECT p_partkey, round(CAST(h AS DOUBLE), 6) AS heat, CASE WHEN h >= 0.8 THEN 'hot' WHEN h >= 0.6 THEN 'warm' WHEN h >= 0.4 THEN 'neutral' ELSE 'cold' END AS kind FROM h""")
+def x10_heat(spark, d):
+    h = 0.4 * F.least(F.lit(1.0), F.length("p_name") / 10) + 0.3 * F.least(F.lit(1.0), F.octet_length("p_brand") / 10) + 0.3 * F.least(F.lit(1.0), F.col("p_size") / 20 / 2)
+    kind = F.when(h >= 0.8, "hot").when(h >= 0.6, "warm").when(h >= 0.4, "neutral").otherwise("cold")
+    return table(spark, d, "part").select("p_partkey", F.round(h, 6).alias("heat"), kind.alias("kind"))
+
+
+@query("""WITH t AS (SELECT lang, text, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_一-龥]+'), lambda t: t <> '')) AS lexical, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS words FROM documents)
+ SELECT coalesce(lang, '') AS lang, 'lexical' AS tokenizer, CAST(sum(lexical) AS BIGINT) AS tokens, round(sum(strlen(text)) / sum(lexical), 6) AS bytes_per_token FROM t GROUP BY 1 UNION ALL SELECT coalesce(lang, ''), 'words', CAST(sum(words) AS BIGINT), round(sum(strlen(text)) / sum(words), 6) FROM t GROUP BY 1""")
+def x12_tokenizer_comparison(spark, d):
+    t = F.col("text")
+    counts = {"lexical": F.size(T.lexical_tokens(t)), "words": F.size(T.matches(F.lower(t), "[\\p{L}\\p{N}]+"))}
+    listed = F.array(*(F.struct(F.lit(k).alias("tokenizer"), c.alias("n")) for k, c in counts.items()))
+    rows = table(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), F.octet_length(t).alias("bytes"), F.explode(listed).alias("c"))
+    return rows.groupBy("lang", "c.tokenizer").agg(F.sum("c.n").alias("tokens"), F.round(F.sum("bytes") / F.sum("c.n"), 6).alias("bytes_per_token"))
+
+
+@query("""WITH t AS (SELECT item_id, text, string_split(text, ' ') AS a, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS b FROM benchmark), x AS (SELECT item_id, unnest(a) AS w FROM t)
+ SELECT item_id, count(*) AS words, count(*) FILTER (NOT regexp_full_match(w, '[\\p{L}\\p{N}]+')) AS differing, round(count(*) FILTER (regexp_full_match(w, '[\\p{L}\\p{N}]+')) / count(*), 6) AS consistency FROM x GROUP BY item_id""")
+def x14_x15_tokenizer_differences(spark, d):
+    """Words at spaces against runs of letters and digits: where they are not one token alike, and the share where they are."""
+    words = F.split("text", " ")
+    same = F.size(F.filter(words, lambda w: w.rlike("^[\\p{L}\\p{N}]+$")))
+    return table(spark, d, "benchmark").select("item_id", F.size(words).cast("long").alias("words"), (F.size(words) - same).cast("long").alias("differing"), F.round(same / F.size(words), 6).alias("consistency"))

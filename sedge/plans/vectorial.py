@@ -194,3 +194,25 @@ def c3_similarity_bands(spark, d):
     hits = ranking.vector_search(e, e.where("vec_id % 50 = 0"), 20)
     s = F.col("score")
     return hits.select("query_id", "id", F.when(s >= 0.85, "very_high").when(s >= 0.7, "high").when(s >= 0.5, "medium").when(s >= 0.3, "low").otherwise("very_low").alias("band"))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, list_cosine_similarity(q.v, c.v) AS s FROM v q, v c WHERE q.vec_id % 50 = 0) SELECT query_id, count(*) AS compared, round(avg(s), 6) AS mean, round(max(s), 6) AS high FROM s GROUP BY 1""")
+def j1_query_corpus_similarity(spark, d):
+    """Every stored vector against each of the query set."""
+    e = table(spark, d, "embeddings")
+    hits = ranking.similar_rows(e, e.where("vec_id % 50 = 0"), -2.0)
+    return hits.groupBy("query_id").agg(F.count("*").alias("compared"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("high"))
+
+
+@query(f"WITH {_DOMAIN} SELECT vec_id AS query_id, domain, round(s, 6) AS score FROM s WHERE vec_id % 50 = 0")
+def j15_query_centroids(spark, d):
+    return _to_domains(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "domain", F.round("s", 6).alias("score"))
+
+
+@query(f"WITH {_FOUND}, r AS (SELECT query_id, id, round(0.5 * s + 0.5 * (id % 7) / 7, 6) AS score FROM k WHERE rank <= 20) SELECT query_id, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM r) WHERE place <= 5")
+def o11_rerank_sort(spark, d):
+    """The first twenty get new scores (here half of the old and a feature of the id); the best five of them."""
+    e = table(spark, d, "embeddings")
+    hits = ranking.vector_search(e, e.where("vec_id % 50 = 0"), 20)
+    scored = hits.select("query_id", "id", F.round(0.5 * F.col("score") + 0.5 * (F.col("id") % 7) / 7, 6).alias("score"))
+    return ranking.top(scored, ["query_id"], "score", "id", 5).withColumn("rank", F.col("rank").cast("long")).withColumnRenamed("rank", "place")
