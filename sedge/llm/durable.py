@@ -6,10 +6,15 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bits of a row's place in its file.
+_IN_FILE = 40
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a local session that has none gets a temporary one."""
     sc = spark.sparkContext
@@ -48,9 +53,25 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number of its own for each row, kept as Parquet in the shared folder so that it stays, and its column's name."""
+    """docs with a number of its own for each row, the same in every reading, and its column's name.
+
+    docs is a table of Parquet files as it is read (its columns may be chosen or replaced and its rows filtered), whose rows are numbered by
+    their file, in the order of paths, and their place in it, so nothing is written. Other tables are kept as Parquet in the shared
+    folder first, as their rows have no lasting place. What was joined or exploded is to be written before.
+    """
     key = unused(docs, "row_key")
-    rows = docs.withColumn(key, F.monotonically_increasing_id())
-    path = f"{shared_dir(docs.sparkSession)}/keyed-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path), key
+    path, at = unused(docs, "row_file"), unused(docs, "row_at")
+    try:
+        if "_metadata" in docs.columns:
+            raise AnalysisException("a column of the table's own")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+        placed.schema  # noqa: B018  resolved here, so that tables without places are told apart
+    except AnalysisException:
+        rows = docs.withColumn(key, F.monotonically_increasing_id())
+        kept = f"{shared_dir(docs.sparkSession)}/keyed-{uuid.uuid4().hex}"
+        rows.write.parquet(kept)
+        return docs.sparkSession.read.schema(rows.schema).parquet(kept), key
+    # one row for each file
+    files = checkpointed(placed.select(path).distinct()).select(path, (F.row_number().over(Window.orderBy(path)) - 1).cast("long").alias(key))
+    numbered = placed.join(F.broadcast(files), path)
+    return numbered.select(*docs.columns, (F.shiftleft(key, _IN_FILE) + F.col(at)).alias(key)), key
