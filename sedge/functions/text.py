@@ -178,3 +178,13 @@ def closed_json(text: Column) -> Column:
         return F.greatest(F.lit(0), length_without(text, f"[^\\{opened}]") - length_without(text, f"[^\\{closed}]"))
 
     return F.concat(text, F.repeat(F.lit("]"), missing("[", "]")), F.repeat(F.lit("}"), missing("{", "}")))
+
+
+def letters_joined(text: Column) -> Column:
+    """Line ends as \\n, three or more single letters in a row joined to a word, no white space at the ends of lines."""
+    lines = F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), "[ \\t]+(?=\\n)", "")
+    # a space between two single letters goes if a third stands next to them
+    apart = "(?<=\\b[A-Za-z]) (?=[A-Za-z]\\b)"
+    run = "(?:\\b[A-Za-z] ){2,}[A-Za-z]\\b"
+    joined = F.aggregate(matches(lines, run), lines, lambda t, m: F.replace(t, m, F.regexp_replace(m, apart, "")))
+    return F.trim(joined)

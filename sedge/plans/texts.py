@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sedge.functions import splitting
 from sedge.functions import text as T
 from sedge.plans.registry import query, table
 
@@ -337,3 +338,61 @@ def x14_x15_tokenizer_differences(spark, d):
     words = F.split("text", " ")
     same = F.size(F.filter(words, lambda w: w.rlike("^[\\p{L}\\p{N}]+$")))
     return table(spark, d, "benchmark").select("item_id", F.size(words).cast("long").alias("words"), (F.size(words) - same).cast("long").alias("differing"), F.round(same / F.size(words), 6).alias("consistency"))
+
+
+@query()
+def f4_recursive_chunks(spark, d):
+    """Chunks with their offsets; tested against a plain search of the source and hand-made texts."""
+    c = table(spark, d, "documents").select("doc_id", "text", F.posexplode(splitting.chunks_of("text", 500, 50)).alias("idx", "c"))
+    return c.select("doc_id", "idx", "c.start", "c.end", F.md5(F.substring(F.col("text"), F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))).alias("digest"))
+
+
+@query()
+def s13_pages(spark, d):
+    """Pages of whole documents; tested against a plain loop."""
+    p = table(spark, d, "documents").select("doc_id", F.posexplode(splitting.pages_of(F.col("text"))).alias("idx", "page"))
+    return p.select("doc_id", "idx", F.length("page").alias("chars"), F.md5("page").alias("digest"))
+
+
+@query("""SELECT p_partkey, regexp_replace(trim(regexp_replace(replace('x ' || array_to_string(string_split(p_brand, ''), ' ') || chr(13) || chr(10) || p_name || '   ', chr(13) || chr(10), chr(10)), '[ \\t]+\\n', chr(10), 'g'), ' '), '\\b([A-Za-z]) ([A-Za-z]) ([A-Za-z]) ([A-Za-z]) ([A-Za-z]) ([A-Za-z])\\b', '\\1\\2\\3\\4\\5\\6') AS text FROM part""")
+def f12_letter_spacing(spark, d):
+    """Brand names set with a space between their letters, as PDF text often is, are joined again."""
+    raw = F.concat(F.lit("x "), F.array_join(F.filter(F.split("p_brand", ""), lambda c: c != ""), " "), F.lit("\r\n"), F.col("p_name"), F.lit("   "))
+    return table(spark, d, "part").select("p_partkey", T.letters_joined(raw).alias("text"))
+
+
+@query("""WITH c AS (SELECT doc_id, list_concat(list_concat(CASE WHEN contains(t, 'law') THEN ['law'] ELSE [] END, CASE WHEN contains(t, 'court') THEN ['court'] ELSE [] END), list_concat(list_concat(CASE WHEN contains(t, 'price') THEN ['price'] ELSE [] END, CASE WHEN contains(t, 'market') THEN ['market'] ELSE [] END), CASE WHEN contains(t, 'order') THEN ['order'] ELSE [] END)) AS c FROM (SELECT doc_id, lower(text) AS t FROM documents))
+ SELECT doc_id, array_to_string(CASE WHEN len(c) = 0 THEN ['data', 'code'] ELSE c[1:5] END, ',') AS concepts FROM c""")
+def f28_nearest_concepts(spark, d):
+    """Keywords of the other categories that the text has, five at most; without any, those of its own."""
+    t = F.lower("text")
+    own, others = ["data", "code"], ["law", "court", "price", "market", "order"]
+    found = F.filter(F.array(*map(F.lit, others)), lambda w: t.contains(w))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.when(F.size(found) == 0, F.array(*map(F.lit, own))).otherwise(F.slice(found, 1, 5)), ",").alias("concepts"))
+
+
+@query("""WITH r AS (SELECT p_type AS name, p_name AS description, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n, min(p_partkey) OVER (PARTITION BY p_type) AS first FROM part) SELECT name, left(description, 12) AS description, place FROM (SELECT *, row_number() OVER (ORDER BY first) AS place FROM r WHERE n = 1) WHERE place <= 10""")
+def f50_ontology_types(spark, d):
+    """The first description of each type, cut; ten types at most, in the order in which they come. Only ten rows are numbered."""
+    p = table(spark, d, "part").groupBy(F.col("p_type").alias("name")).agg(F.min("p_partkey").alias("first"), F.min_by("p_name", "p_partkey").alias("description"))
+    ten = p.orderBy("first").limit(10)
+    return ten.select("name", F.substring("description", 1, 12).alias("description"), F.row_number().over(Window.orderBy("first")).cast("long").alias("place"))
+
+
+_VOCABULARY = """v AS (SELECT token, row_number() OVER (ORDER BY f DESC, token) - 1 AS rank, f FROM (SELECT left(t, 1 + CAST(k AS INT)) AS token, count(*) AS f FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark), range(0, 4) r(k) WHERE length(t) > k GROUP BY 1))"""
+
+
+@query(f"""WITH {_VOCABULARY}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), m AS (SELECT w, token, length(token) AS n, 0.7 * ln(f + 1) / 10 + 0.3 / (rank + 1) AS score FROM w JOIN v ON starts_with(w, token))
+ SELECT w AS word, max(n) AS longest, arg_max(token, score * 1000000 - n) AS best, count(*) AS candidates FROM m GROUP BY w""")
+def x3_trie_matches(spark, d):
+    """At the start of each word: the longest token and the one of the best score, of equals the shorter. A word's prefixes meet the vocabulary by equality."""
+    words = table(spark, d, "benchmark").select(F.explode(T.matches(F.lower("text"), "[a-z]+")).alias("word"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length("word"))), lambda n: F.substring("word", F.lit(1), n))
+    vocabulary = words.select(F.explode(prefixes).alias("token")).groupBy("token").agg(F.count("*").alias("f"))
+    # ranks as in x6: a range sort and the sizes of its parts
+    ordered = vocabulary.repartitionByRange(F.desc("f"), F.asc("token")).sortWithinPartitions(F.desc("f"), F.asc("token")).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"))
+    before = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    v = ordered.join(F.broadcast(before), "part").select("token", (0.7 * F.log(F.col("f") + 1) / 10 + 0.3 / (F.col("base") + F.col("at") + 1)).alias("score"))  # one row for each partition
+    met = words.distinct().select("word", F.explode(prefixes).alias("token")).join(v, "token")
+    best = F.max_by("token", F.struct("score", (-F.length("token")).alias("n")))
+    return met.groupBy("word").agg(F.max(F.length("token")).cast("long").alias("longest"), best.alias("best"), F.count("*").alias("candidates"))

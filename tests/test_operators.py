@@ -217,3 +217,47 @@ def test_gate_takes_null_as_broken(spark):
 
 def test_nearest_rank_of_nothing(spark):
     assert spark.createDataFrame([], "v double").agg(aggregates.nearest_rank("v", 0.5).alias("x")).first().x is None
+
+
+def test_recursive_chunks():
+    from sedge.functions.splitting import recursive_chunks
+
+    def texts(t, size, overlap):
+        return [t[a:b] for a, b in recursive_chunks(t, size, overlap)]
+
+    assert texts("aaa bbb ccc ddd", 7, 3) == ["aaa bbb", "ccc", "ddd"]
+    assert texts("aaa bbb ccc ddd", 8, 4) == ["aaa bbb", "bbb ccc", "ccc ddd"]
+    assert texts("one. two. three", 9, 0) == ["one. two", ". three"] and texts("abcdefgh", 3, 1) == ["abc", "cde", "efg", "gh"]
+    assert texts("p one\n\np two\n\nlonger than that", 12, 0) == ["p one\n\np two", "longer than", "that"] and texts("", 5, 0) == []
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        t = "".join(r.choice(list("ab .\n。é"), 120))
+        spans = recursive_chunks(t, 20, 6)
+        assert all(0 < b - a <= 20 for a, b in spans) and all(x[0] < y[0] or x[1] < y[1] for x, y in zip(spans, spans[1:], strict=False))
+        covered = {i for a, b in spans for i in range(a, b)}
+        assert all(i in covered or t[i].isspace() for i in range(len(t)))
+
+
+def test_pages(spark):
+    import re
+
+    from sedge.functions.splitting import pages_of
+
+    def plainly(t):
+        if "\f" in t:
+            return [s.strip() for s in t.split("\f") if len(s.strip()) >= 20]
+        parts = re.split(r"\n(?=#{1,3}\s)", t)
+        if len(parts) > 1:
+            return [s.strip() for s in parts if len(s.strip()) >= 20]
+        pages, held = [], ""
+        for p in re.split(r"\n{2,}", t):
+            held += ("\n\n" if held else "") + p.strip()
+            if len(held) >= 60:
+                pages, held = [*pages, held], ""
+        return ([*pages, held.strip()] if len(held.strip()) >= 20 else pages) or [t]
+
+    r = np.random.default_rng(4)
+    made = ["".join(r.choice(["word ", "\n\n", "\n\n\n", "# ", "\n# t ", "longer words here "] + ["\f"] * (k % 3 == 0), 30)) for k in range(60)] + ["", "short"]
+    got = {x.i: x.p for x in spark.createDataFrame(list(enumerate(made)), "i int, t string").select("i", pages_of(F.col("t"), 60).alias("p")).collect()}
+    assert got == {i: plainly(t) for i, t in enumerate(made)}
+    assert QUERIES["s13_pages"](spark, SF).count() >= 200 and QUERIES["f4_recursive_chunks"](spark, SF).count() >= 200
