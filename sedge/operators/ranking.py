@@ -171,11 +171,6 @@ def score_fusion(hits: DataFrame, weights: dict[str, float]) -> DataFrame:
     return hits.join(lane, ["query_id", "lane"]).groupBy("query_id", "id").agg(F.sum(F.coalesce(w, F.lit(0.0)) * scaled).alias("score"))
 
 
-def first_seen(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def source_cap(rows: DataFrame, source: str, order: list[Column], cap: int) -> DataFrame:
     """At most cap rows of each source in the given order; rows without one share a source."""
     w = Window.partitionBy(F.coalesce(source, F.lit(""))).orderBy(*order)
