@@ -1,6 +1,6 @@
 """Flat token files, and the token count of each document in them without an index.
 
-A file is a run of little-endian uint16 ids; each document ends with a separator id. Files are
+A file is a run of little-endian ids of two or four bytes, as the vocabulary needs; each document ends with a separator id. Files are
 cut in blocks of BLOCK_BYTES wherever that falls. A block is searched for separators with one vectorised
 comparison and says how many it has and how many ids stand before its first and after its last. A prefix scan
 over those summaries gives each block the number of its first document and the ids carried into
@@ -9,6 +9,7 @@ it, so documents that cross any number of blocks are stitched.
 
 from __future__ import annotations
 
+import base64
 import uuid
 
 import numpy as np
@@ -29,19 +30,27 @@ def place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 
+def id_bytes(largest: int) -> int:
+    """Bytes of an id in files of a vocabulary whose largest id this is."""
+    return 2 if largest < 1 << 16 else 4
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A byte-pair vocabulary: base64 token and rank a line. Its size is the vocabulary's."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def write_token_files(docs: DataFrame, folder: str, ranks_path: str, pattern: str, separator: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode texts and write a flat file for each partition; returns file, ordinal, doc_id.
+    """Encode texts and write a flat file for each partition, of ids of id_bytes; returns file, ordinal, doc_id.
 
-    ranks_path: a byte-pair vocabulary (base64 token and rank a line), read by the driver and sent with the
-    tasks: its size is the vocabulary's. A file is written under a name of its attempt, then renamed, so a task that runs again
+    ranks_path: see read_ranks; read by the driver and sent with the tasks. A file is written under a name of its attempt, then renamed, so a task that runs again
     leaves one whole file. Null and empty texts have no ids but their separator.
     """
-    import base64
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    if separator in ranks.values() or max(separator, *ranks.values()) >= 1 << 16:
-        raise ValueError("the separator must be free and all ids below 65536")
+    ranks = read_ranks(ranks_path)
+    if separator in ranks.values():
+        raise ValueError("the separator must be free")
+    form = f"<u{id_bytes(max(separator, *ranks.values()))}"
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     schema = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
 
@@ -55,13 +64,13 @@ def write_token_files(docs: DataFrame, folder: str, ranks_path: str, pattern: st
         fs.create_dir(root, recursive=True)
         draft = f"{root}/.{uuid.uuid4().hex}"
         done = 0
-        end = np.array([separator], "<u2").tobytes()
+        end = np.array([separator], form).tobytes()
         with fs.open_output_stream(draft) as out:
             for batch in batches:
                 for at in range(0, len(batch), TEXTS_AT_ONCE):
                     texts = [t.as_py() or "" for t in batch["text"].slice(at, TEXTS_AT_ONCE)]
                     for ids in coder.encode_ordinary_batch(texts, num_threads=1):
-                        out.write(np.array(ids, "<u2").tobytes() + end)
+                        out.write(np.array(ids, form).tobytes() + end)
                 yield pa.record_batch([pa.array([name] * len(batch), pa.string()), pa.array(np.arange(done, done + len(batch))), batch["doc_id"]], schema=schema)
                 done += len(batch)
         if done:
@@ -84,13 +93,13 @@ def blocks(spark: SparkSession, folder: str, block_bytes: int = BLOCK_BYTES) ->
     return rows.select("file", "block", "offset", F.least(F.lit(block_bytes).cast("long"), F.col("size") - F.col("offset")).alias("length"))
 
 
-def count_tokens(spark: SparkSession, folder: str, separator: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_tokens(spark: SparkSession, folder: str, separator: int, block_bytes: int = BLOCK_BYTES, width: int = 2) -> DataFrame:
     """file, ordinal, n_tokens of each document in the folder's token files.
 
-    Ids after a file's last separator are a last document of their own; an empty file has none. Files of an odd number of bytes
-    are an error. An empty folder gives an empty result.
+    width: bytes of an id. Ids after a file's last separator are a last document of their own; an empty file has none. Files that do not hold
+    whole ids are an error. An empty folder gives an empty result.
     """
-    if block_bytes % 2:
+    if block_bytes % width:
         raise ValueError("a block holds whole ids")
     schema = pa.schema([("file", pa.string()), ("block", pa.int32()), ("ids", pa.int64()), ("seps", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("inner", pa.list_(pa.int64()))])
 
@@ -101,10 +110,10 @@ def count_tokens(spark: SparkSession, folder: str, separator: int, block_bytes:
                 with fs.open_input_file(f"{root}/{name}") as f:
                     f.seek(offset)
                     raw = f.read(length)
-                if len(raw) != length or length % 2:
+                if len(raw) != length or length % width:
                     raise ValueError(f"{name}: cut short or of an odd length")
-                at = np.flatnonzero(np.frombuffer(raw, "<u2") == separator)
-                n = length // 2
+                at = np.flatnonzero(np.frombuffer(raw, f"<u{width}") == separator)
+                n = length // width
                 head, tail = (int(at[0]), n - int(at[-1]) - 1) if len(at) else (n, n)
                 yield pa.record_batch([[name], [block], [n], [len(at)], [head], [tail], [np.diff(at) - 1 if len(at) else []]], schema=schema)
 
@@ -142,7 +151,8 @@ def document_token_counts(docs: DataFrame, ranks_path: str, pattern: str, separa
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     index = write_token_files(docs, folder, ranks_path, pattern, separator, id_col, text_col)
-    counted = checkpointed(count_tokens(spark, folder, separator, block_bytes))
+    width = id_bytes(max(separator, *read_ranks(ranks_path).values()))
+    counted = checkpointed(count_tokens(spark, folder, separator, block_bytes, width))
     fs, root = place(folder)
     if fs.get_file_info(root).type != pyarrow.fs.FileType.NotFound:
         fs.delete_dir(root)

@@ -131,9 +131,6 @@ class Words:
         starts, ends = starts[has], ends[has]
         return np.searchsorted(self.bounds, starts, "right") - 1, span_hashes(_BYTE[self.data], starts, ends)
 
-    def text_of(self, doc: int) -> bytes:
-        return self.data[self.bounds[doc] : self.bounds[doc + 1]].tobytes()
-
 
 def repeats(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For entries in document order: is it equal to an earlier one of its document; has it an equal there."""

@@ -90,3 +90,10 @@ def test_ties_at_the_last_neighbour():
     counts = np.zeros((3, quality.TERMS), np.float32)
     counts[:2, 0] = 4
     assert model.score(counts).tolist() == [1.0, 1.0, 0.5]
+
+
+def test_ids_of_four_bytes(spark):
+    """A separator beyond two bytes makes all ids four bytes long; the counts are the same."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "a b", "Hello, world. " * 400, "x"])], "doc_id long, text string")
+    a, b = (sorted((x.doc_id, x.n_tokens) for x in tokenfiles.document_token_counts(df, RANKS, PATTERN, s, block_bytes=64).collect()) for s in (SEPARATOR, 1 << 20))
+    assert a == b and len(a) == 5
