@@ -431,3 +431,46 @@ def r7_capped_and_diverse(spark, d):
     w = Window.partitionBy("query_id", "label").orderBy("rank")
     capped = hits.withColumn("n", F.row_number().over(w)).where("n <= 3").drop("n")
     return ranking.mmr(capped, 10)
+
+
+@query("""WITH e AS (SELECT p_partkey AS id, lower(p_name) AS name, lower(p_brand) AS alias FROM part), q AS (SELECT id AS query_id, CASE WHEN id % 150 = 0 THEN alias WHEN id % 100 = 0 THEN left(name, length(name) - 2) ELSE name END AS q FROM e WHERE id % 50 = 0),
+ m AS (SELECT query_id, id, CASE WHEN q = name THEN 1 WHEN q = alias THEN 2 WHEN (contains(name, q) OR contains(q, name)) AND abs(length(name) - length(q)) < 5 THEN 3 END AS level FROM q, e)
+ SELECT query_id, id, level FROM m WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY level, id) = 1""")
+def r18_name_matching(spark, d):
+    """A name's entity: equal, by alias, or one within the other with under five characters between; of equals the first."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.lower("p_brand").alias("alias"))
+    k, n = F.col("id"), F.col("name")
+    asked = p.where("id % 50 = 0").select(F.struct(k.alias("query_id"), F.when(k % 150 == 0, F.col("alias")).when(k % 100 == 0, F.substring(n, F.lit(1), F.length(n) - 2)).otherwise(n).alias("q")).alias("q"))
+    return context.matched_names(p, asked)
+
+
+@query(f"""WITH {_EVIDENCE}, x AS (SELECT query_id, lane, id, coalesce(s >= CASE lane WHEN 'dense' THEN 0.3 ELSE 8 END, false) AS good FROM ev) SELECT query_id, lane, id FROM x WHERE good OR query_id % 100 > 0""")
+def r23_generation_subset(spark, d):
+    """Where the policy is active (here queries divisible by 100) only qualified evidence goes on, else all of it."""
+    dense, lexical = _two_lanes(spark, d)
+    e = dense.unionByName(lexical).where("rank <= 10").withColumn("score", F.when(F.col("id") % 89 != 0, F.col("score")))
+    good = F.coalesce(F.col("score") >= F.when(F.col("lane") == "dense", 0.3).otherwise(8.0), F.lit(False))
+    return e.where(good | (F.col("query_id") % 100 > 0)).select("query_id", "lane", "id")
+
+
+@query("""WITH c AS (SELECT conv_id, role || ': ' || left(text, 40) AS point, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) SELECT conv_id, 'Conversation ' || conv_id || chr(10) || string_agg(point, chr(10) ORDER BY n) AS candidate FROM c WHERE n <= 4 GROUP BY conv_id""")
+def r31_focus_candidates(spark, d):
+    """A description and the first four points."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    c = table(spark, d, "conversations").withColumn("n", F.row_number().over(w)).where("n <= 4").select("conv_id", "n", F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 40)).alias("point"))
+    points = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "point"))), lambda x: x["point"]), "\n")
+    return c.groupBy("conv_id").agg(F.concat(F.lit("Conversation "), F.first("conv_id").cast("string"), F.lit("\n"), points).alias("candidate"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, regexp_extract(text, '"([^"]+)"', 1) AS quoted, regexp_extract(text, '\\b((19|20)[0-9]{2})\\b', 1) AS year, regexp_extract(text, '\\b([A-Za-z]+[0-9]+)\\b', 1) AS code FROM conversations)
+ SELECT conv_id, turn, CASE WHEN quoted <> '' THEN quoted WHEN code <> '' THEN code WHEN year <> '' THEN year END AS entity, CASE WHEN quoted <> '' THEN 'OTHER' WHEN code <> '' THEN 'PRODUCT' WHEN year <> '' THEN 'DATE' END AS type,
+ CAST(CASE WHEN quoted <> '' THEN 0.7 WHEN code <> '' THEN 0.6 WHEN year <> '' THEN 0.9 END AS DOUBLE) AS confidence, CASE WHEN length(text) > 200 THEN 'complex' WHEN length(text) > 60 THEN 'medium' ELSE 'simple' END AS complexity FROM t""")
+def f23_fallback_parse(spark, d):
+    """Without a model: quoted words, then codes of letters and digits, then years; and how long the text is."""
+    t = F.col("text")
+    found = [(F.regexp_extract(t, '"([^"]+)"', 1), "OTHER", 0.7), (F.regexp_extract(t, r"\b([A-Za-z]+[0-9]+)\b", 1), "PRODUCT", 0.6), (F.regexp_extract(t, r"\b((19|20)[0-9]{2})\b", 1), "DATE", 0.9)]
+    entity, kind, sure = F.when(F.lit(False), ""), F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
+    for value, name, c in found:
+        entity, kind, sure = entity.when(value != "", value), kind.when(value != "", name), sure.when(value != "", c)
+    size = F.when(F.length(t) > 200, "complex").when(F.length(t) > 60, "medium").otherwise("simple")
+    return table(spark, d, "conversations").select("conv_id", "turn", entity.alias("entity"), kind.alias("type"), sure.alias("confidence"), size.alias("complexity"))
