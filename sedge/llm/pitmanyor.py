@@ -403,6 +403,8 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     unknown word has all. Rows of a null id are learned and scored as others. Repeated rows count each; an empty table gives
     an empty result; other columns are ignored, whatever their names. The same table gives the same scores, whatever its files.
     """
+    if not 0 <= burn < sweeps:
+        raise ValueError("some sweep must be averaged")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2 if held_out is None else held_out
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("learn", ~F.coalesce(held_out, F.lit(False)))
