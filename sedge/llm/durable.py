@@ -34,6 +34,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df kept as Parquet in the shared folder and read from there."""
+    kept = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(kept)
+    return df.sparkSession.read.schema(df.schema).parquet(kept)
+
+
 def swept(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more.
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, personal, pieces, pitmanyor, quality, rules, sharding, substrings, tokenfiles
+from . import alignment, decontaminate, neardup, personal, pieces, pitmanyor, quality, rules, sharding, substrings, tokenfiles
 
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
@@ -74,7 +74,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pitman_yor, op3_quality_rules, op4_sentencepiece, op5_token_counts, op6_personal_data, op7_minhash_neardup, op8_decontamination, op9_sharding, op10_substring_dedup)}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = alignment.Pair(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return alignment.link_report(alignment.align(table(spark, sf_dir, "documents"), pair))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pitman_yor, op3_quality_rules, op4_sentencepiece, op5_token_counts, op6_personal_data, op7_minhash_neardup, op8_decontamination, op9_sharding, op10_substring_dedup, op12_alignment)}
 
 #: Words of each document, split at ASCII white space.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
