@@ -7,13 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, neardup, personal, pieces, pitmanyor, quality, rules, sharding, substrings, tokenfiles
+from . import alignment, chat, decontaminate, neardup, personal, phrases, pieces, pitmanyor, quality, rules, sharding, substrings, tokenfiles
 
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
 TOKENIZERS = os.environ.get("SEDGE_TOKENIZERS", "/opt/tokenizers")
-#: The free id of the byte-pair vocabularies, and how they split text before merging.
+#: The free id of the byte-pair vocabularies, a text of control strings, and how texts are split before merging.
 SEPARATOR = 50256
+HARD = "</s>[INST] ok [/INST]"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -74,12 +75,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the table are records of one turn each; a conversation whose texts look like marks goes with them."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], "conv_id long, turn long, role string, text string")
+    record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    return chat.chat_report(said.unionByName(hard).select("conv_id", "turn", record.alias("record")))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = alignment.Pair(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
     return alignment.link_report(alignment.align(table(spark, sf_dir, "documents"), pair))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pitman_yor, op3_quality_rules, op4_sentencepiece, op5_token_counts, op6_personal_data, op7_minhash_neardup, op8_decontamination, op9_sharding, op10_substring_dedup, op12_alignment)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pitman_yor, op3_quality_rules, op4_sentencepiece, op5_token_counts, op6_personal_data, op7_minhash_neardup, op8_decontamination, op9_sharding, op10_substring_dedup, op11_chat_format, op12_alignment, op13_phrases)}
 
 #: Words of each document, split at ASCII white space.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -136,4 +149,40 @@ m AS (SELECT id AS doc_id, min(c) AS component_id FROM r GROUP BY id)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
 """
 
-ORACLES = {"op3_quality_rules": OP3, "op7_minhash_neardup": OP7, "op10_substring_dedup": OP10}
+#: The template of sedge.llm.chat written out: marks, escapes, order of turns.
+OP11 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (SELECT *, regexp_replace(replace(role, '\', '\\'), '(<)(\|role\|>|\|text\|>|\|end\|>|s>|/s>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>)|(\[)(INST\]|/INST\])', '\1\3\\\2\4', 'g') AS safe_role,
+             regexp_replace(replace(text, '\', '\\'), '(<)(\|role\|>|\|text\|>|\|end\|>|s>|/s>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>)|(\[)(INST\]|/INST\])', '\1\3\\\2\4', 'g') AS safe_text FROM c)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|role|>' || safe_role || '<|text|>' || safe_text || '<|end|>')) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+#: All runs of up to four words, counted and cut one by one.
+OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w, i, unnest([1, 2, 3, 4]) AS k FROM i),
+f AS MATERIALIZED (SELECT lang, k, w[i:i + k - 1] AS g, count(*) AS f FROM g WHERE i + k - 1 <= len(w) GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND f >= 30),
+s AS (SELECT lang, f, unnest(CASE WHEN k = 3 THEN [g[1:2], g[2:3]] ELSE [g[1:2], g[2:3], g[3:4], g[1:3], g[2:4]] END) AS g FROM c WHERE k > 2),
+m AS (SELECT lang, g, max(f) AS longer FROM s GROUP BY ALL),
+d AS (SELECT c.* FROM c LEFT JOIN m USING (lang, g) WHERE longer IS NULL OR 100 * longer < 80 * f),
+u AS (SELECT lang, k, g, f, unnest(range(1, k)) AS m FROM d),
+v AS (SELECT u.lang, u.g, u.f AS a, x.f AS l, y.f AS r, m, CAST(floor(CAST(2000000 AS HUGEINT) * u.f // (x.f + y.f)) AS BIGINT) AS score
+      FROM u JOIN f x ON x.lang = u.lang AND x.g = u.g[1:m] JOIN f y ON y.lang = u.lang AND y.g = u.g[m + 1:]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, m) AS o FROM v),
+r AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM b WHERE o = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM r)
+SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op3_quality_rules": OP3, "op7_minhash_neardup": OP7, "op10_substring_dedup": OP10, "op11_chat_format": OP11, "op13_phrases": OP13}
