@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import written
+from .exchange import packed, unpacked
 from .words import flat, pieces
 
 #: Distinct parts and their bytes that a task remembers; it then starts anew.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 16 << 20
+REMEMBERED, REMEMBERED_BYTES = 250_000, 16 << 20
 #: Bytes of text aligned at once, whole documents.
-PIECE = 2 << 20
+PIECE = 1 << 20
 MARK = "▁"
+#: Fixed value: how byte-level vocabularies split text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LIST = pa.list_(pa.int32())
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("a_ids", _LIST), ("b_ids", _LIST), ("a_cuts", _LIST), ("b_cuts", _LIST), ("link_a", _LIST), ("link_b", _LIST)])
 DDL = "doc_id long, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, link_a array<int>, link_b array<int>"
@@ -107,29 +110,39 @@ class Tokens:
         return self.data[spread(self.at[ids], self.size[ids])]
 
 
+def merge_ranks(path: str) -> tuple[dict[bytes, int], str]:
+    """Bytes and rank of each token of a byte-level vocabulary, and the pattern that splits texts before merging.
+
+    Ranks are ids, so the vocabulary must number its merges in their order; it must split by the known pattern and not change the text.
+    """
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    split, model = told.get("pre_tokenizer") or {}, told["model"]
+    if split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space", True) or told.get("normalizer"):
+        raise ValueError("side A needs a byte-level vocabulary that splits by the usual pattern and changes no text")
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if model["type"] != "BPE" or [model["vocab"][j] for j in joined] != list(range(256, 256 + len(joined))):
+        raise ValueError("side A needs merges numbered in their order")
+    letters, own = byte_letters(), {t["content"] for t in told.get("added_tokens", ())}
+    return {bytes(map(letters.__getitem__, t)): i for t, i in model["vocab"].items() if t not in own}, PATTERN
+
+
 class Aligner:
     def __init__(self, pair: Pair):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
         self.links = pair.links
-        self.a = Tokenizer.from_file(pair.a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pair.b_path)
-        letters = byte_letters()
-        own = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        words = {i: t.encode() if t in own else bytes(map(letters.__getitem__, t)) for t, i in self.a.get_vocab().items()}
+        ranks, pattern = merge_ranks(pair.a_path)
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        words = {i: t for t, i in ranks.items()}
         self.a_tokens = Tokens([words.get(i, b"") for i in range(max(words) + 1)])
+        self.b = sentencepiece.SentencePieceProcessor(model_file=pair.b_path)
         ids = range(self.b.get_piece_size())
         spelled = [self.b.id_to_piece(i) for i in ids]
         self.b_tokens = Tokens([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in zip(ids, spelled, strict=True)])
         self.space = self.b.piece_to_id(MARK)
-        with open(pair.a_path, encoding="utf-8") as f:
-            told = json.load(f)
-        split = told.get("pre_tokenizer") or {}
-        known = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True) and not told.get("normalizer")
-        self.cuttable = known and not any(MARK in p.lstrip(MARK) for p in spelled)
+        self.cuttable = not any(MARK in p.lstrip(MARK) for p in spelled)
         self.forget()
 
     def forget(self) -> None:
@@ -150,22 +163,30 @@ class Aligner:
         begins[at[:-1][at[:-1] < at[1:]]] = True
         return np.r_[np.flatnonzero(begins), len(data)].astype(np.int64)
 
+    def encode_a(self, texts: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A ids of all parts, and how many each has. Parts in a row are one text to the encoder as long as each may be cut off there."""
+        loose = [not self.cuttable or t[-1].isspace() for t in texts]
+        bounds = [0, *(k + 1 for k, x in enumerate(loose[:-1]) if x), len(texts)] if texts else [0]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(self.a.encode_to_numpy("".join(texts[i:j]), disallowed_special=()) for i, j in zip(bounds, bounds[1:]))]).astype(np.int32)
+        ends = np.searchsorted(np.cumsum(self.a_tokens.size[ids]), np.cumsum(size)) + 1
+        return ids, np.diff(ends, prepend=0)
+
     def solve(self, parts: list[bytes]) -> None:
         """Encodes and aligns new parts; each begins with a space."""
         self.known |= {p: len(self.exact) + k for k, p in enumerate(parts)}
         self.known_bytes += sum(map(len, parts))
         texts = [p.decode() for p in parts]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = [i if len(t) > 1 else [self.space] for t, i in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1), strict=True)]
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         data = np.frombuffer(b"".join(parts), np.uint8)
+        a_ids, a_count = self.encode_a(texts, size)
+        listed = self.b.encode([t[1:] for t in texts], num_threads=1)
+        listed = [i if len(t) > 1 else [self.space] for t, i in zip(texts, listed, strict=True)]
+        b_count = np.fromiter(map(len, listed), np.int64, len(listed))
+        b_ids = np.fromiter(chain.from_iterable(listed), np.int32, int(b_count.sum()))
         sides, exact = [], np.ones(len(parts), bool)
-        for lists, tokens in ((a, self.a_tokens), (b, self.b_tokens)):
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter((i for x in lists for i in x), np.int32, int(n.sum()))
+        for ids, n, tokens in ((a_ids, a_count, self.a_tokens), (b_ids, b_count, self.b_tokens)):
             own = np.repeat(np.arange(len(parts)), n)
-            total = np.bincount(own, tokens.size[ids], len(parts)).astype(np.int64)
-            exact &= total == size
+            exact &= np.bincount(own, tokens.size[ids], len(parts)).astype(np.int64) == size
             sides.append([ids, own, tokens])
         for ids, own, tokens in sides:
             keep = exact[own]
@@ -214,9 +235,10 @@ class Aligner:
         cuts = self.cuts(data, at)
         parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
         distinct = parts.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > REMEMBERED or self.known_bytes > REMEMBERED_BYTES:
-            self.forget()
         new = [p for p in distinct if p not in self.known]
+        if len(self.known) + len(new) > REMEMBERED or self.known_bytes > REMEMBERED_BYTES:
+            self.forget()
+            new = distinct
         if new:
             self.solve(new)
         number = np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))
@@ -251,9 +273,11 @@ def aligner(pair: Pair) -> Aligner:
     return _aligners[pair]
 
 
-def align(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "text", then: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, ddl: str = DDL) -> DataFrame:
     """The tokens of both sides for each row, their groups and the linked pairs.
 
+    ``then`` makes rows of ``ddl`` of the batches of rows before they leave the task, so that lists nobody asks for go nowhere.
+
     doc_id; a_ids, b_ids: ids of the space and the text (B adds the space itself); a_cuts, b_cuts: how many tokens of
     each side lie before the end of each group; link_a, link_b: numbers, from 0, of the two tokens of each link. A
     group ends where tokens of both sides end. A link is a pair of tokens that overlap or, of these, that end together.
@@ -266,14 +290,15 @@ def align(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "
     if pair.links not in ("ends", "overlaps"):
         raise ValueError("links are 'ends' or 'overlaps'")
 
-    def run(batches):
+    def aligned(batches):
         own = aligner(pair)
         for batch in batches:
             for first, last in pieces(flat(batch["text"])[1], PIECE):
                 part = batch.slice(first, last - first)
                 yield pa.record_batch([part["doc_id"], *own.align(part["text"])], schema=SCHEMA)
+        own.forget()  # the process may serve other tasks next
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(aligned if then is None else lambda b: then(aligned(b)), ddl)
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -327,32 +352,39 @@ class Writer:
 
 
 _LONG = pa.int64()
-_ROWS = pa.schema([("doc_id", _LONG), ("n_a", _LONG), ("n_b", _LONG), ("n_groups", _LONG), ("n_links", _LONG), ("groups_sha256", pa.string()), ("links", pa.binary())])
+_ROWS = pa.schema([("doc_id", _LONG), ("n_a", _LONG), ("n_b", _LONG), ("n_groups", _LONG), ("n_links", _LONG), ("groups_sha256", pa.string()), ("link_a", pa.binary()), ("link_b", pa.binary())])
+_ROWS_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, link_a binary, link_b binary"
 _COUNTS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", _LONG)])
 _REPORT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-#: Pairs that a task counts before it sends them on.
-COUNTED = 1 << 20
+#: Pairs that a task counts before it sends them on, and links that it looks at at once.
+COUNTED, LINKS = 1 << 20, 1 << 18
 _ID_BITS = 32
 
 
 def _digests(batches):
     write = Writer()
-    for whole in batches:
-        for first, last in pieces(lists(whole["a_ids"])[1], PIECE // 4):
-            batch = whole.slice(first, last - first)
-            a, b, at = linked_ids(batch)
-            code = (a.astype(np.int64) << _ID_BITS) | b
-            ends = at.tolist()
-            packed = [zlib.compress(code[i:j].tobytes(), 1) for i, j in zip(ends, ends[1:])]
-            sha = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in write(batch)]
-            n = [pa.array(np.diff(lists(batch[c])[1]), _LONG) for c in ("a_ids", "b_ids", "a_cuts", "link_a")]
-            yield pa.record_batch([batch["doc_id"], *n, pa.array(sha, pa.string()), pa.array(packed, pa.binary())], schema=_ROWS)
+    for batch in batches:
+        a, b, at = linked_ids(batch)
+        ends = at.tolist()
+        links = [pa.array([packed(x[i:j]) for i, j in zip(ends, ends[1:])], pa.binary()) for x in (a, b)]
+        sha = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in write(batch)]
+        n = [pa.array(np.diff(lists(batch[c])[1]), _LONG) for c in ("a_ids", "b_ids", "a_cuts", "link_a")]
+        yield pa.record_batch([batch["doc_id"], *n, pa.array(sha, pa.string()), *links], schema=_ROWS)
+
+
+def _few(batches):
+    """The batches in slices of some LINKS links, whole rows."""
+    for batch in batches:
+        n = np.r_[0, np.cumsum(batch["n_links"].to_numpy())]
+        for first, last in pieces(n, LINKS):
+            yield batch.slice(first, last - first)
 
 
-def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of all rows, and how many each row has."""
-    own = [np.frombuffer(zlib.decompress(x), np.int64) for x in column.to_pylist()]
-    return np.concatenate([np.zeros(0, np.int64), *own]), np.fromiter(map(len, own), np.int64, len(own))
+def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids of all rows, and how many each row has."""
+    a, b = ([unpacked(x) for x in batch[c].to_pylist()] for c in ("link_a", "link_b"))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([none, *a]) << _ID_BITS) | np.concatenate([none, *b]), np.fromiter(map(len, a), np.int64, len(a))
 
 
 def _counted(batches):
@@ -361,8 +393,8 @@ def _counted(batches):
     def told():
         return pa.record_batch([pa.array((code >> _ID_BITS).astype(np.int32)), pa.array((code & ((1 << _ID_BITS) - 1)).astype(np.int32)), pa.array(n)], schema=_COUNTS)
 
-    for batch in batches:
-        more, m = np.unique(_codes(batch["links"])[0], return_counts=True)
+    for batch in _few(batches):
+        more, m = np.unique(_codes(batch)[0], return_counts=True)
         code, inverse = np.unique(np.r_[code, more], return_inverse=True)
         n = np.bincount(inverse, np.r_[n, m], len(code)).astype(np.int64)
         if len(code) > COUNTED:
@@ -371,8 +403,8 @@ def _counted(batches):
     yield told()
 
 
-def link_report(aligned: DataFrame) -> DataFrame:
-    """Sizes of each row of align(), with how common its links are in all rows.
+def link_report(docs: DataFrame, pair: Pair, **columns: str) -> DataFrame:
+    """Sizes of each row of align(docs, pair), with how common its links are in all rows; links are those that end together.
 
     A pair of ids counts as many times as a link joins it in any row. n_best: the row's links whose count is the highest of
     their B id, ties included; count_sum: the sum of the counts. groups_sha256: digest of the groups
@@ -383,9 +415,11 @@ def link_report(aligned: DataFrame) -> DataFrame:
     vocabularies: their counts (some 20 bytes each, under 15 MB) are sent with the tasks whatever the corpus.
     Links by overlap have no such bound and are not reported here.
     """
-    spark = aligned.sparkSession
-    rows = written(aligned.mapInArrow(_digests, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"), "aligned")
-    counts = rows.select("links").mapInArrow(_counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    if pair.links != "ends":
+        raise ValueError("only links that end together are counted")
+    spark = docs.sparkSession
+    rows = written(align(docs, pair, then=_digests, ddl=_ROWS_DDL, **columns), "aligned")
+    counts = rows.select("n_links", "link_a", "link_b").mapInArrow(_counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     code = (counts["a"].to_numpy().astype(np.int64) << _ID_BITS) | counts["b"].to_numpy()
     order = np.argsort(code)
     code, n, b = code[order], counts["n"].to_numpy()[order], counts["b"].to_numpy()[order]
@@ -395,8 +429,8 @@ def link_report(aligned: DataFrame) -> DataFrame:
 
     def judged(batches):
         known, n, best = sent.value
-        for batch in batches:
-            code, size = _codes(batch["links"])
+        for batch in _few(batches):
+            code, size = _codes(batch)
             at = np.searchsorted(known, code)
             own = np.repeat(np.arange(len(size)), size)
             total, top = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
