@@ -25,7 +25,7 @@ from .words import _BASE, _BYTE, _INVERSE, _LOWER, flat, mix, pieces, powers
 
 U64 = np.uint64
 #: Suffixes of a group, and bytes of text that are scanned at once (whole documents).
-GROUP_SUFFIXES, PIECE = 1 << 20, 4 << 20
+GROUP_SUFFIXES, PIECE = 1 << 19, 1 << 20
 #: Bits of the map of frequent words, and the most cells of prefixes that are told apart.
 BITMAP_BITS, MOST_CELLS = 26, 1 << 20
 #: A language's rows are ranked in so many parts first.
