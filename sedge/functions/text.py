@@ -157,19 +157,30 @@ def slug(name: Column) -> Column:
 
 def packed_paragraphs(text: Column, size: int, overlap: int) -> Column:
     """Array of chunks: paragraphs (parted by blank lines) gathered until the next would pass size; each chunk but the first begins with
-    the end of the one before, of overlap characters at most, cut after a sentence's end if it holds one."""
-    parts = F.filter(F.transform(F.split(text, "\\n\\s*\\n"), lambda p: F.trim(p)), lambda p: p != "")
+    the last ``overlap`` characters of the one before, or what follows the last sentence end in them if that lies past their half."""
+    def bare(t):
+        return F.regexp_replace(t, "^\\s+|\\s+$", "")
+
+    parts = F.filter(F.transform(F.split(text, "\\n\\s*\\n"), bare), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(s, p):
         full = (F.length(s["open"]) + F.length(p) > size) & (s["open"] != "")
         tail = F.substring(s["open"], F.greatest(F.lit(1), F.length(s["open"]) - overlap + 1), F.lit(overlap))
-        cut = F.regexp_replace(tail, "(?s)^.*?[.!?。！？]\\s*", "")
-        tail = F.trim(F.when(tail.rlike("[.!?。！？]") & (cut != ""), cut).otherwise(tail))
+        rest = F.regexp_replace(tail, "(?s)^.*[.!?。！？]", "")  # all of it where no sentence ends
+        last = F.length(tail) - F.length(rest) - 1
+        tail = F.when((F.length(s["open"]) > overlap) & (last > overlap * 0.5), rest).otherwise(tail)
         head = F.when(full, tail).otherwise(s["open"])
-        return F.struct(F.when(full, F.array_append(s["done"], F.trim(s["open"]))).otherwise(s["done"]).alias("done"), F.concat(head, F.when(head != "", F.lit("\n\n")).otherwise(F.lit("")), p).alias("open"))
+        return F.struct(F.when(full, F.array_append(s["done"], bare(s["open"]))).otherwise(s["done"]).alias("done"), F.concat(head, F.when(head != "", F.lit("\n\n")).otherwise(F.lit("")), p).alias("open"))
+
+    return F.aggregate(parts, start, step, lambda s: F.when(bare(s["open"]) != "", F.array_append(s["done"], bare(s["open"]))).otherwise(s["done"]))
+
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["open"] != "", F.array_append(s["done"], F.trim(s["open"]))).otherwise(s["done"]))
+def token_kind(token: Column) -> Column:
+    """special, english, chinese, number or punctuation, the first that all of a token is; what is mixed is special too."""
+    # fixed values: the names of special tokens and the marks of punctuation
+    kind = F.when(token.rlike(r"(?i)^\[(CLS|SEP|PAD|UNK|MASK)\]"), "special").when(token.rlike("^[a-zA-Z]+$"), "english").when(token.rlike("^[\\u4e00-\\u9fff]+$"), "chinese")
+    return kind.when(token.rlike("^[0-9]+$"), "number").when(token.rlike(r"""^[.,!?:;()"'\-/\[\]{}]+$"""), "punctuation").otherwise("special")
 
 
 def closed_json(text: Column) -> Column:

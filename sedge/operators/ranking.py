@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions.text import lexical_tokens
+from sedge.streaming.shared import written
 
 #: Bytes of query vectors in a broadcast tile; products of queries and rows that are held at once (8 bytes each).
 TILE_BYTES, CELLS = 16 << 20, 1 << 21
@@ -21,14 +22,24 @@ def top(hits: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFra
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _query_tiles(queries: DataFrame, id_col: str, vector_col: str):
-    """Broadcast tiles of query vectors, each of TILE_BYTES at most, in one pass over the queries."""
-    rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL").toArrow()
-    q = np.array(rows["v"].to_pylist(), float).reshape(len(rows), -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    ids = rows["id"].to_numpy()
-    step = max(1, TILE_BYTES // max(1, 8 * q.shape[1]))
-    return [queries.sparkSession.sparkContext.broadcast((ids[i : i + step], q[i : i + step])) for i in range(0, len(ids), step)]
+def _tiles(queries: DataFrame, id_col: str, vector_col: str):
+    """Broadcast (ids, unit vectors) of the queries, TILE_BYTES each: the driver holds one tile at a time."""
+    rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    tiles = -(-n * 8 * (width or 1) // TILE_BYTES)
+    for t in range(tiles):
+        own = (rows if tiles == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(tiles)) == t)).toArrow()
+        if len(own):
+            q = own["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            yield queries.sparkSession.sparkContext.broadcast((own["id"].to_numpy(), q))
+
+
+def _per_tile(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, search, ddl: str, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows that search(tile) makes of the corpus, for all tiles of queries; the corpus is read once for each tile."""
+    rows = corpus.select(id_col, *keep, vector_col).where(F.col(vector_col).isNotNull())
+    parts = [rows.mapInPandas(search(tile), ddl) for tile in _tiles(queries, id_col, vector_col)]
+    return reduce(DataFrame.unionByName, parts) if parts else corpus.sparkSession.createDataFrame([], ddl)
 
 
 def _unit_rows(batch: pd.DataFrame, vector_col: str) -> np.ndarray:
@@ -37,6 +48,15 @@ def _unit_rows(batch: pd.DataFrame, vector_col: str) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def _products(batches, names: np.ndarray, q: np.ndarray, id_col: str, vector_col: str):
+    """(rows, products with all queries) of blocks of the batches, CELLS products each."""
+    step = max(1, CELLS // max(1, len(names)))
+    for batch in batches:
+        for at in range(0, len(batch), step):
+            part = batch.iloc[at : at + step]
+            yield part, q @ _unit_rows(part, vector_col).T
+
+
 def _best(s: np.ndarray, k: int) -> np.ndarray:
     """Columns of each row's k largest, all of those equal to the last one with them; flat row numbers and columns."""
     if s.shape[1] <= k:
@@ -45,69 +65,113 @@ def _best(s: np.ndarray, k: int) -> np.ndarray:
     return np.nonzero(s >= last)
 
 
+class Running:
+    """The k best of each query over all blocks of a task; of equal scores the smaller ids. Holds some 2 k rows a query."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.rows, self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, ids: np.ndarray, s: np.ndarray, threshold: float | None = None) -> None:
+        """A block of products: a row for each query, a column for each id."""
+        row, column = _best(s, self.k)
+        score = s[row, column]
+        keep = score >= (self.least[row] if threshold is None else np.maximum(self.least[row], threshold))
+        self.take(row[keep], ids[column[keep]], score[keep])
+
+    def take(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.rows.append((row, ids, score))
+        self.held += len(row)
+        if self.held > 2 * self.k * len(self.least):
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, ids, score = (np.concatenate(c) for c in zip(*self.rows))
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        full = place == self.k - 1
+        self.least[row[full]] = score[full]
+        self.rows, self.held = [(row[keep], ids[keep], score[keep])], int(keep.sum())
+        return self.rows[0]
+
+
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, score, rank: exact cosine top k of each query; the threshold holds before the limit.
 
-    The queries are a stated set, held by the driver once; they go out in tiles of TILE_BYTES, and every task runs all tiles over its rows,
-    so the corpus is read once. Products are made CELLS at a time. A block of rows hands on its k best for each
-    query, and what is shuffled is that. Rows without a vector are left out.
+    The queries go out in tiles of TILE_BYTES; the corpus is read once for each tile. Products are made CELLS at a time. A task keeps
+    the k best of each query over all its rows and hands on those at its end, so it emits queries times k rows
+    at most. Rows without a vector are left out.
     """
-    tiles = _query_tiles(queries, id_col, vector_col)
 
-    def search(batches):
-        for batch in batches:
-            for tile in tiles:
-                names, q = tile.value
-                step = max(1, CELLS // max(1, len(names)))
-                for at in range(0, len(batch), step):
-                    part = batch.iloc[at : at + step]
-                    s = q @ _unit_rows(part, vector_col).T
-                    row, column = _best(s, k)
-                    out = pd.DataFrame({"query_id": names[row], "id": part[id_col].to_numpy()[column], "score": s[row, column]})
-                    yield out if threshold is None else out[out.score >= threshold]
+    def search(tile):
+        def run(batches):
+            names, q = tile.value
+            best = Running(len(names), k)
+            for part, s in _products(batches, names, q, id_col, vector_col):
+                best.add(part[id_col].to_numpy(), s, threshold)
+            row, ids, score = best.best()
+            yield pd.DataFrame({"query_id": names[row], "id": ids, "score": score})
 
-    hits = corpus.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(search, "query_id long, id long, score double")
-    return top(hits, ["query_id"], "score", "id", k)
+        return run
+
+    return top(_per_tile(corpus, queries, id_col, vector_col, search, "query_id long, id long, score double"), ["query_id"], "score", "id", k)
+
+
+def similarity_summary(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, compared, mean, high: how each query's cosines with all rows are spread; a task hands on one row a query."""
+
+    def search(tile):
+        def run(batches):
+            names, q = tile.value
+            n, total, high = 0, np.zeros(len(names)), np.full(len(names), -np.inf)
+            for _, s in _products(batches, names, q, id_col, vector_col):
+                n, total, high = n + s.shape[1], total + s.sum(axis=1), np.maximum(high, s.max(axis=1))
+            if n:
+                yield pd.DataFrame({"query_id": names, "n": n, "total": total, "high": high})
+
+        return run
+
+    parts = _per_tile(corpus, queries, id_col, vector_col, search, "query_id long, n long, total double, high double")
+    return parts.groupBy("query_id").agg(F.sum("n").alias("compared"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("high").alias("high"))
 
 
 def similar_rows(corpus: DataFrame, queries: DataFrame, over: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, score of every row whose cosine with a query of the stated set is over the threshold; nothing is shuffled."""
-    tiles = _query_tiles(queries, id_col, vector_col)
 
-    def search(batches):
-        for batch in batches:
-            for tile in tiles:
-                names, q = tile.value
-                step = max(1, CELLS // max(1, len(names)))
-                for at in range(0, len(batch), step):
-                    part = batch.iloc[at : at + step]
-                    s = q @ _unit_rows(part, vector_col).T
-                    row, column = np.nonzero(s > over)
-                    yield pd.DataFrame({"query_id": names[row], "id": part[id_col].to_numpy()[column], "score": s[row, column]})
+    def search(tile):
+        def run(batches):
+            names, q = tile.value
+            for part, s in _products(batches, names, q, id_col, vector_col):
+                row, column = np.nonzero(s > over)
+                yield pd.DataFrame({"query_id": names[row], "id": part[id_col].to_numpy()[column], "score": s[row, column]})
+
+        return run
 
-    return corpus.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(search, "query_id long, id long, score double")
+    return _per_tile(corpus, queries, id_col, vector_col, search, "query_id long, id long, score double")
 
 
 def grouped_vector_search(corpus: DataFrame, queries: DataFrame, group_col: str, groups: int, size: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, the group, id, score, grp, place: the best groups of each query by their best hit, and the best hits of each.
 
-    A block of rows hands on its best hits for each query and group; groups are told apart as long numbers.
+    A task keeps the best hits of each query and group over a batch; groups are told apart as long numbers.
     """
-    tiles = _query_tiles(queries, id_col, vector_col)
-
-    def search(batches):
-        for batch in batches:
-            for tile in tiles:
-                names, q = tile.value
-                for label, part in batch.groupby(group_col, sort=True):
-                    step = max(1, CELLS // max(1, len(names)))
-                    for at in range(0, len(part), step):
-                        block = part.iloc[at : at + step]
-                        s = q @ _unit_rows(block, vector_col).T
-                        row, column = _best(s, size)
-                        yield pd.DataFrame({"query_id": names[row], group_col: label, "id": block[id_col].to_numpy()[column], "score": s[row, column]})
-
-    hits = corpus.select(id_col, group_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(search, f"query_id long, {group_col} long, id long, score double")
+
+    def search(tile):
+        def run(batches):
+            names, q = tile.value
+            for batch in batches:
+                for label, rows in batch.groupby(group_col, sort=True):
+                    best = Running(len(names), size)
+                    for part, s in _products([rows], names, q, id_col, vector_col):
+                        best.add(part[id_col].to_numpy(), s)
+                    row, ids, score = best.best()
+                    yield pd.DataFrame({"query_id": names[row], group_col: label, "id": ids, "score": score})
+
+        return run
+
+    hits = _per_tile(corpus, queries, id_col, vector_col, search, f"query_id long, {group_col} long, id long, score double", [group_col])
     best = top(hits, ["query_id", group_col], "score", "id", size).withColumnRenamed("rank", "place")
     leaders = top(best.where("place = 1").select("query_id", group_col, "score"), ["query_id"], "score", group_col, groups)
     return best.join(leaders.select("query_id", group_col, F.col("rank").alias("grp")), ["query_id", group_col])
@@ -120,17 +184,18 @@ ASKED_WORDS = 50_000
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int | None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score, rank (k None: all hits, without rank). docs: doc_id, text; queries: query_id, text. Repeated query tokens count each time.
 
-    A document's tokens are counted in its own row, so each document and asked token is one row and the
-    corpus is read once for the hits and once, lengths only, for their mean.
+    The texts are read and cut once: what is kept in the shared folder is a document's length and those of its tokens that some query has.
+    The number of documents, their mean length, document frequencies and scores all come from that. Up to ASKED_WORDS
+    distinct query tokens are sent to the tasks, more are met by a join.
     """
     asked = queries.select("query_id", F.explode(lexical_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     words = asked.select("token").distinct()
     few = words.limit(ASKED_WORDS + 1).toArrow()["token"].to_pylist()
-    cut = docs.select("doc_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    whole = cut.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    own = cut.select("doc_id", F.size("tokens").alias("len"), "tokens")
+    cut = docs.select("doc_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).select("doc_id", F.size("tokens").alias("len"), "tokens")
     if len(few) <= ASKED_WORDS:
-        own = own.withColumn("tokens", F.filter("tokens", lambda t: t.isin(few) if few else F.lit(False)))
+        cut = cut.withColumn("tokens", F.filter("tokens", lambda t: t.isin(few) if few else F.lit(False)))
+    own = written(cut, "postings")
+    whole = own.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()
     postings = own.select("doc_id", "len", F.explode("tokens").alias("token")).groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf"))
     if len(few) > ASKED_WORDS:
         postings = postings.join(words, "token", "left_semi")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
-from sedge.operators import graph, ranking
+from sedge.operators import graph, merging, ranking
 from sedge.plans.registry import query, table
 from sedge.streaming.shared import kept
 
@@ -140,17 +140,42 @@ def g27_communities(spark, d):
     return m.groupBy("component").agg(F.count("*").alias("members")).join(inner, "component")
 
 
-@query(f"""WITH RECURSIVE {_RELATED}, {_REACHED}, o AS (SELECT o_orderkey AS id, o_custkey AS c, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS j FROM orders),
- t AS (SELECT coalesce(x.component, o.id) AS a, coalesce(y.component, o.j) AS b FROM o LEFT JOIN m x ON x.node = o.id LEFT JOIN m y ON y.node = o.j WHERE o.j IS NOT NULL) SELECT DISTINCT a, b FROM t WHERE a <> b""")
-def n9_merged_relations(spark, d):
-    """Merged entities take their component's name; a customer's successive orders are the relations, rewritten, without loops or repeats."""
-    from pyspark.sql import Window
+#: Orders are entities; successive orders that have a line of the same part, supplier and discount are confirmed pairs. The loop goes through the
+#: pairs one by one and skips those with an end that was merged away.
+_MERGES = """n AS (SELECT l_orderkey AS a, lead(l_orderkey) OVER (PARTITION BY l_partkey, l_suppkey, l_discount ORDER BY l_orderkey) AS b FROM lineitem),
+ e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b) AS k, a, b FROM (SELECT DISTINCT a, b FROM n WHERE a < b)),
+ l AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS target UNION ALL
+       SELECT e.k, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, b) END, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN NULL ELSE a END FROM l JOIN e ON e.k = l.k + 1),
+ m AS MATERIALIZED (SELECT b AS node, target FROM l JOIN e USING (k) WHERE target IS NOT NULL)"""
+
 
-    m = kept(graph.components(_related(spark, d), kept))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b")).where("b IS NOT NULL")
-    for c in "ab":
-        o = o.join(m.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-    return o.where("a <> b").select("a", "b").distinct()
+def _merges(spark, d) -> DataFrame:
+    w = Window.partitionBy("l_partkey", "l_suppkey", "l_discount").orderBy("l_orderkey")
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.lead("l_orderkey").over(w).alias("b"))
+    return kept(merging.merges_in_order(pairs, kept))
+
+
+@query(f"""WITH RECURSIVE {_MERGES}, o AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders)
+ SELECT coalesce(x.target, o.a) AS a, coalesce(y.target, o.b) AS b, count(*) AS relations FROM o LEFT JOIN m x ON x.node = o.a LEFT JOIN m y ON y.node = o.b WHERE o.b IS NOT NULL AND coalesce(x.target, o.a) <> coalesce(y.target, o.b) GROUP BY ALL""")
+def n9_merged_relations(spark, d):
+    """A customer's successive orders are the relations, rewritten to the entities that stay, without loops."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b IS NOT NULL")
+    return merging.rewritten_relations(o, _merges(spark, d)).groupBy("a", "b").agg(F.count("*").alias("relations"))
+
+
+@query(f"""WITH RECURSIVE {_MERGES}, c AS (SELECT l_orderkey AS id, count(*) AS mentions FROM lineitem GROUP BY 1),
+ i AS (SELECT o_orderkey AS id, coalesce(target, o_orderkey) AS into_id, 'order-' || o_orderkey AS name, coalesce(mentions, 0) AS mentions, o_orderpriority AS d FROM orders LEFT JOIN m ON node = o_orderkey LEFT JOIN c ON c.id = o_orderkey),
+ h AS (SELECT DISTINCT coalesce(target, l_orderkey) AS into_id, l_partkey FROM lineitem LEFT JOIN m ON node = l_orderkey), g AS (SELECT into_id, count(*) AS chunks FROM h GROUP BY 1)
+ SELECT i.into_id AS id, any_value('order-' || i.into_id) AS name, coalesce(string_agg(i.name, ',' ORDER BY i.id) FILTER (i.id <> i.into_id), '') AS aliases, CAST(sum(mentions) AS BIGINT) AS mentions, coalesce(any_value(chunks), 0) AS chunks, arg_max(d, length(d) * 1000000000 - i.id) AS description
+ FROM i LEFT JOIN g ON g.into_id = i.into_id GROUP BY i.into_id""")
+def n9_merged_entities(spark, d):
+    """Orders with what was merged into them: names as aliases, lines as mentions, parts as chunks, the longest priority as description."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("mentions"), F.collect_set("l_partkey").alias("chunks"))  # an order's lines
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderpriority").alias("description"))
+    whole = o.join(lines, "id", "left").select("id", "name", F.array().cast("array<string>").alias("aliases"), F.coalesce("mentions", F.lit(0)).alias("mentions"), F.coalesce("chunks", F.array().cast("array<long>")).alias("chunks"), "description")
+    merged = merging.merged_entities(whole, _merges(spark, d))
+    return merged.select("id", "name", F.array_join("aliases", ",").alias("aliases"), "mentions", F.size("chunks").cast("long").alias("chunks"), "description")
 
 
 @query("""SELECT l_suppkey AS entity, l_partkey AS relation, count(*) AS mentions, CAST(sum(l_quantity) AS BIGINT) AS weight, list_sort(list_distinct(list(l_orderkey)))[1] AS first_chunk FROM lineitem GROUP BY ALL""")

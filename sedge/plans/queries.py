@@ -9,7 +9,7 @@ from sedge.functions import text as T
 from sedge.functions import vectors as V
 from sedge.operators import aggregates, evaluation, graph, ranking, sequences, tables
 from sedge.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
-from sedge.sources import files
+from sedge.sources import files, pages
 from sedge.streaming import totals as streams
 
 # predicates and projections
@@ -316,12 +316,6 @@ def w20_latest(spark, d):
     return tables.latest(table(spark, d, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 4 = 0""")
-def k9_upsert(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return tables.upsert(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 4 = 0").withColumn("status", F.lit("X")), ["o_orderkey"])
-
-
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders""")
 def k9_upsert_all_orders(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
@@ -364,38 +358,18 @@ def j18_left_join(spark, d):
 
 # graph
 
-_GRAPH = """e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, least(1.0, max(l_quantity) / 50) AS w FROM lineitem WHERE l_quantity >= 45 GROUP BY ALL),
- u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), h0 AS (SELECT 's' || s_suppkey AS node, 1.0 AS score, 0 AS hop FROM supplier WHERE s_suppkey % 10 = 0),
+_GRAPH = """e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, least(1.0, max(l_quantity) / 50) AS w FROM lineitem GROUP BY ALL),
+ u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), h0 AS (SELECT 's' || s_suppkey AS node, 1.0 AS score, 0 AS hop FROM supplier WHERE s_suppkey % 50 = 0),
  h1 AS (SELECT b AS node, max(score * w * 0.65) AS score, 1 AS hop FROM h0 JOIN u ON node = a GROUP BY b),
  h2 AS (SELECT b AS node, max(score * w * 0.4) AS score, 2 AS hop FROM h1 JOIN u ON node = a GROUP BY b)"""
 
 
-@query(f"WITH {_GRAPH} SELECT node, round(score, 6) AS score, hop FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, hop) AS r FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2)) WHERE r = 1")
-def n2_two_hop_expansion(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 45")
-    edges = li.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).agg((F.max("l_quantity") / 50).alias("weight"))
-    seeds = table(spark, d, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("score"))
-    return graph.expand(seeds, edges).withColumn("score", F.round("score", 6))
-
-
-@query(f"WITH {_GRAPH} SELECT hop, count(*) AS nodes FROM (SELECT node, min(hop) AS hop FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY node) GROUP BY hop")
-def g29_graph_info(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 45")
-    edges = li.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), F.lit(1.0).alias("weight")).distinct()
-    seeds = table(spark, d, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("score"))
-    return graph.expand(seeds, edges).groupBy("hop").agg(F.count("*").alias("nodes"))
-
-
-#: The same over every line, from suppliers of the agreed seed set.
-_WHOLE_GRAPH = _GRAPH.replace(" WHERE l_quantity >= 45", "").replace("s_suppkey % 10", "s_suppkey % 50")
-
-
 def _lines(spark, d):
     names = F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")
     return table(spark, d, "lineitem").groupBy(*names).agg((F.max("l_quantity") / 50).alias("weight"))
 
 
-@query(f"WITH {_WHOLE_GRAPH} SELECT node, round(score, 6) AS score, hop FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, hop) AS r FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2)) WHERE r = 1")
+@query(f"WITH {_GRAPH} SELECT node, round(score, 6) AS score, hop FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, hop) AS r FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2)) WHERE r = 1")
 def n2_two_hop_whole_graph(spark, d):
     seeds = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("score"))
     return graph.expand(seeds, _lines(spark, d)).withColumn("score", F.round("score", 6))
@@ -432,16 +406,9 @@ def g18_corpus_inventory(spark, d):
 # distributions, summaries and text statistics
 
 
-@query("""SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'purchase') AS n_purchase,
- count(*) FILTER (event_type = 'error') AS n_error FROM events GROUP BY 1""")
-def g4_distribution(spark, d):
-    e = table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_type")
-    return aggregates.distribution(e, ["day"], "event_type", ["click", "purchase", "error"])
-
-
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def g4_distribution_all_types(spark, d):
-    """Of all types, whatever they are; g4_distribution has columns for three."""
+    """Of all types, whatever they are."""
     return table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
@@ -468,16 +435,9 @@ def g16_lane_summary(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") >= 500).alias("qualified"), F.max("n_chars").alias("top"))
 
 
-@query("""SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+|[\\x{4e00}-\\x{9fff}]+')) AS token FROM documents WHERE lang = 'en') GROUP BY ALL""")
-def g24_term_frequency(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+|[\\x{4e00}-\\x{9fff}]+)"), F.lit(1))
-    return t.select("doc_id", F.explode(words).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-
-
 @query("""SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+|[\\x{4e00}-\\x{9fff}]+')) AS token FROM documents) GROUP BY ALL""")
 def g24_term_frequency_corpus(spark, d):
-    """Of all documents; g24_term_frequency has the English ones."""
+    """Of all documents."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+|[\\x{4e00}-\\x{9fff}]+)"), F.lit(1))
     return table(spark, d, "documents").select("doc_id", F.explode(words).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
@@ -512,6 +472,12 @@ def s7_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", files.page_text(F.col("html")).alias("text"))
 
 
+@query()
+def s7_page_tree(spark, d):
+    """Title and content of each page by its tree of elements."""
+    return pages.page_documents(table(spark, d, "pages"))
+
+
 @query("SELECT label, count(*) AS vectors, min(len(embedding)) AS least_dimension, max(len(embedding)) AS dimension FROM embeddings GROUP BY label")
 def s16_collection_statistics(spark, d):
     size = F.size("embedding").cast("long")

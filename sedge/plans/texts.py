@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sedge.functions import splitting
+from sedge.functions import lenient, splitting, subwords
 from sedge.functions import text as T
+from sedge.operators import spans
 from sedge.plans.registry import query, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
@@ -99,13 +104,19 @@ def u8_character_overlap(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.round(T.character_overlap(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
 
-@query("""WITH t AS (SELECT item_id, unnest(string_split(text, ' ')) AS t FROM benchmark) SELECT item_id, t AS token, CASE WHEN regexp_full_match(t, '\\[.*\\]|<.*>') THEN 'special' WHEN regexp_full_match(t, '[a-zA-Z]+') THEN 'english'
- WHEN regexp_matches(t, '[\\x{4e00}-\\x{9fff}]') THEN 'chinese' WHEN regexp_full_match(t, '[0-9]+') THEN 'number' WHEN regexp_full_match(t, '[^\\w\\s]+') THEN 'punctuation' ELSE 'mixed' END AS kind, count(*) AS n FROM t WHERE t <> '' GROUP BY ALL""")
+_KINDS = """CASE WHEN regexp_matches(t, '^\\[(CLS|SEP|PAD|UNK|MASK)\\]', 'i') THEN 'special' WHEN regexp_full_match(t, '[a-zA-Z]+') THEN 'english'
+ WHEN regexp_full_match(t, '[\\x{4e00}-\\x{9fff}]+') THEN 'chinese' WHEN regexp_full_match(t, '[0-9]+') THEN 'number' WHEN regexp_full_match(t, '[.,!?:;()"''\\-/\\[\\]{}]+') THEN 'punctuation' ELSE 'special' END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[\\x{{4e00}}-\\x{{9fff}}]+|\\[[A-Z]+\\]|[^\\sA-Za-z0-9]+')) AS t FROM documents UNION ALL SELECT item_id, unnest(string_split(text, ' ')) FROM benchmark)
+ SELECT doc_id AS id, {_KINDS} AS kind, count(*) AS n, count(DISTINCT t) AS tokens FROM t WHERE t <> '' GROUP BY ALL""")
 def f30_token_kinds(spark, d):
-    t = F.col("token")
-    kind = F.when(t.rlike(r"^(\[.*\]|<.*>)$"), "special").when(t.rlike("^[a-zA-Z]+$"), "english").when(t.rlike("[\\u4e00-\\u9fff]"), "chinese").when(t.rlike("^[0-9]+$"), "number").when(t.rlike(r"^[^\w\s]+$"), "punctuation").otherwise("mixed")
-    words = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("token")).where("token != ''")
-    return words.groupBy("item_id", "token", kind.alias("kind")).agg(F.count("*").alias("n"))
+    """Kinds of the tokens of documents and of the words of the benchmark."""
+    cut = F.regexp_extract_all(F.col("text"), F.lit(r"([A-Za-z]+|[0-9]+|[\u4e00-\u9fff]+|\[[A-Z]+\]|[^\sA-Za-z0-9]+)"), F.lit(1))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(cut).alias("token"))
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.explode(F.split("text", " ")).alias("token"))
+    both = docs.unionByName(words).where("token != ''")
+    return both.groupBy("id", T.token_kind(F.col("token")).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens"))
 
 
 @query("SELECT event_id, props->>'k' AS k, json_exists(props, 'k') AS has_k, CAST(json_array_length(json_keys(props)) AS BIGINT) AS n_keys FROM events")
@@ -302,6 +313,48 @@ def f34_repaired_json(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(T.closed_json(cut), "$.k").cast("long").alias("k"))
 
 
+@query("""WITH c AS (SELECT event_id, unnest(range(1, length(props) + 1)) AS n, props FROM events), k AS (SELECT event_id, n, TRY_CAST(regexp_extract(left(props, n), '^\\{"k": (-?[0-9]+)', 1) AS BIGINT) AS k FROM c)
+ SELECT event_id, count(*) AS lengths, count(k) AS found, CAST(coalesce(sum(k), 0) AS BIGINT) AS total FROM k GROUP BY 1""")
+def f34_cut_json(spark, d):
+    """JSON cut at every length, mended and read."""
+    cut = table(spark, d, "events").select("event_id", F.explode(F.sequence(F.lit(1), F.length("props"))).alias("n"), "props").where("props != ''")
+    k = F.get_json_object(lenient.lenient_json(F.substring("props", F.lit(1), F.col("n")))["json"], "$.k").cast("long")
+    return cut.select("event_id", k.alias("k")).groupBy("event_id").agg(F.count("*").alias("lengths"), F.count("k").alias("found"), F.coalesce(F.sum("k"), F.lit(0)).alias("total"))
+
+
+#: Props as models write them, and how each form is found.
+_SAID = (
+    ("{0}", "whole"), ("```json\n{0}\n```", "whole"), ("Sure:\n```json\n{0}\n```\nand {{more", "fenced"), ("It is {0}, not {{}}.", "inside"), ("```\n{1},}} // end\n``` {{", "mended"),
+    ("<{1}, b: 'x}}]', \"c\": [1, 2,", "cut"), ("nothing {{-free", "cut"), ("no value", None),
+)
+
+
+def _said_sql() -> str:
+    forms = []
+    for form, how in _SAID:
+        text = form.replace("{{", "\x01").replace("}}", "\x02").replace("'", "''")
+        text = text.replace("{0}", "' || props || '").replace("{1}", "' || left(props, length(props) - 1) || '").replace("\x01", "{").replace("\x02", "}").replace("\n", "' || chr(10) || '")
+        kept = "NULL" if "{0}" not in form and "{1}" not in form else "CAST(props->>'k' AS BIGINT)"
+        forms.append(f"SELECT event_id, '{text}' AS text, {'NULL' if how is None else repr(how)} AS how, {kept} AS k FROM events")
+    return " UNION ALL ".join(forms)
+
+
+@query(f"WITH s AS ({_said_sql()}) SELECT event_id, length(text) AS chars, how, k FROM s")
+def f33_found_json(spark, d):
+    """Each event's props within prose, fences, comments and cut text, found again."""
+
+    def said(form: str):
+        parts, own = [], form.replace("{{", "\x01").replace("}}", "\x02")
+        for piece in re.split(r"(\{[01]\})", own):
+            text = F.lit(piece.replace("\x01", "{").replace("\x02", "}"))
+            parts.append({"{0}": F.col("props"), "{1}": F.expr("left(props, length(props) - 1)")}.get(piece, text))
+        return F.concat(*parts)
+
+    e = table(spark, d, "events").select("event_id", F.explode(F.array(*(said(f) for f, _ in _SAID))).alias("text"))
+    got = e.select("event_id", F.length("text").cast("long").alias("chars"), lenient.lenient_json(F.col("text")).alias("j"))
+    return got.select("event_id", "chars", F.col("j.how").alias("how"), F.get_json_object("j.json", "$.k").cast("long").alias("k"))
+
+
 @query("""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT user_id, list(n ORDER BY n DESC) AS n FROM n GROUP BY 1), x AS (SELECT user_id, 1 - coalesce(n[2], 0) / n[1] AS s FROM s)
  SELECT user_id, round(s, 6) AS stability, CASE WHEN s >= 0.7 THEN 'stable' WHEN s >= 0.5 THEN 'moderate' WHEN s >= 0.3 THEN 'unstable' ELSE 'critical' END AS level FROM x""")
 def x7_stability(spark, d):
@@ -340,6 +393,75 @@ def x14_x15_tokenizer_differences(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(words).cast("long").alias("words"), (F.size(words) - same).cast("long").alias("differing"), F.round(same / F.size(words), 6).alias("consistency"))
 
 
+#: Three ways to cut a text that leave nothing out: words with the space before, runs of a kind, three characters each.
+_CUTS = {"words": "(?s) ?[^ ]+| +", "runs": r"(?s)[\p{L}\p{N}]+|[^\p{L}\p{N}]", "threes": "(?s).{1,3}"}
+
+
+def _cut(rows):
+    return rows.select("*", *(spans.tokens_of(F.col("text"), p).alias(n) for n, p in _CUTS.items()))
+
+
+def _cut_sql(name: str) -> str:
+    pattern = _CUTS[name]
+    listed = f"regexp_extract_all(text, '{pattern}')"
+    return f"""{name} AS (SELECT item_id, t[k] AS token, CAST(list_sum(list_transform(t[1:k - 1], lambda x: length(x))) AS BIGINT) AS a, length(t[k]) AS n FROM (SELECT item_id, {listed} AS t, unnest(range(1, len({listed}) + 1)) AS k FROM benchmark)),
+ c_{name} AS (SELECT item_id, token, unnest(range(coalesce(a, 0), coalesce(a, 0) + n)) AS position FROM {name})"""
+
+
+@query(f"""WITH {", ".join(map(_cut_sql, _CUTS))}, p AS (SELECT item_id, text, unnest(range(0, length(text))) AS position FROM benchmark)
+ SELECT item_id, CAST(position AS INT) AS position, text[position + 1] AS character, c_words.token AS token_words, c_runs.token AS token_runs, c_threes.token AS token_threes FROM p LEFT JOIN c_words USING (item_id, position) LEFT JOIN c_runs USING (item_id, position) LEFT JOIN c_threes USING (item_id, position)""")
+def x13_character_alignment(spark, d):
+    """The token of each of three tokenizers that covers each character."""
+    return spans.character_alignment(_cut(table(spark, d, "benchmark")), {n: n for n in _CUTS}, "item_id")
+
+
+@query()
+def x14_differences(spark, d):
+    """Where three tokenizers differ in whole documents, by kind and weight, and how far each agrees with most of them."""
+    got = spans.tokenizer_differences(_cut(table(spark, d, "documents").select("doc_id", "text")), {n: n for n in _CUTS}, "doc_id")
+    n = F.size("differences").cast("long").alias("differences")
+    kinds = [F.size(F.filter("differences", lambda x: x["type"] == k)).cast("long").alias(k.split("_")[0]) for k in ("merge_difference", "split_difference", "unknown_handling")]
+    high = F.size(F.filter("differences", lambda x: x["significance"] == "high")).cast("long").alias("high")
+    last = F.element_at(F.transform("differences", lambda x: x["position"]), -1)
+    return got.select("doc_id", n, *kinds, high, F.when(F.size("differences") > 0, last).alias("last"), *(F.round(F.col("consistency")[c], 6).alias(f"c_{c}") for c in _CUTS))
+
+
+#: Ranks of a public byte-level vocabulary, and how it splits texts; the path is a parameter.
+RANKS = os.environ.get("SEDGE_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@query()
+def x5_merge_capture(spark, d):
+    """Tokens and merges of whole documents: how many, digests of both, and the highest rank that merged."""
+    got = subwords.capture_merges(table(spark, d, "documents"), subwords.read_ranks(RANKS), _WORDS, "doc_id")
+    steps = F.array_join(F.zip_with("ranks", "rights", lambda r, e: F.concat_ws(":", r, e)), ",")
+    return got.select("doc_id", F.size("ids").cast("long").alias("tokens"), F.size("ranks").cast("long").alias("merges"), F.sha2(F.array_join("ids", ","), 256).alias("ids_digest"), F.sha2(steps, 256).alias("merges_digest"), F.array_max("ranks").alias("highest"))
+
+
+@query()
+def x4_subword_waterfall(spark, d):
+    """Whole documents by the best entries of a vocabulary whose frequencies are those of its tokens in the documents."""
+    ranks, docs = subwords.read_ranks(RANKS), table(spark, d, "documents")
+    ids = subwords.capture_merges(docs, ranks, _WORDS, "doc_id").select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    often = {r["id"]: r["n"] for r in ids.toLocalIterator()}  # a row for each entry of the vocabulary at most
+    entries = []
+    for token, i in ranks.items():
+        try:
+            entries.append(subwords.Entry(token.decode(), i, i, often.get(i, 0)))
+        except UnicodeDecodeError:  # part of a character
+            continue
+
+    got = subwords.waterfall(docs, entries, "doc_id", then=_waterfall_counts, ddl="tokens long, merges long, fallbacks long, digest string")
+    return got.select("doc_id", "tokens", "merges", "fallbacks", "digest")
+
+
+def _waterfall_counts(trie: subwords.Trie, text: str) -> tuple[int, int, int, str]:
+    rows = list(trie.split(text))
+    kinds = [r[3] for r in rows]
+    return len(rows), kinds.count("merge"), kinds.count("fallback"), hashlib.sha256(",".join(str(r[1]) for r in rows).encode()).hexdigest()
+
+
 @query()
 def f4_recursive_chunks(spark, d):
     """Chunks with their offsets; tested against a plain search of the source and hand-made texts."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions import text as T
 from sedge.functions import vectors as V
-from sedge.operators import ranking
+from sedge.operators import ranking, vector_index
 from sedge.plans.registry import query, table
 
 #: Each vector beside the one with the next id, by an equi-join on the id.
@@ -167,6 +167,15 @@ def o2_p3_limit_then_threshold(spark, d):
     return hits.where("score >= 0.3").select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def o2_index_search(spark, d):
+    """Ten rows of each query through an index, then those that are similar enough; lists are probed for a recall of 0.95."""
+    e = table(spark, d, "embeddings")
+    index = vector_index.build_index(e)
+    hits = vector_index.index_search(index, e.where("vec_id % 50 = 0"), 10, vector_index.choose_probes(index, e, 10))
+    return hits.where("score >= 0.3").select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {_FOUND}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, id) AS r FROM s), b AS (SELECT query_id, label, max(s) AS top FROM s GROUP BY ALL),
  o AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY top DESC, label) AS grp FROM b)
  SELECT query_id, label, id, round(s, 6) AS score, grp, r AS place FROM g JOIN o USING (query_id, label) WHERE r <= 2 AND grp <= 3""")
@@ -177,13 +186,11 @@ def w5_grouped_search(spark, d):
     return parts.select("query_id", F.col("label").cast("int").alias("label"), "id", F.round("score", 6).alias("score"), F.col("grp").cast("long").alias("grp"), F.col("place").cast("long").alias("place"))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 50 = 0),
- s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id)
- SELECT a, b, round(s, 6) AS score FROM s ORDER BY s DESC, a, b LIMIT 100""")
+@query(f"WITH {_FOUND} SELECT query_id AS a, id AS b, round(s, 6) AS score FROM s WHERE query_id <> id ORDER BY s DESC, a, b LIMIT 100")
 def o13_similarity_matrix(spark, d):
-    """The hundred best pairs of the query set."""
-    e = table(spark, d, "embeddings").where("vec_id % 50 = 0")
-    pairs = ranking.vector_search(e, e, 101).where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
+    """The hundred best pairs of a query and a row of the whole table; no query has more than a hundred of them, or itself and a hundred."""
+    e = table(spark, d, "embeddings")
+    pairs = ranking.vector_search(e, e.where("vec_id % 50 = 0"), 101).where("query_id <> id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
     return pairs.orderBy(F.desc("score"), "a", "b").limit(100).select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -200,8 +207,8 @@ def c3_similarity_bands(spark, d):
 def j1_query_corpus_similarity(spark, d):
     """Every stored vector against each of the query set."""
     e = table(spark, d, "embeddings")
-    hits = ranking.similar_rows(e, e.where("vec_id % 50 = 0"), -2.0)
-    return hits.groupBy("query_id").agg(F.count("*").alias("compared"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("high"))
+    s = ranking.similarity_summary(e, e.where("vec_id % 50 = 0"))
+    return s.select("query_id", "compared", F.round("mean", 6).alias("mean"), F.round("high", 6).alias("high"))
 
 
 @query(f"WITH {_DOMAIN} SELECT vec_id AS query_id, domain, round(s, 6) AS score FROM s WHERE vec_id % 50 = 0")

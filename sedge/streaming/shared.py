@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -23,3 +24,10 @@ def kept(df: DataFrame) -> DataFrame:
     """df computed once and kept there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df kept as Parquet there and read from it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -176,24 +176,25 @@ def test_components_of_chains_and_stars(spark):
 
 
 def plain_packed(text, size, overlap):
+    """The overlap begins after the last sentence end of the tail, but only where that lies past half of it."""
     import re
 
     out, open_ = [], ""
-    for p in (x.strip(" ") for x in re.split(r"\n\s*\n", text)):
+    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
         if not p:
             continue
         if open_ and len(open_) + len(p) > size:
-            out.append(open_.strip(" "))
-            tail = open_[max(0, len(open_) - overlap) :]
-            cut = re.sub(r"(?s)^.*?[.!?。！？]\s*", "", tail, count=1)
-            open_ = (cut if re.search("[.!?。！？]", tail) and cut else tail).strip(" ")
+            out.append(open_.strip())
+            tail = open_ if len(open_) <= overlap else open_[len(open_) - overlap :]
+            last = max(tail.rfind(c) for c in "。！？.!?")
+            open_ = tail[last + 1 :] if len(open_) > overlap and last > overlap * 0.5 else tail
         open_ += ("\n\n" if open_ else "") + p
-    return [*out, open_.strip(" ")] if open_ else out
+    return [*out, open_.strip()] if open_.strip() else out
 
 
 def test_packed_paragraphs_against_a_plain_loop(spark):
     r = np.random.default_rng(2)
-    texts = ["", "one", "a\n\n\nb"] + ["\n\n".join(" ".join(r.choice(["word", "end.", "Is it?", "漢字。"]) for _ in range(r.integers(1, 12))) for _ in range(r.integers(1, 9))) for _ in range(60)]
+    texts = ["", "one", "a\n\n\nb", "\n\n".join(["x" * 30 + ". " + "y" * 60 + ". Z" * 3] * 4), "\n\n".join(["q" * 90 + "."] * 3), "ends. Early " + "w" * 90 + "\n \n" + "v" * 70] + ["\n\n".join(" ".join(r.choice(["word", "end.", "Is it?", "漢字。"]) for _ in range(r.integers(1, 12))) for _ in range(r.integers(1, 9))) for _ in range(60)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     for x in df.select("i", T.packed_paragraphs(F.col("t"), 80, 25).alias("c")).collect():
         assert x.c == plain_packed(texts[x.i], 80, 25), texts[x.i]
