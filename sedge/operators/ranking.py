@@ -228,6 +228,15 @@ def reciprocal_rank_fusion(hits: DataFrame, weights: dict[str, float], constant:
     return hits.withColumn("w", F.coalesce(w, F.lit(1.0))).where("w > 0").groupBy("query_id", "id").agg(F.sum(F.col("w") / (constant + F.col("rank"))).alias("score"))
 
 
+def fusion_conflicts(hits: DataFrame, identity: list[str]) -> DataFrame:
+    """query_id, id, variants of the candidates that lanes know with different content or provenance (the columns of ``identity``; null is a value).
+
+    Fusing these would mix two things under one id: the caller stops, or leaves them out by an anti-join.
+    """
+    same = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in identity))
+    return hits.groupBy("query_id", "id").agg(F.countDistinct(same).alias("variants")).where("variants > 1")
+
+
 def score_fusion(hits: DataFrame, weights: dict[str, float]) -> DataFrame:
     """query_id, id, score: the weighted sum of lanes' min-max scores; a lane whose scores are all equal counts 1."""
     lane = hits.groupBy("query_id", "lane").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))

@@ -80,7 +80,7 @@ def e3_citation_metrics(spark, d):
 
 
 _SECURE = """s AS (SELECT l_orderkey AS case_id, CAST(count(*) FILTER (l_suppkey % 3 <> o_custkey % 3) AS BIGINT) AS cross_tenant, CAST(count(*) FILTER (l_partkey % 2 <> o_custkey % 2) AS BIGINT) AS cross_corpus,
- CAST(count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS BIGINT) AS trust, CAST(count(*) FILTER (l_partkey IN (1, 2, 3)) AS BIGINT) AS forbidden, CAST(count(DISTINCT CASE WHEN l_linenumber NOT IN (1, 2, 3) THEN l_linenumber END) AS BIGINT) AS lanes FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)"""
+ CAST(count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS BIGINT) AS trust, CAST(count(*) FILTER (l_partkey IN (1, 2, 3)) AS BIGINT) AS forbidden, CAST(count(DISTINCT CASE WHEN l_linenumber NOT IN (1, 2, 3) THEN l_linenumber END) AS BIGINT) AS lanes, CAST(max(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 0 ELSE 1 END) AS BIGINT) AS policy FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)"""
 
 
 def _security(spark, d) -> DataFrame:
@@ -88,7 +88,8 @@ def _security(spark, d) -> DataFrame:
     lane = F.col("l_linenumber")
     return rows.groupBy(F.col("l_orderkey").alias("case_id")).agg(
         F.count_if(F.col("l_suppkey") % 3 != F.col("o_custkey") % 3).alias("cross_tenant"), F.count_if(F.col("l_partkey") % 2 != F.col("o_custkey") % 2).alias("cross_corpus"),
-        F.count_if(~F.col("l_returnflag").isin("A", "N")).alias("trust"), F.count_if(F.col("l_partkey").isin(1, 2, 3)).alias("forbidden"), F.countDistinct(F.when(~lane.isin(1, 2, 3), lane)).alias("lanes"))
+        F.count_if(~F.col("l_returnflag").isin("A", "N")).alias("trust"), F.count_if(F.col("l_partkey").isin(1, 2, 3)).alias("forbidden"), F.countDistinct(F.when(~lane.isin(1, 2, 3), lane)).alias("lanes"),
+        F.max(F.when(F.coalesce(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"), F.lit(False)), 0).otherwise(1)).cast("long").alias("policy"))
 
 
 @query(f"WITH {_SECURE} SELECT * FROM s")
@@ -96,9 +97,9 @@ def e4_security_counters(spark, d):
     return _security(spark, d)
 
 
-@query(f"WITH {_SECURE} SELECT CAST(sum(cross_tenant) AS BIGINT) AS cross_tenant, CAST(sum(cross_corpus) AS BIGINT) AS cross_corpus, CAST(sum(trust) AS BIGINT) AS trust, CAST(sum(forbidden) AS BIGINT) AS forbidden, CAST(sum(lanes) AS BIGINT) AS lanes FROM s")
+@query(f"WITH {_SECURE} SELECT CAST(sum(cross_tenant) AS BIGINT) AS cross_tenant, CAST(sum(cross_corpus) AS BIGINT) AS cross_corpus, CAST(sum(trust) AS BIGINT) AS trust, CAST(sum(forbidden) AS BIGINT) AS forbidden, CAST(sum(lanes) AS BIGINT) AS lanes, CAST(sum(policy) AS BIGINT) AS policy FROM s")
 def g14_security_sums(spark, d):
-    return _security(spark, d).agg(*(F.sum(c).alias(c) for c in ("cross_tenant", "cross_corpus", "trust", "forbidden", "lanes")))
+    return _security(spark, d).agg(*(F.sum(c).alias(c) for c in ("cross_tenant", "cross_corpus", "trust", "forbidden", "lanes", "policy")))
 
 
 #: Results of cases: orders; failed: status P; recall and facts from prices, null for some; abstained by priority.

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
-from sedge.operators import graph, merging, ranking
+from sedge.operators import graph, merging, ranking, similar_pairs
 from sedge.plans.registry import query, table
 from sedge.streaming.shared import kept
 
+#: Words that are no token of a question.
+_STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 _EDGES = """e AS (SELECT 's' || l_suppkey || '-p' || l_partkey AS edge, 's' || l_suppkey AS a, 'p' || l_partkey AS b, least(1.0, max(l_quantity) / 50) AS w FROM lineitem GROUP BY ALL)"""
 _HOPS = f"""{_EDGES}, u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), h0 AS (SELECT 's' || s_suppkey AS node, 1.0 AS score, 0 AS hop FROM supplier WHERE s_suppkey % 50 = 0),
  h1 AS (SELECT b AS node, max(score * w * 0.65) AS score, 1 AS hop FROM h0 JOIN u ON node = a GROUP BY b), h2 AS (SELECT b AS node, max(score * w * 0.4) AS score, 2 AS hop FROM h1 JOIN u ON node = a GROUP BY b),
@@ -35,7 +37,7 @@ def _selected(spark, d) -> DataFrame:
 
 
 _QUERIES = """q AS (SELECT p_partkey AS query_id, lower(p_name || ' ' || p_type) AS text FROM part WHERE p_partkey % 50 = 0),
- t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(text, '[a-z0-9][a-z0-9._:-]*')) AS token FROM q), qt AS (SELECT * FROM t WHERE length(token) > 1 AND token NOT IN ('a','an','and','are','did','do','does','for','from','how','in','is','of','on','the','to','was','were','what','when','where','which','who','why','with')),
+ t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(text, '[a-z0-9][a-z0-9._:-]*')) AS token FROM q), qt AS (SELECT * FROM t WHERE length(token) > 1 AND NOT list_contains({_STOPS}, token)),
  i AS (SELECT p_partkey AS node, p_name, unnest(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9][a-z0-9._:-]*')) AS token FROM part), it AS (SELECT DISTINCT node, token FROM i),
  z AS (SELECT query_id, count(*) AS of FROM qt GROUP BY 1), n1 AS (SELECT query_id, node, count(*) / any_value(of) AS score FROM qt JOIN it USING (token) JOIN z USING (query_id) GROUP BY ALL)"""
 
@@ -90,19 +92,24 @@ def o5_passage_ranking(spark, d):
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "hop", "passage")).cast("long")).select("passage", "rank")
 
 
-@query(f"""WITH {_HOPS}, c AS (SELECT n_nationkey AS community, n_name, 's' || s_suppkey AS node FROM nation JOIN supplier ON s_nationkey = n_nationkey),
- l AS (SELECT community, max(coalesce(score, 0)) AS member, count(*) AS members FROM c LEFT JOIN g USING (node) GROUP BY 1),
- x AS (SELECT community, len(list_filter(['china', 'brazil', 'kenya'], lambda w: lower(any_value(n_name)) = w)) / 3 AS lexical FROM c GROUP BY 1),
- y AS (SELECT community, count(DISTINCT l_orderkey) AS passages FROM c JOIN lineitem ON node = 's' || l_suppkey GROUP BY 1)
- SELECT community, round(lexical + member * 0.5, 6) AS score, members, passages FROM l JOIN x USING (community) JOIN y USING (community) WHERE lexical + member * 0.5 > 0""")
+@query(f"""WITH {_HOPS}, c AS (SELECT n_nationkey AS community, lower(n_name || ' ' || r_name) AS text, 's' || s_suppkey AS node, s_suppkey FROM nation JOIN region ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey),
+ t AS (SELECT DISTINCT community, unnest(regexp_extract_all(text, '[a-z0-9][a-z0-9._:-]*')) AS token FROM c), it AS (SELECT * FROM t WHERE length(token) > 1 AND NOT list_contains({_STOPS}, token)),
+ qt AS (SELECT DISTINCT token FROM it JOIN (SELECT DISTINCT community FROM c WHERE s_suppkey % 50 = 0) USING (community)), x AS (SELECT community, count(*) / (SELECT count(*) FROM qt) AS lexical FROM it JOIN qt USING (token) GROUP BY 1),
+ l AS (SELECT community, max(coalesce(score, 0)) AS member, count(*) AS members FROM c LEFT JOIN g USING (node) GROUP BY 1), y AS (SELECT community, count(DISTINCT l_orderkey) AS passages FROM c JOIN lineitem ON node = 's' || l_suppkey GROUP BY 1)
+ SELECT community, round(coalesce(lexical, 0) + member * 0.5, 6) AS score, members, passages FROM l JOIN y USING (community) LEFT JOIN x USING (community) WHERE coalesce(lexical, 0) + member * 0.5 > 0""")
 def n4_j6_community_scores(spark, d):
-    """A community's share of the query's words in its name and half of its best member; its distinct passages."""
-    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").alias("community"), F.lower("n_name").alias("name"), _s("s_suppkey").alias("node"))
-    best = s.join(_selected(spark, d), "node", "left").groupBy("community", "name").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("member"), F.count("*").alias("members"))
+    """Nations as communities of suppliers: the share of the question's words (here the names of the seeds' nations) that its names hold, and half of its best member; its distinct passages."""
+    named = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    s = named.join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").alias("community"), F.concat_ws(" ", "n_name", "r_name").alias("text"), "s_suppkey", _s("s_suppkey").alias("node"))
+    tokens = s.select("community", "text").distinct().select(F.col("community").alias("node"), F.explode(T.graph_tokens(F.col("text"))).alias("token"))
+    seeds = s.where("s_suppkey % 50 = 0").select(F.col("community").alias("node")).distinct()
+    asked = tokens.join(seeds, "node", "left_semi").select(F.lit(1).alias("query_id"), "token")
+    lexical = graph.lexical_scores(tokens, asked, F.col("of")).select(F.col("node").alias("community"), F.col("score").alias("lexical"))
+    best = s.join(_selected(spark, d), "node", "left").groupBy("community").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("member"), F.count("*").alias("members"))
     refs = table(spark, d, "lineitem").select(_s("l_suppkey").alias("node"), "l_orderkey")
-    passages = s.join(refs, "node").groupBy("community").agg(F.countDistinct("l_orderkey").alias("passages"))
-    score = F.col("name").isin("china", "brazil", "kenya").cast("int") / 3 + F.col("member") * 0.5
-    return best.join(passages, "community").where(score > 0).select("community", F.round(score, 6).alias("score"), "members", "passages")
+    passages = s.select("community", "node").join(refs, "node").groupBy("community").agg(F.countDistinct("l_orderkey").alias("passages"))
+    score = F.coalesce("lexical", F.lit(0.0)) + F.col("member") * 0.5
+    return best.join(passages, "community").join(lexical, "community", "left").where(score > 0).select("community", F.round(score, 6).alias("score"), "members", "passages")
 
 
 @query(f"WITH {_EDGES} SELECT edge, round(greatest(0, least(1, w)), 6) AS weight FROM e")
@@ -242,6 +249,16 @@ def j2_entity_pairs(spark, d):
     return hits.join(a, "query_id").join(b, "id").where(ok).select(F.col("query_id").alias("i"), F.col("id").alias("j"), F.round("score", 6).alias("score"))
 
 
+@query("""WITH v AS (SELECT min(vec_id) AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings GROUP BY label, CAST(embedding AS DOUBLE[])), p AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id < b.id AND (a.label = b.label OR a.label = 0 OR b.label = 0))
+ SELECT i, j, 'pair' AS kind, round(s, 6) AS score FROM p WHERE s > 0.85 UNION ALL SELECT v.id, e.vec_id, 'copy', 1.0 FROM v JOIN embeddings e ON e.label = v.label AND CAST(e.embedding AS DOUBLE[]) = v.v WHERE e.vec_id <> v.id""")
+def j2_entity_self_join(spark, d):
+    """All similar pairs of the whole table: between the first rows of equal entities, and each of those with its copies. A pair is missed with a chance of one in a thousand at most."""
+    reps, members = similar_pairs.vector_classes(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    pairs = similar_pairs.similar_pairs(kept(reps), 0.85, kept, lambda a, b: (a == b) | (a == 0) | (b == 0), miss=1e-3)
+    found = pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), F.lit("pair").alias("kind"), F.round("score", 6).alias("score"))
+    return found.unionByName(members.where("id <> rep").select(F.col("rep").alias("i"), F.col("id").alias("j"), F.lit("copy").alias("kind"), F.lit(1.0).alias("score")))
+
+
 @query("""WITH n AS (SELECT s_suppkey AS node, [upper('supplier'), CASE WHEN s_acctbal > 0 THEN 'CREDIT' ELSE 'DEBIT' END] AS labels FROM supplier), k AS (SELECT node FROM n WHERE list_has_any(labels, ['CREDIT'])),
  c AS (SELECT s_nationkey AS community, list_sort(list(s_suppkey)) AS members FROM supplier JOIN k ON node = s_suppkey GROUP BY 1) SELECT community, len(members) AS kept, members[1] AS first, (SELECT count(*) FROM lineitem WHERE list_contains(members, l_suppkey)) AS edges FROM c""")
 def p9_ontology_filter(spark, d):

@@ -10,6 +10,7 @@ from sedge.functions import vectors as V
 from sedge.operators import aggregates, evaluation, graph, ranking, sequences, tables
 from sedge.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sedge.sources import files, pages
+from sedge.streaming import keyed
 from sedge.streaming import totals as streams
 
 # predicates and projections
@@ -197,6 +198,14 @@ def r4_reciprocal_rank_fusion(spark, d):
     return ranking.reciprocal_rank_fusion(_lanes(spark, d), {"price": 0.6, "quantity": 0.4}).withColumn("score", F.round("score", 9))
 
 
+@query(f"WITH {_LANES}, c AS (SELECT query_id, id, lane, p_brand AS content, CASE WHEN lane = 'quantity' AND id % 97 = 0 THEN p_size + 1 ELSE p_size END AS provenance FROM h JOIN part ON p_partkey = id) SELECT query_id, id, count(DISTINCT content || '/' || provenance) AS variants FROM c GROUP BY ALL HAVING count(DISTINCT content || '/' || provenance) > 1")
+def r4_fusion_conflicts(spark, d):
+    """Candidates whose provenance differs between lanes (here the size of every ninety-seventh part)."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("content"), "p_size")
+    moved = F.when((F.col("lane") == "quantity") & (F.col("id") % 97 == 0), F.col("p_size") + 1).otherwise(F.col("p_size"))
+    return ranking.fusion_conflicts(_lanes(spark, d).join(p, "id").withColumn("provenance", moved), ["content", "provenance"])
+
+
 @query(f"""WITH {_LANES}, m AS (SELECT query_id, lane, min(score) AS lo, max(score) AS hi FROM h GROUP BY ALL)
  SELECT query_id, id, round(sum((CASE lane WHEN 'price' THEN 0.3 ELSE 0.7 END) * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END), 6) AS score FROM h JOIN m USING (query_id, lane) GROUP BY ALL""")
 def r5_weighted_fusion(spark, d):
@@ -499,5 +508,13 @@ def z13_stream_totals(spark, d):
     return streams.totals(stream, ["event_type"], F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
 
 
+@query("SELECT user_id, count(DISTINCT event_id) AS rows, count(DISTINCT event_id) FILTER (event_type IN ('click', 'view')) AS looked, count(DISTINCT event_id) FILTER (event_type = 'purchase') AS bought FROM events GROUP BY user_id")
+def z13_keyed_totals(spark, d):
+    """What each user did, kept by key in a stream's state; an event that comes again counts once."""
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return keyed.keyed_totals(stream, "user_id", "event_id", "event_type", {"looked": ("click", "view"), "bought": ("purchase",)}).drop("batch")
+
+
 # the other parts enter theirs in the same place
 from sedge.plans import evaluations, graphs, retrieval, stores, texts, traces, vectorial  # noqa: E402, F401

@@ -194,13 +194,18 @@ def r35_pdf_modality(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", t.rlike("figure|chart|table|diagram|image|图").alias("visual"), F.array_join(pages, ",").alias("pages"))
 
 
-@query("""WITH e AS (SELECT p_partkey AS id, lower(p_name) AS name, lower(p_brand) AS alias, p_type AS type FROM part), q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 100 = 0 THEN lower(p_brand) ELSE lower(p_name) END AS name, p_type AS type FROM part WHERE p_partkey % 50 = 0),
- j AS (SELECT query_id, id, q.name = alias AS by_alias, q.name = e.name AS exact, q.type = e.type AS same, len(list_intersect(string_split(q.name, ''), string_split(e.name, ''))) / len(list_distinct(list_concat(string_split(q.name, ''), string_split(e.name, '')))) AS near FROM q, e),
- s AS (SELECT query_id, id, CASE WHEN by_alias AND same THEN 1 WHEN exact AND same THEN 2 WHEN by_alias THEN 3 WHEN exact THEN 4 WHEN same AND near > 0.5 THEN 5 END AS level, near FROM j)
- SELECT query_id, id, level, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level, id) AS rank FROM s WHERE level IS NOT NULL) WHERE rank <= 5""")
+_TYPES = "CASE p_type WHEN 'ECONOMY' THEN 'PERSON' WHEN 'SMALL' THEN 'OTHER' ELSE p_type END"
+
+
+@query(f"""WITH e AS (SELECT p_partkey AS id, lower(p_name) AS name, lower(p_brand) AS alias, {_TYPES} AS type FROM part), q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 100 = 0 THEN lower(p_brand) ELSE lower(p_name) END AS name, {_TYPES} AS type FROM part WHERE p_partkey % 50 = 0),
+ j AS (SELECT query_id, id, q.name = alias AS by_alias, q.name = e.name AS exact, q.type = e.type AS same, (q.type = 'PERSON' AND e.type = 'OTHER') OR (q.type = 'OTHER' AND e.type = 'PERSON') AS person, q.type = e.type OR 'OTHER' IN (q.type, e.type) AS loose,
+  len(list_intersect(string_split(q.name, ''), string_split(e.name, ''))) / len(list_distinct(list_concat(string_split(q.name, ''), string_split(e.name, '')))) > 0.5 OR len(list_intersect(string_split(q.name, ''), string_split(alias, ''))) / len(list_distinct(list_concat(string_split(q.name, ''), string_split(alias, '')))) > 0.6 AS alike FROM q, e),
+ s AS (SELECT query_id, id, CASE WHEN by_alias AND (same OR person) THEN 1 WHEN by_alias THEN 3 WHEN exact AND same THEN 2 WHEN exact OR (loose AND alike) THEN 4 END AS level FROM j)
+ SELECT query_id, id, level, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level, CASE WHEN level = 1 THEN -id ELSE id END) AS rank FROM s WHERE level IS NOT NULL) WHERE rank <= 5""")
 def r16_entity_lookup(spark, d):
     """Aliases before names before likeness, each with the same type first; the query set goes to every task as a list."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.lower("p_brand").alias("alias"), F.col("p_type").alias("type"))
+    kind = F.when(F.col("p_type") == "ECONOMY", "PERSON").when(F.col("p_type") == "SMALL", "OTHER").otherwise(F.col("p_type"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.lower("p_brand").alias("alias"), kind.alias("type"))
     asked = p.where("id % 50 = 0").select(F.struct(F.col("id").alias("query_id"), F.when(F.col("id") % 100 == 0, F.col("alias")).otherwise(F.col("name")).alias("asked"), F.col("type").alias("asked_type")).alias("q"))
     return context.looked_up(p, asked, 5)
 
@@ -235,6 +240,28 @@ def r19_evidence_validation(spark, d):
     return k.join(u, "query_id").select("query_id", "coverage", F.round("r", 6).alias("repeated"), ((F.col("r") <= 0.7) & (F.col("coverage") >= 0.3)).alias("valid"))
 
 
+_NAMES_SQL = "list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))"
+_WORDS_SQL = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: length(t) > 4))"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM m WHERE role = 'assistant' GROUP BY 1), o AS (SELECT conv_id, arg_min(text, turn) AS text FROM m WHERE role = 'user' GROUP BY 1),
+ s AS (SELECT conv_id, lower(text) AS low, {_NAMES_SQL} AS names, {_WORDS_SQL} AS words FROM c), f AS (SELECT conv_id, {_WORDS_SQL} AS words FROM o), q AS (SELECT conv_id, turn, text, {_NAMES_SQL} AS names, {_WORDS_SQL} AS words FROM m WHERE role = 'user'),
+ j AS (SELECT q.conv_id, q.turn, q.names AS n, q.words AS w, list_filter(q.names, lambda e: len(list_filter(s.names, lambda x: contains(lower(x), lower(e)) OR contains(lower(e), lower(x)))) > 0) AS fe, list_filter(q.words, lambda k: len(list_filter(s.words, lambda x: contains(x, k) OR contains(k, x))) > 0) AS fk,
+  list_filter(q.words, lambda k: list_contains(f.words, k)) AS dk, list_filter(q.names, lambda e: NOT contains(low, lower(e)) AND len(list_filter(regexp_split_to_array(low, '\\s+'), lambda x: contains(lower(e), x))) = 0) AS miss FROM q JOIN s USING (conv_id) JOIN f USING (conv_id)),
+ v AS (SELECT conv_id, turn, CASE WHEN len(n) > 0 THEN len(fe) / len(n) ELSE 0 END AS entity, CASE WHEN len(w) > 0 THEN len(fk) / len(w) ELSE 0 END AS keyword, len(fk) AS found, len(w) > 0 AND len(dk) / len(w) > 0.7 AS repeated, len(n) > 0 AND len(miss) / len(n) > 0.3 AS invented FROM j)
+ SELECT conv_id, turn, round(entity, 6) AS entity_coverage, round(keyword, 6) AS keyword_coverage, repeated, invented, (greatest(entity, keyword) >= 0.3 OR found >= 2) AND NOT repeated AND NOT invented AS valid, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN (greatest(entity, keyword) >= 0.3 OR found >= 2) AND NOT repeated AND NOT invented THEN 0 ELSE 1 END, round(greatest(entity, keyword), 9) DESC, turn) AS place FROM v""")
+def r19_question_validation(spark, d):
+    """Each user message as a candidate question against the answers of its conversation: names and keywords that these hold, repeats of the first question, names they do not have."""
+    m = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = F.array_sort(F.collect_list(F.struct("turn", "text")))  # a conversation's turns
+    evidence = m.where("role = 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("evidence"))
+    first = m.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("original"))
+    asked = m.where("role = 'user'").join(evidence, "conv_id").join(first, "conv_id")
+    checked = context.question_checks(asked, F.col("text"), F.col("evidence"), F.col("original"))
+    w = Window.partitionBy("conv_id").orderBy(F.desc("valid"), F.desc(F.round(F.greatest("entity_coverage", "keyword_coverage"), 9)), "turn")
+    return checked.select("conv_id", "turn", F.round("entity_coverage", 6).alias("entity_coverage"), F.round("keyword_coverage", 6).alias("keyword_coverage"), "repeated", "invented", "valid", F.row_number().over(w).cast("long").alias("place"))
+
+
 @query(f"""WITH {_EVIDENCE}, x AS (SELECT query_id, id, s, text FROM ev WHERE lane = 'dense' AND s IS NOT NULL), ww AS (SELECT item_id AS query_id, list_filter(string_split(lower(text), ' '), lambda t: length(t) > 4) AS w FROM benchmark WHERE item_id % 50 = 0)
  SELECT query_id, id FROM x JOIN ww USING (query_id) WHERE s >= 0.2 AND (s > 0.5 OR len(list_filter(w, lambda t: contains(lower(text), t))) > 0)""")
 def p11_keyword_relevance(spark, d):

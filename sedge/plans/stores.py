@@ -11,6 +11,7 @@ from sedge.functions import text as T
 from sedge.operators import tables
 from sedge.plans.registry import query, table
 from sedge.sources import files
+from sedge.sources import containers
 from sedge.streaming.shared import shared_dir
 
 # writes
@@ -363,3 +364,16 @@ def k29_graph_serialised(spark, d):
     text = n.groupBy("graph").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("node", "w")))).alias("text"))
     back = text.select("graph", F.from_json("text", "map<string,bigint>").alias("m"))
     return back.select("graph", F.size(F.map_keys("m")).cast("long").alias("nodes"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("weight"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'pptx' ELSE 'txt' END AS kind, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents)
+ SELECT doc_id, kind, len(w) > 0 AS success, len(w) AS words, CASE WHEN len(w) > 0 THEN sha256(array_to_string(w, ' ')) END AS digest FROM d""")
+def s3_s11_s12_containers(spark, d):
+    """Documents written as word documents, presentations and texts, and read back: their words, a row a document."""
+    kind = F.when(F.col("doc_id") % 3 == 0, "docx").when(F.col("doc_id") % 3 == 1, "pptx").otherwise("txt")
+    files = containers.as_containers(table(spark, d, "documents"), "doc_id", "text", kind)
+    parts = containers.read_files(files).withColumn("doc_id", F.regexp_extract("path", "^[0-9]+", 0).cast("long"))
+    own = F.array_sort(F.collect_list(F.struct("part", "text")))  # a document's slides
+    whole = parts.groupBy("doc_id", "kind").agg(F.bool_and("success").alias("success"), F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"))
+    w = F.filter(F.split("text", "\\s+"), lambda x: x != "")
+    return whole.select("doc_id", "kind", "success", F.size(w).cast("long").alias("words"), F.when(F.size(w) > 0, F.sha2(F.array_join(w, " "), 256)).alias("digest"))

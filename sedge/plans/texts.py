@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions import lenient, splitting, subwords
 from sedge.functions import text as T
-from sedge.operators import spans
+from sedge.operators import lines, spans
 from sedge.plans.registry import query, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
@@ -393,6 +393,16 @@ def x14_x15_tokenizer_differences(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(words).cast("long").alias("words"), (F.size(words) - same).cast("long").alias("differing"), F.round(same / F.size(words), 6).alias("consistency"))
 
 
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents), w AS (SELECT doc_id, k, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS w FROM l)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS line, CAST(len(w) AS INT) AS items, md5(array_to_string(w, '')) AS letters FROM w WHERE len(w) > 0""")
+def f13_page_lines(spark, d):
+    """Words of documents placed on pages, a page a document, with heights that differ within a line, and grouped into lines again."""
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "row"))
+    words = each.select("doc_id", "k", F.posexplode(F.filter(F.split("row", "\\s+"), lambda x: x != "")).alias("w", "text"))
+    placed = words.select("doc_id", "text", (F.col("w") * 60).alias("x"), (F.col("k") * 12 + F.col("w") % 3).alias("y"), F.least(F.length("text") * 5, F.lit(55)).alias("width"), F.lit(10).alias("height"))
+    return lines.page_lines(placed, ["doc_id"]).select("doc_id", "line", "items", F.md5(F.regexp_replace("text", "\\s+", "")).alias("letters"))
+
+
 #: Three ways to cut a text that leave nothing out: words with the space before, runs of a kind, three characters each.
 _CUTS = {"words": "(?s) ?[^ ]+| +", "runs": r"(?s)[\p{L}\p{N}]+|[^\p{L}\p{N}]", "threes": "(?s).{1,3}"}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedge.functions import analysis as A
 from sedge.functions import text as T
 from sedge.functions import vectors as V
 from sedge.operators import ranking, vector_index
@@ -87,6 +88,95 @@ def v15_hashing_embedding(spark, d):
     return s.select("item_id", "k", F.round(F.when(n > 0, F.col("x") / n).otherwise(0.0), 6).alias("value"))
 
 
+# whole queries: a vector with the document of its id
+
+#: Prototypes of categories; words, weights and patterns are a parameter of the functions.
+_PROTOTYPES = (
+    A.Prototype("technology", ("model", "data", "code", "system", "api", "tion"), 1.2, "tech", True, True, True), A.Prototype("engineering", ("function", "test", "build", "deploy", "server"), 1.1, "tech", True, False, True),
+    A.Prototype("business", ("market", "price", "order", "customer", "con"), 1.0, "business", False, True, False), A.Prototype("research", ("theory", "study", "method", "result", "ver"), 1.0, "academic", False, False, True),
+    A.Prototype("daily", ("home", "food", "day", "the ", "que "), 0.9, "daily", False, True, False), A.Prototype("emotion", ("love", "happy", "sad", "like", "und "), 0.9, "emotion", True, True, False), A.Prototype("general", ("what", "how", "which", "why"), 0.7),
+)
+
+
+def _words_sql(p: A.Prototype) -> str:
+    return "(" + " + ".join(f"CAST(contains(t, '{w.lower()}') AS INT)" for w in p.words) + ")"
+
+
+_RAW = {k: " + ".join(f"{_words_sql(p)} * {p.weight}" for p in _PROTOTYPES if p.score == k) or "0" for k in A.SCORES}
+_ANALYSED = f"""e AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), a AS (SELECT vec_id, avg(x) AS mean, var_pop(x) AS var, sum(abs(x)) AS l1, sqrt(sum(x * x)) AS l2, avg(CAST(abs(x) < 0.01 AS INT)) AS sparsity, count(*) AS n FROM e GROUP BY 1),
+ m AS (SELECT vec_id, any_value(mean) AS mean, any_value(var) AS var, any_value(l2) AS l2, any_value(sparsity) AS sparsity, any_value(n) AS n, avg((x - mean) ** 3) / any_value(var) ** 1.5 AS skew, avg((x - mean) ** 4) / any_value(var) ** 2 - 3 AS kurt, -sum(CASE WHEN x = 0 THEN 0 ELSE abs(x) / l1 * log2(abs(x) / l1) END) AS bits FROM e JOIN a USING (vec_id) GROUP BY vec_id),
+ b AS (SELECT m.*, CAST(embedding AS DOUBLE[]) AS v, lower(coalesce(text, '')) AS t FROM m JOIN embeddings USING (vec_id) LEFT JOIN documents ON doc_id = vec_id),
+ k AS (SELECT *, {", ".join(f"CAST({c} AS DOUBLE) AS r_{k}" for k, c in _RAW.items())}, {", ".join(f"sqrt(list_sum(list_transform(v[{i} * (n // 5) + 1:{'n' if i == 4 else f'{i + 1} * (n // 5)'}], lambda x: x * x))) AS e{i}" for i in range(5))} FROM b),
+ q AS (SELECT *, greatest({", ".join(f"r_{k}" for k in A.SCORES)}, 1.0) AS most, (e0 + e1 + e2 + e3 + e4) / 5 AS energy FROM k)"""
+
+
+def _analysed(spark, d) -> tuple[DataFrame, dict]:
+    """Vectors with the text of the document of their id, and their statistics."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    rows = table(spark, d, "embeddings").select("vec_id", V.doubles("embedding").alias("v")).join(docs, "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumns({f"s_{k}": c for k, c in V.statistics(F.col("v")).items()})
+    return rows, {k: F.col(f"s_{k}") for k in V.statistics(F.col("v"))}
+
+
+@query(f"""WITH {_ANALYSED}, f AS (SELECT vec_id, 1 / (1 + exp(-(r_tech / most * 3 + var * 10 + (e0 + e1) / l2 * 2 - 2))) AS tech, 1 / (1 + exp(-(r_business / most * 3 + abs(mean) * 5 + e2 / l2 * 2 - 2))) AS business, 1 / (1 + exp(-(r_daily / most * 3 + (1 - var) * 0.5 + (1 - kurt * 0.1) - 1.5))) AS daily,
+ 1 / (1 + exp(-(r_emotion / most * 3 + abs(skew) * 0.5 + e4 / l2 * 2 - 2))) AS emotion, 1 / (1 + exp(-(r_academic / most * 3 + bits * 0.1 + (1 - abs(skew) * 0.3) - 2))) AS academic, least(1, bits / log2(n) * (1 - sparsity)) AS density, least(1, greatest(e0, e1, e2, e3, e4) / energy / 3) AS clarity FROM q)
+ SELECT vec_id, round(tech, 4) AS tech, round(business, 4) AS business, round(daily, 4) AS daily, round(emotion, 4) AS emotion, round(academic, 4) AS academic, round(density, 4) AS density, round(clarity, 4) AS clarity FROM f""")
+def v8_vector_features(spark, d):
+    rows, stats = _analysed(spark, d)
+    return rows.select("vec_id", *(F.round(c, 4).alias(k) for k, c in A.vector_features(F.col("v"), stats, F.col("text"), _PROTOTYPES).items()))
+
+
+def _context_sql() -> str:
+    def one(k: int, p: A.Prototype) -> str:
+        like = f"CASE WHEN (var > 0.1) = {p.high_variance} THEN 0.33 ELSE 0 END + CASE WHEN (mean > 0) = {p.positive_bias} THEN 0.33 ELSE 0 END + CASE WHEN (kurt > 0) = {p.clustered} THEN 0.34 ELSE 0 END"
+        return f"SELECT vec_id, {k} AS place, '{p.name}' AS name, CAST(({_words_sql(p)} * CAST(0.3 AS DOUBLE) + ({like}) * CAST(0.4 AS DOUBLE)) * CAST({p.weight} AS DOUBLE) AS DOUBLE) AS score FROM q"
+
+    rows = " UNION ALL ".join(one(k, p) for k, p in enumerate(_PROTOTYPES))
+    return f"{_ANALYSED}, c AS ({rows}), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, place) AS r, sum(score) OVER (PARTITION BY vec_id) AS whole FROM c)"
+
+
+@query(f"""WITH {_context_sql()} SELECT vec_id, max(CASE WHEN r = 1 THEN name END) AS category, round(max(CASE WHEN r = 1 THEN least(0.95, 0.3 + score / whole * 0.65) END), 4) AS confidence,
+ string_agg(name, ',' ORDER BY r) FILTER (r <= 3) AS clusters, round(sum(score / whole) FILTER (r <= 3), 6) AS first_three FROM o GROUP BY vec_id""")
+def v9_semantic_context(spark, d):
+    """The best category of each query, how sure it is, and the first three."""
+    rows, stats = _analysed(spark, d)
+    scored = rows.select("vec_id", F.transform(A.context_scores(stats, F.col("text"), _PROTOTYPES), lambda x: F.struct(x["name"].alias("name"), F.round(x["score"], 9).alias("score"))).alias("scores"))
+    c = A.context(F.col("scores"))
+    whole, first = (F.aggregate(a, F.lit(0.0), lambda t, x: t + x["score"]) for a in (F.col("scores"), F.slice("scores", 1, 3)))
+    return scored.select("vec_id", c["category"].alias("category"), F.round(c["confidence"], 4).alias("confidence"), F.array_join(F.transform(c["clusters"], lambda x: x["name"]), ",").alias("clusters"), F.round(first / whole, 6).alias("first_three"))
+
+
+_QUALITY = """1 - bits / log2(n) AS specificity, sparsity * 0.5 + (1 - least(1, var * 10)) * 0.5 AS ambiguity, least(1, l2 / 10) * 0.5 + (1 - sparsity) * 0.5 AS retrievability"""
+
+
+@query(f"""WITH {_ANALYSED}, z AS (SELECT vec_id, {_QUALITY} FROM q) SELECT vec_id, round(specificity, 4) AS specificity, round(ambiguity, 4) AS ambiguity, round(retrievability, 4) AS retrievability, round(specificity * 0.3 + (1 - ambiguity) * 0.3 + retrievability * 0.4, 4) AS quality FROM z""")
+def v10_query_quality(spark, d):
+    rows, stats = _analysed(spark, d)
+    return rows.select("vec_id", *(F.round(c, 4).alias(k) for k, c in A.query_quality(F.col("v"), stats).items()))
+
+
+@query(f"""WITH {_context_sql()}, y AS (SELECT vec_id, name FROM o WHERE r = 1), z AS (SELECT vec_id, t, l2, n, {_QUALITY} FROM q),
+ w AS (SELECT *, length(regexp_replace(t, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) AS han, len(regexp_extract_all(t, '[a-z]+')) AS words, len(regexp_extract_all(t, '[0-9]+')) AS numbers, len(regexp_extract_all(t, '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9_\\s]')) AS marks FROM z)
+ SELECT vec_id, name AS category, CAST(n AS BIGINT) AS dimension, round(l2, 4) AS norm, round(specificity * 0.3 + (1 - ambiguity) * 0.3 + retrievability * 0.4, 4) AS quality, CAST(greatest(1, ceil(han * 0.7) + ceil(words * 1.5) + numbers + marks) AS BIGINT) AS tokens FROM w JOIN y USING (vec_id)""")
+def v11_query_analysis(spark, d):
+    """Vector, words and context of each query in one row."""
+    rows, stats = _analysed(spark, d)
+    t = F.lower("text")
+    tokens = F.ceil(T.length_without(t, "[^\\u4e00-\\u9fff]") * 0.7) + F.ceil(F.size(T.matches(t, "[a-z]+")) * 1.5) + F.size(T.matches(t, "[0-9]+")) + F.size(T.matches(t, "[^\\u4e00-\\u9fffA-Za-z0-9_\\s]"))
+    best = F.transform(A.context_scores(stats, F.col("text"), _PROTOTYPES), lambda x: F.struct(x["name"].alias("name"), F.round(x["score"], 9).alias("score")))
+    return rows.select("vec_id", A.context(best)["category"].alias("category"), F.size("v").cast("long").alias("dimension"), F.round(stats["l2"], 4).alias("norm"), F.round(A.query_quality(F.col("v"), stats)["quality"], 4).alias("quality"), F.greatest(F.lit(1), tokens).cast("long").alias("tokens"))
+
+
+@query(f"""WITH {_NEXT}, s AS (SELECT vec_id, list_dot_product(x, y) AS p, sqrt(list_dot_product(x, x)) AS a, sqrt(list_dot_product(y, y)) AS b, list_max(list_transform(x, lambda z: abs(z))) AS top, len(x) AS dimension FROM n)
+ SELECT vec_id, CAST(dimension AS BIGINT) AS dimension, round(a, 6) AS l2, round(top, 6) AS top, round(abs(p / (a * b + 1e-8)), 6) AS relevance, round(p / (a * b + 1e-8), 6) AS similarity, round(p / (a * b + 1e-8) * a, 6) AS contribution FROM s""")
+def x11_embedding_weights(spark, d):
+    """Static weights of each vector and, towards the vector of the next id as its query, its dynamic importance."""
+    x, y = F.col("x"), F.col("y")
+    own = V.static_weight(x)
+    cosine = V.soft_cosine(x, y)
+    return _next(spark, d).select("vec_id", F.size("x").cast("long").alias("dimension"), F.round(own["l2"], 6).alias("l2"), F.round(own["top"], 6).alias("top"), F.round(F.abs(cosine), 6).alias("relevance"), F.round(cosine, 6).alias("similarity"), F.round(cosine * V.norm(x), 6).alias("contribution"))
+
+
 # domains
 
 

