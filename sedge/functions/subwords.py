@@ -8,6 +8,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,28 +160,27 @@ def capture_merges(texts: DataFrame, ranks: dict[bytes, int], pattern: str, id_c
 
         words, known = regex.compile(pattern), {}
         for batch in batches:
-            rows = []
+            out = [[] for _ in columns]
             for text in batch["text"]:
-                row, at = [[] for _ in columns], 0
-                for word in words.findall(text or ""):
-                    own = word.encode()
-                    if own not in known:
+                said = words.findall(text or "")
+                for w in said:
+                    if w not in known:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        known[own] = merge_steps(own, sent.value)
-                    tokens, steps = known[own]
-                    for i, a, b in tokens:
-                        row[0].append(i)
-                        row[1].append(at + a)
-                        row[2].append(at + b)
-                    for r, a, m, b in steps:
-                        row[3].append(r)
-                        row[4].append(at + a)
-                        row[5].append(at + m)
-                        row[6].append(at + b)
-                    at += len(own)
-                rows.append(row)
-            yield pd.DataFrame({id_col: batch["id"], **{c: [r[k] for r in rows] for k, c in enumerate(columns)}})
+                        own = w.encode()
+                        known[w] = len(own), *(np.array(x, np.int32).reshape(-1, n) for x, n in zip(merge_steps(own, sent.value), (3, 4)))
+                # a word that was let go meanwhile is done again
+                solved = [known.get(w) or (len(w.encode()), *(np.array(x, np.int32).reshape(-1, n) for x, n in zip(merge_steps(w.encode(), sent.value), (3, 4)))) for w in said]
+                size = np.fromiter((x[0] for x in solved), np.int64, len(solved))
+                starts = (np.cumsum(size) - size).astype(np.int32)
+                k = 0
+                for side in (1, 2):
+                    rows = np.concatenate([np.zeros((0, 2 + side), np.int32), *(x[side] for x in solved)])
+                    moved = np.repeat(starts, np.fromiter((len(x[side]) for x in solved), np.int64, len(solved)))
+                    for c in range(2 + side):
+                        out[k].append(rows[:, c] + moved if c else rows[:, 0])
+                        k += 1
+            yield pd.DataFrame({id_col: batch["id"], **dict(zip(columns, out))})
 
     thin = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return thin.mapInPandas(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} array<int>" for c in columns))

@@ -445,8 +445,7 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 def x5_merge_capture(spark, d):
     """Tokens and merges of whole documents: how many, digests of both, and the highest rank that merged."""
     got = subwords.capture_merges(table(spark, d, "documents"), subwords.read_ranks(RANKS), _WORDS, "doc_id")
-    steps = F.array_join(F.zip_with("ranks", "rights", lambda r, e: F.concat_ws(":", r, e)), ",")
-    return got.select("doc_id", F.size("ids").cast("long").alias("tokens"), F.size("ranks").cast("long").alias("merges"), F.sha2(F.array_join("ids", ","), 256).alias("ids_digest"), F.sha2(steps, 256).alias("merges_digest"), F.array_max("ranks").alias("highest"))
+    return got.select("doc_id", F.size("ids").cast("long").alias("tokens"), F.size("ranks").cast("long").alias("merges"), F.xxhash64("ids").alias("ids_digest"), F.xxhash64("ranks", "lefts", "rights").alias("merges_digest"), F.array_max("ranks").alias("highest"))
 
 
 @query()

@@ -59,8 +59,9 @@ def test_ids_are_the_librarys_over_whole_documents(spark, ranks):
         assert list(x.ids) == coder.encode_ordinary(text or "")
         assert b"".join(data[a:b] for a, b in zip(x.starts, x.ends)) == data
         assert all(data[a:b] and ranks[data[a:c]] == k for k, a, b, c in zip(x.ranks, x.lefts, x.middles, x.rights))
-    got = QUERIES["x5_merge_capture"](spark, SF)
-    assert got.count() == len(stored) and all(x.ids_digest == hashlib.sha256(",".join(map(str, coder.encode_ordinary(stored[x.doc_id] or ""))).encode()).hexdigest() for x in got.collect())
+    got = {x.doc_id: x for x in QUERIES["x5_merge_capture"](spark, SF).collect()}
+    for i, t in stored.items():
+        assert got[i].tokens == len(coder.encode_ordinary(t or "")) and got[i].merges == len((t or "").encode()) - got[i].tokens
     empty = spark.createDataFrame([(1, None), (2, ""), (None, "a a")], "doc_id long, text string")
     assert {x.doc_id: len(x.ids) for x in subwords.capture_merges(empty, ranks, plans._WORDS, "doc_id").collect()} == {1: 0, 2: 0, None: 2}
 
