@@ -32,6 +32,8 @@ _SPACE = frozenset(" \t\n\r\x0b\x0c")
 #: Weight from which a pattern is trusted. As one is added to its values, no pattern of under LEAST values is.
 BELIEF = 0.9
 LEAST = 9
+#: Digits of a token without an @ that patterns may discover.
+DIGITS = 4
 
 
 def luhn(digits: str) -> bool:
@@ -96,17 +98,17 @@ def word_after(text: str, at: int) -> str:
     return ""
 
 
-def mentions(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, str, str]]:
+def mentions(text: str, spans: list[tuple[int, int, str]], digits: int = DIGITS) -> list[tuple[int, int, str | None, str, str, str]]:
     """(start, end, kind or None, value, word before, word after) of seeds and of tokens of unknown shape.
 
-    A token of unknown shape has four digits or an @, is taken without marks at its edges and overlaps no seed.
+    A token of unknown shape has ``digits`` digits or an @, is taken without marks at its edges and overlaps no seed.
     """
     found: list[tuple[int, int, str | None]] = list(spans)
-    if _DIGIT.search(text) or "@" in text:
+    if not digits or _DIGIT.search(text) or "@" in text:
         taken, k, reach = sorted((a, b) for a, b, _ in spans), 0, 0
         for m in _TOKEN.finditer(text):
             token = m[0]
-            if "@" not in token and sum("0" <= c <= "9" for c in token) < 4:
+            if "@" not in token and sum("0" <= c <= "9" for c in token) < digits:
                 continue
             start = m.start() + len(token) - len(token.lstrip(_EDGE))
             end = m.end() - len(token) + len(token.rstrip(_EDGE))
@@ -128,14 +130,14 @@ _SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
 _DDL = f"doc_id long, row long, base {_SPANS}, mentions array<struct<start:bigint,end:bigint,kind:string,value:string,left:string,right:string>>"
 
 
-def _scanned(batches):
+def _scanned(batches, digits: int):
     for batch in batches:
         base, around = [], []
         for t in batch["text"]:
             text = t.as_py() or ""
             spans = base_spans(text)
             base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
-            around.append([{"start": a, "end": b, "kind": k, "value": v, "left": p, "right": q} for a, b, k, v, p, q in mentions(text, spans)])
+            around.append([{"start": a, "end": b, "kind": k, "value": v, "left": p, "right": q} for a, b, k, v, p, q in mentions(text, spans, digits)])
         yield pa.record_batch([batch["doc_id"], batch["row"], pa.array(base, _SCHEMA.field(2).type), pa.array(around, _SCHEMA.field(3).type)], schema=_SCHEMA)
 
 
@@ -174,16 +176,18 @@ def believed(found: DataFrame) -> DataFrame:
         known = fresh if known is None else checkpointed(known.unionByName(fresh))
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digits: int = DIGITS) -> DataFrame:
     """doc_id, base and spans: arrays of (start, end, kind) by start, then kind as in KINDS.
 
+    Patterns may discover tokens that have an @ or at least ``digits`` digits; 0: any token, as many candidates as words.
+
     base has the known shapes, spans those and the discovered ones. Offsets are code points, the end
     exclusive. One row for each row of docs, repeated ones and null ids too. A value counts once for a pattern, however often and
     in however many rows it stands there. Null and empty texts have empty arrays; texts and words of any length are taken whole; an
     empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    scanned = checkpointed(thin.mapInArrow(_scanned, _DDL))
+    scanned = checkpointed(thin.mapInArrow(lambda it: _scanned(it, digits), _DDL))
     found = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     new = found.where("kind IS NULL").drop("kind").join(believed(found), "value")
     extra = new.groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("extra"))

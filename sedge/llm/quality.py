@@ -128,7 +128,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     documents are (those of the smallest id hashes, so the choice does not
     hang on files or order). Null and empty texts get the share of label 1. Labels other than 0
     and 1, nulls, and labels of ids that docs lacks are left out; an id with two labels counts with each, and a labelled
-    id with several texts with one of them. Of equal cosines at the last neighbour those fitted first (by id) vote. Texts of any length
+    id with several texts with that of the smallest hash. Of equal cosines at the last neighbour those fitted first (by id) vote. Texts of any length
     are scored whole. Repeated rows and null ids are scored each. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -144,7 +144,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.record_batch([batch["label"], pa.array([i for i, _ in packed], pa.list_(pa.int32())), pa.array([v for _, v in packed], pa.list_(pa.float32()))], names=["label", "at", "n"])
 
     # the sample is bounded by SAMPLE rows, so it is broadcast and its counts are collected
-    sample = thin.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "label"]).orderBy("doc_id", "label").select("label", "text")
+    sample = thin.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id", "label").select("label", "text")
     rows = sample.mapInArrow(counted, "label int, at array<int>, n array<float>").collect()
     counts = np.zeros((len(rows), TERMS), np.float32)
     for x, r in zip(counts, rows, strict=True):

@@ -224,3 +224,13 @@ def test_bootstrapping_against_plain_rounds(spark):
     got = {x.doc_id: [tuple(s) for s in x.spans if s not in x.base] for x in personal.find_personal(df).collect()}
     want = dict(enumerate(plain_bootstrap([t or "" for t in texts])))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and any(want.values())
+
+
+def test_any_token_can_be_discovered(spark):
+    """With no digits asked for, a pattern of many known values finds words; with the default it finds numbers alone."""
+    rows = [(i, f"reach me at u{i}@ex.org today", "x") for i in range(80)] + [(100, "reach me at homebase today", "x"), (101, "reach me at 77-88123 today", "x"), (102, "come to homebase2 then", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    for digits, want in ((4, {101}), (0, {100, 101}), (9, set())):
+        got = {r.doc_id: [tuple(x) for x in r.spans] for r in personal.find_personal(df, digits=digits).collect()}
+        assert {d for d in (100, 101, 102) if got[d]} == want
+        assert all(got[i] == [(12, 12 + len(f"u{i}@ex.org"), "email")] for i in range(80))

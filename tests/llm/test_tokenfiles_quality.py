@@ -60,6 +60,17 @@ def test_quality_edges(spark):
     assert score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_a_labelled_id_with_several_texts_is_fitted_with_one_of_them(spark):
+    """The same one in any order and number of files."""
+    rows = [(i % 40, f"{'good' if i % 2 else '###'} word{i} and more {i * 7}") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = set()
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows[::-1] if parts == 3 else rows, "doc_id long, text string").repartition(parts)
+        seen.add(tuple(sorted(round(r.score, 6) for r in score_quality(docs, labels).collect())))
+    assert len(seen) == 1
+
+
 def test_votes_against_plain_voting(spark):
     """Scores are those of a plain sum over every neighbour at or above the 25th cosine, ties by label order."""
     docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
