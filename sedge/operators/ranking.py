@@ -137,6 +137,34 @@ def similarity_summary(corpus: DataFrame, queries: DataFrame, id_col: str = "vec
     return parts.groupBy("query_id").agg(F.sum("n").alias("compared"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("high").alias("high"))
 
 
+def nearest_center(rows: DataFrame, centers: DataFrame, id_col: str, vector_col: str, center_id: str, center_col: str, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """The id and kept columns of each row, center (the id of the center of the highest cosine, of equal ones the smallest) and s.
+
+    Any number of centers: they go out in tiles, and of a row's best ones in all tiles the best counts. A row's products are summed in its task. Rows without a vector are left out.
+    """
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+
+    def search(tile):
+        def run(batches):
+            names, q = tile.value
+            order = np.argsort(names, kind="stable")
+            for part, s in _products(batches, names[order], q[order], id_col, vector_col):
+                best = s.argmax(axis=0)
+                yield pd.DataFrame({**{c: part[c] for c in (id_col, *keep)}, "center": names[order][best], "s": s[best, np.arange(len(part))]})
+
+        return run
+
+    tiles = list(_tiles(centers, center_id, center_col))
+    own = rows.select(id_col, *keep, vector_col).where(F.col(vector_col).isNotNull())
+    parts = [own.mapInPandas(search(tile), f"{kinds}, center long, s double") for tile in tiles]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], f"{kinds}, center long, s double")
+    if len(parts) == 1:
+        return parts[0]
+    best = F.max(F.struct("s", (-F.col("center")).alias("c"))).alias("b")
+    return reduce(DataFrame.unionByName, parts).groupBy(id_col, *keep).agg(best).select(id_col, *keep, (-F.col("b.c")).alias("center"), F.col("b.s").alias("s"))
+
+
 def similar_rows(corpus: DataFrame, queries: DataFrame, over: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, score of every row whose cosine with a query of the stated set is over the threshold; nothing is shuffled."""
 

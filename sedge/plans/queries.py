@@ -12,6 +12,7 @@ from sedge.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from sedge.sources import files, pages
 from sedge.streaming import keyed
 from sedge.streaming import totals as streams
+from sedge.streaming.shared import kept
 
 # predicates and projections
 
@@ -117,16 +118,11 @@ def g22_centroids(spark, d):
 
 
 def _nearest(spark, d) -> DataFrame:
-    """vec_id, label and similarity of the nearest of the centroids (one for each label: few, and their count is checked)."""
-    e = table(spark, d, "embeddings")
-    c = _centroids(e).withColumnRenamed("label", "domain")
-    n = c.count()
-    if n > 1000:
-        raise ValueError("more domains than one broadcast should hold")
-    all_of = F.broadcast(c.agg(F.collect_list(F.struct("domain", "centroid")).alias("all")).withColumn("one", F.lit(1)))
-    scored = e.withColumn("one", F.lit(1)).join(all_of, "one").withColumn("v", V.unit(V.doubles("embedding")))
-    best = F.array_max(F.transform("all", lambda s: F.struct(V.dot(F.col("v"), s["centroid"]).alias("s"), (-s["domain"]).alias("d"))))
-    return scored.withColumn("best", best).select("vec_id", "label", (-F.col("best.d")).alias("domain"), F.col("best.s").alias("s"))
+    """vec_id, label and similarity of the nearest of the centroids, one for each label."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", V.doubles("embedding").alias("embedding"))
+    centers = _centroids(e).select(F.col("label").cast("long").alias("label"), "centroid")
+    near = ranking.nearest_center(e, centers, "vec_id", "embedding", "label", "centroid", ["label"])
+    return near.select("vec_id", "label", F.col("center").cast("int").alias("domain"), "s")
 
 
 _NEAREST = f"""{_CENTROIDS}, s AS (SELECT vec_id, embeddings.label AS own, l.label AS domain, list_cosine_similarity(CAST(embedding AS DOUBLE[]), c) AS s FROM embeddings, l),
@@ -146,7 +142,9 @@ def g19_similarity_histogram(spark, d):
 @query(f"""WITH {_NEAREST}, o AS (SELECT domain, s, row_number() OVER (PARTITION BY domain ORDER BY s) AS k, count(*) OVER (PARTITION BY domain) AS n FROM b WHERE r = 1)
  SELECT domain, round(avg(s), 6) AS mean, round(max(s), 6) AS high, round(min(s), 6) AS low, round(max(CASE WHEN k = CAST(ceil(0.95 * n) AS BIGINT) THEN s END), 6) AS p95 FROM o GROUP BY domain""")
 def g20_similarity_statistics(spark, d):
-    return _nearest(spark, d).groupBy("domain").agg(*(F.round(c, 6).alias(k) for k, c in (("mean", F.avg("s")), ("high", F.max("s")), ("low", F.min("s")), ("p95", F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY s)")))))
+    near = kept(_nearest(spark, d))
+    means = near.groupBy("domain").agg(*(F.round(c, 6).alias(k) for k, c in (("mean", F.avg("s")), ("high", F.max("s")), ("low", F.min("s")))))
+    return means.join(aggregates.order_statistics(near, ["domain"], "s", {"p95": 0.95}), "domain").withColumn("p95", F.round("p95", 6))
 
 
 # retrieval
@@ -429,7 +427,7 @@ def g10_snapshot_summary(spark, d):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def g12_nearest_rank(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(aggregates.nearest_rank("value", 0.5).alias("p50"), aggregates.nearest_rank("value", 0.95).alias("p95"))
+    return aggregates.order_statistics(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""WITH s AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1), b AS (SELECT * FROM s WHERE event_type = 'click')

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sedge.functions import analysis as A
 from sedge.functions import text as T
 from sedge.functions import vectors as V
-from sedge.operators import ranking, vector_index
+from sedge.operators import aggregates, ranking, vector_index
 from sedge.plans.registry import query, table
+from sedge.streaming.shared import kept
 
 #: Each vector beside the one with the next id, by an equi-join on the id.
 _NEXT = """n AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
@@ -222,9 +223,10 @@ def w19_domain_lift(spark, d):
  SELECT domain, round(avg(s), 6) AS mean, round(max(s), 6) AS high, round(min(s), 6) AS low, round(max(CASE WHEN k = n // 2 THEN s END), 6) AS median FROM o GROUP BY domain""")
 def g20_upper_median(spark, d):
     """The median of an even number is the upper of the middle two: the value of ascending place n div 2."""
-    best = _to_domains(spark, d).groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("domain")).alias("n"))).alias("b")).select((-F.col("b.n")).alias("domain"), "b.s")
-    up = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY s DESC)")
-    return best.groupBy("domain").agg(*(F.round(c, 6).alias(k) for k, c in (("mean", F.avg("s")), ("high", F.max("s")), ("low", F.min("s")), ("median", up))))
+    near = _to_domains(spark, d).groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("domain")).alias("n"))).alias("b")).select((-F.col("b.n")).alias("domain"), "b.s")
+    best = kept(near)
+    means = best.groupBy("domain").agg(*(F.round(c, 6).alias(k) for k, c in (("mean", F.avg("s")), ("high", F.max("s")), ("low", F.min("s")))))
+    return means.join(aggregates.order_statistics(best, ["domain"], "s", {"median": 0.5}, descending=True), "domain").withColumn("median", F.round("median", 6))
 
 
 @query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)

@@ -216,8 +216,38 @@ def test_gate_takes_null_as_broken(spark):
     assert [r.code for r in evaluation.gate(s, [("A", "a", "=", 1.0), ("B", "b", ">=", 0.5), ("C", "a", ">=", 2.0)]).collect()] == ["B", "C"]
 
 
-def test_nearest_rank_of_nothing(spark):
-    assert spark.createDataFrame([], "v double").agg(aggregates.nearest_rank("v", 0.5).alias("x")).first().x is None
+def test_order_statistics_against_sorted_lists(spark):
+    import math
+    import random
+    from fractions import Fraction
+
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None, "c"]), r.choice([None, 1, 7, 7, 7, r.randrange(1000)]), "x") for _ in range(3000)] + [("only", 5, "x"), ("none", None, "x")]
+    df = spark.createDataFrame(rows, "g string, v int, _n string").repartition(5)
+    shares = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p1": 1.0}
+    groups = {}
+    for g, v, _ in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    for down in (False, True):
+        got = {x.g: tuple(x[n] for n in shares) for x in aggregates.order_statistics(df, ["g"], "v", shares, down).collect()}
+        assert got == {g: tuple(sorted(v, reverse=down)[max(1, math.ceil(Fraction(str(p)) * len(v))) - 1] for p in shares.values()) for g, v in groups.items()}
+    every = sorted(v for own in groups.values() for v in own)
+    assert aggregates.order_statistics(df, [], "v", {"m": 0.5}).first().m == every[math.ceil(len(every) / 2) - 1]
+    assert aggregates.order_statistics(df.where("v IS NULL"), ["g"], "v", shares).count() == 0 == aggregates.order_statistics(df.limit(0), [], "v", shares).where("p0 IS NOT NULL").count()
+
+
+def test_nearest_centers_in_any_tiles(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x, c = r.normal(size=(200, 5)), r.normal(size=(40, 5))
+    c[7] = c[3]
+    rows = spark.createDataFrame([(i, [float(y) for y in v], "k") for i, v in enumerate(x)] + [(900, None, "k")], "id long, v array<double>, label string").repartition(3)
+    centers = spark.createDataFrame([(int(i), [float(y) for y in v]) for i, v in enumerate(c)], "cid long, w array<double>")
+    u, w = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, c))
+    want = {i: int(n) for i, n in enumerate(np.round(u @ w.T, 12).argmax(axis=1))}
+    for tile in (16 << 20, 400):
+        monkeypatch.setattr(ranking, "TILE_BYTES", tile)
+        assert {n.id: n.center for n in ranking.nearest_center(rows, centers, "id", "v", "cid", "w", ["label"]).collect()} == want
 
 
 def test_recursive_chunks():
