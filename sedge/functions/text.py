@@ -176,6 +176,29 @@ def packed_paragraphs(text: Column, size: int, overlap: int) -> Column:
     return F.aggregate(parts, start, step, lambda s: F.when(bare(s["open"]) != "", F.array_append(s["done"], bare(s["open"]))).otherwise(s["done"]))
 
 
+#: The name of an article without a heading, and signs that its title goes without.
+UNNAMED, TITLE_SIGNS = "未命名文章", "🎯🚀📊🧠💬🔍🤖🕸️🛤️📚⚙️🗄️🔗🔄🦙🧩🪞🌲✨🔮"
+
+
+def article_title(text: Column) -> Column:
+    """The first heading of level 1 without signs, else UNNAMED."""
+    heading = F.regexp_extract(text, "(?m)^#\\s+(.+)$", 1)
+    bare = F.regexp_replace(F.regexp_replace(heading, f"[{TITLE_SIGNS}]", ""), "^\\s+|\\s+$", "")
+    return F.when(text.rlike("(?m)^#\\s+(.+)$"), bare).otherwise(F.lit(UNNAMED))
+
+
+def article_description(text: Column) -> Column:
+    """Up to 200 characters of the first line of prose: no heading, fence, table or list; empty without one."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
+    prose = F.filter(lines, lambda x: (x != "") & ~x.rlike("^(#|```|\\||-|\\*)"))
+    return F.when(F.size(prose) > 0, F.substring(F.get(prose, F.lit(0)), 1, 200)).otherwise("")
+
+
+def file_slug(name: Column) -> Column:
+    """A Markdown file's name in lower case without .md, underscores as dashes."""
+    return F.replace(F.lower(F.regexp_replace(name, "\\.md", "")), F.lit("_"), F.lit("-"))
+
+
 def token_kind(token: Column) -> Column:
     """special, english, chinese, number or punctuation, the first that all of a token is; what is mixed is special too."""
     # fixed values: the names of special tokens and the marks of punctuation

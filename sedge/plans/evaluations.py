@@ -36,16 +36,6 @@ def w15_first_relevant(spark, d):
     return ranked.join(hit, ["query_id", "id"], "left").groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("pos"))).cast("long").alias("first"))
 
 
-@query("""WITH q AS (SELECT DISTINCT source FROM documents UNION SELECT 'nowhere' || doc_id FROM labels WHERE quality + toxic > 0 AND doc_id % 50 = 0)
- SELECT source AS query_id, CASE WHEN source LIKE 'nowhere%' THEN CAST(0 AS DOUBLE) END AS recall FROM q WHERE source LIKE 'nowhere%'""")
-def e1_queries_without_hits(spark, d):
-    """A query with gold and nothing ranked scores 0 and is there."""
-    ranked, _ = _ranked(spark, d)
-    gold = table(spark, d, "labels").where("quality + toxic > 0 AND doc_id % 50 = 0").select(F.concat(F.lit("nowhere"), "doc_id").alias("query_id"), F.col("doc_id").alias("id"), F.lit(1).alias("relevance"))
-    m = evaluation.retrieval_metrics(ranked.withColumnRenamed("pos", "rank"), gold, 5)
-    return m.where("query_id LIKE 'nowhere%'").select("query_id", "recall")
-
-
 # answers
 
 _FACTS = "[['hello', 'thank'], ['the'], ['data', 'code', 'function']]"

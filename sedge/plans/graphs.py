@@ -230,12 +230,11 @@ def j4_undirected_adjacency(spark, d):
     return both.groupBy("node").agg(F.count("*").alias("degree"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query("""WITH c AS (SELECT l_partkey AS node, list_distinct(list(l_orderkey)) AS chunks FROM lineitem GROUP BY 1), x AS (SELECT node, unnest(chunks) AS passage FROM c) SELECT node, count(*) AS passages, round(sum(o_totalprice), 1) AS total FROM x JOIN orders ON o_orderkey = passage GROUP BY node""")
+@query("""WITH c AS (SELECT l_partkey AS node, list_distinct(list(l_orderkey)) AS chunks FROM lineitem GROUP BY 1), x AS (SELECT node, unnest(chunks) AS passage FROM c) SELECT node, count(*) AS passages, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM x JOIN orders ON o_orderkey = passage GROUP BY node""")
 def j5_node_chunk_passage(spark, d):
-    """Each node holds an array of passages, which is exploded and looked up."""
-    nodes = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.collect_set("l_orderkey").alias("chunks"))
-    x = nodes.select("node", F.explode("chunks").alias("o_orderkey")).join(table(spark, d, "orders"), "o_orderkey")
-    return x.groupBy("node").agg(F.count("*").alias("passages"), F.round(F.sum("o_totalprice"), 1).alias("total"))
+    """Each node's distinct passages are looked up; no array holds all of a node's."""
+    x = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("o_orderkey")).distinct().join(table(spark, d, "orders"), "o_orderkey")
+    return x.groupBy("node").agg(F.count("*").alias("passages"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id AND (a.label = b.label OR a.label = 0 OR b.label = 0) WHERE a.vec_id % 50 = 0 AND list_cosine_similarity(a.v, b.v) > 0.3""")

@@ -80,6 +80,20 @@ def f19_slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", T.slug(F.concat("p_name", F.lit(".md"))).alias("slug"))
 
 
+_ARTICLE = "CASE doc_id % 3 WHEN 0 THEN chr(10) || '- list' || chr(10) || '#  🚀 ' || source || ' ✨' || chr(10) || '| a |' || chr(10) || text WHEN 1 THEN '## no title' || chr(10) || '  ' || text ELSE '* ' || source || chr(10) || '```' END"
+
+
+@query(f"""WITH a AS (SELECT doc_id, source, {_ARTICLE} AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL), l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|```|\\||-|\\*)')) AS prose FROM a)
+ SELECT doc_id, replace(lower(replace('Doc_' || source || '_' || doc_id || '.md', '.md', '')), '_', '-') AS slug, CASE WHEN doc_id % 3 = 0 THEN source WHEN regexp_matches(t, '(?m)^#\\s+(.+)$') THEN trim(regexp_extract(t, '(?m)^#\\s+(.+)$', 1), ' ') ELSE '未命名文章' END AS title, coalesce(left(prose[1], 200), '') AS description FROM a JOIN l USING (doc_id)""")
+def f19_articles(spark, d):
+    """Slug, title and description of documents written as articles."""
+    k, s, t = F.col("doc_id") % 3, F.col("source"), F.col("text")
+    article = F.when(k == 0, F.concat(F.lit("\n- list\n#  🚀 "), s, F.lit(" ✨\n| a |\n"), t)).when(k == 1, F.concat(F.lit("## no title\n  "), t)).otherwise(F.concat(F.lit("* "), s, F.lit("\n```")))
+    rows = table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", article.alias("t"))
+    name = F.concat(F.lit("Doc_"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return rows.select("doc_id", T.file_slug(name).alias("slug"), T.article_title(F.col("t")).alias("title"), T.article_description(F.col("t")).alias("description"))
+
+
 _PAIRED = """p AS (SELECT p_partkey AS k, p_name AS a, p_brand || ' ' || p_type AS b FROM part)"""
 
 

@@ -237,6 +237,13 @@ def test_order_statistics_against_sorted_lists(spark):
     assert aggregates.order_statistics(df.where("v IS NULL"), ["g"], "v", shares).count() == 0 == aggregates.order_statistics(df.limit(0), [], "v", shares).where("p0 IS NOT NULL").count()
 
 
+def test_queries_without_hits_score_nothing(spark):
+    ranked = spark.createDataFrame([("a", 1, 1), ("b", 5, 1)], "query_id string, id long, rank int")
+    gold = spark.createDataFrame([("a", 1, 1), ("nowhere", 7, 1)], "query_id string, id long, relevance int")
+    got = {r.query_id: (r.recall, r.mrr) for r in evaluation.retrieval_metrics(ranked, gold, 5).collect()}
+    assert got["a"] == (1.0, 1.0) and got["nowhere"] == (0.0, 0.0) and got["b"] == (None, None)
+
+
 def test_nearest_centers_in_any_tiles(spark, monkeypatch):
     r = np.random.default_rng(6)
     x, c = r.normal(size=(200, 5)), r.normal(size=(40, 5))
