@@ -88,3 +88,8 @@ def constraint(columns: list[str], asked: list[tuple]) -> Column:
         return {"eq": lambda: c == value, "contains": lambda: c.startswith(value), "in": lambda: c.isin(value), "not": lambda: c != value}[operator]()
 
     return reduce(lambda a, b: a & b, (of(*x) for x in asked if x[0] in columns), F.lit(True))
+
+
+def manifest_rows(arrays: DataFrame, json_col: str, schema: str) -> DataFrame:
+    """The rows of JSON arrays, as ``schema``. An array that does not fit it fails; a null one has no rows."""
+    return arrays.select(F.explode(F.from_json(json_col, f"array<struct<{', '.join(':'.join(c.split()) for c in schema.split(', '))}>>", {"mode": "FAILFAST"})).alias("r")).select("r.*")

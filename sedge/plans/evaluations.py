@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sedge.functions import text as T
 from sedge.operators import evaluation
 from sedge.plans.registry import query, table
+from sedge.sources import datasets
+from sedge.streaming.shared import kept
 
 # ranked evidence of each source: its longest documents; gold: its labelled ones
 
@@ -169,3 +171,19 @@ def s26_dataset_checks(spark, d):
         part = rows.select(F.lit(name).alias("problem"), "evidence")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("""WITH c AS (SELECT doc_id AS n, 'case-' || (CASE WHEN doc_id % 29 = 0 THEN 0 ELSE doc_id END) AS id, quality FROM labels), f AS (SELECT * FROM c WHERE n % 11 <> 0 AND n % 13 <> 0 AND n % 17 <> 0),
+ r AS (SELECT n, id, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM f)
+ SELECT '$.cases[' || n || '].expectedAbstain' AS path, 'must be a boolean' AS error FROM c WHERE n % 17 = 0 UNION ALL SELECT '$.cases[' || n || '].tags[1]', 'must be a non-empty string' FROM c WHERE n % 17 <> 0 AND n % 13 = 0
+ UNION ALL SELECT '$.cases[' || n || '].query', 'must be a non-empty string' FROM c WHERE n % 17 <> 0 AND n % 13 <> 0 AND n % 11 = 0 UNION ALL SELECT '$.cases[' || n || '].id', 'duplicate value ' || id FROM r WHERE k > 1
+ UNION ALL SELECT '$.cases[' || n || '].goldEvidence[0].evidenceId', 'references unknown corpus evidence ' || (n * 7) FROM f WHERE n * 7 NOT IN (SELECT doc_id FROM documents)""")
+def s26_dataset_errors(spark, d):
+    """Cases written as JSON from the labels, some with faults, read strictly against the documents as corpus."""
+    n = F.col("doc_id")
+    gold = F.array(F.struct((n * 7).cast("string").alias("evidenceId"), F.lit(1).alias("relevance")))
+    body = F.to_json(F.struct(F.concat(F.lit("case-"), F.when(n % 29 == 0, 0).otherwise(n).cast("string")).alias("id"), F.when(n % 11 == 0, " ").otherwise("what").alias("query"), F.when(n % 13 == 0, F.array(F.lit("a"), F.lit(""))).otherwise(F.array(F.lit("a"))).alias("tags"), gold.alias("goldEvidence")))
+    flag = F.when(n % 17 == 0, '"no"').otherwise("false")
+    cases = table(spark, d, "labels").select("doc_id", F.concat(F.regexp_replace(body, "\\}$", ""), F.lit(', "expectedAbstain": '), flag, F.lit("}")).alias("case"))
+    corpus = table(spark, d, "documents").select(n.cast("string").alias("evidence"))
+    return datasets.dataset_errors(kept(datasets.decode_cases(cases, "doc_id", "case")), corpus)

@@ -329,6 +329,15 @@ def k9_upsert_all_orders(spark, d):
     return tables.upsert(o, o.where("o_orderkey % 4 = 0").withColumn("status", F.lit("X")), ["o_orderkey"])
 
 
+@query("SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 <> 0")
+def k11_manifest_from_json(spark, d):
+    """The whole manifest replaced by what JSON arrays (one for each nation) hold: rows that none has any more go, the others come in as they are there."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    segment = F.when(F.col("c_custkey") % 5 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("c_mktsegment")
+    arrays = c.where("c_custkey % 3 <> 0").groupBy("c_nationkey").agg(F.to_json(F.collect_list(F.struct("c_custkey", "c_nationkey", segment))).alias("json"))  # as a client sends them
+    return tables.replace_manifest(c, tables.manifest_rows(arrays, "json", "c_custkey long, c_nationkey long, c_mktsegment string"), F.lit(True), ["c_custkey"])
+
+
 @query("""SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey <> 5 OR c_custkey % 2 = 0""")
 def k11_manifest_replace(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
