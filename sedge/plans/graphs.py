@@ -36,7 +36,7 @@ def _selected(spark, d) -> DataFrame:
     return graph.expand(seeds, _edges(spark, d))
 
 
-_QUERIES = """q AS (SELECT p_partkey AS query_id, lower(p_name || ' ' || p_type) AS text FROM part WHERE p_partkey % 50 = 0),
+_QUERIES = f"""q AS (SELECT p_partkey AS query_id, lower(p_name || ' ' || p_type) AS text FROM part WHERE p_partkey % 50 = 0),
  t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(text, '[a-z0-9][a-z0-9._:-]*')) AS token FROM q), qt AS (SELECT * FROM t WHERE length(token) > 1 AND NOT list_contains({_STOPS}, token)),
  i AS (SELECT p_partkey AS node, p_name, unnest(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9][a-z0-9._:-]*')) AS token FROM part), it AS (SELECT DISTINCT node, token FROM i),
  z AS (SELECT query_id, count(*) AS of FROM qt GROUP BY 1), n1 AS (SELECT query_id, node, count(*) / any_value(of) AS score FROM qt JOIN it USING (token) JOIN z USING (query_id) GROUP BY ALL)"""
