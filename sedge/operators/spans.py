@@ -8,11 +8,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedge.functions.subwords import PIECE, in_pieces
+
 _MARK = re.compile("^##|^▁")
 DIFFERENCES = "array<struct<position:int,type:string,significance:string,models:map<string,array<string>>>>"
+_DIFFERENCES = pa.list_(pa.struct([("position", pa.int32()), ("type", pa.string()), ("significance", pa.string()), ("models", pa.map_(pa.string(), pa.list_(pa.string())))]))
 SPANS = "array<struct<token:string,start:int,end:int>>"
 
 
@@ -110,19 +114,24 @@ def tokenizer_differences(texts: DataFrame, models: dict[str, str], id_col: str,
 
     def run(batches):
         for batch in batches:
-            rows, shares = [], []
-            for k in range(len(batch)):
-                text, row = batch["text"].iloc[k] or "", batch.iloc[k]
-                read = {n: _read(row[f"s_{n}"]) for n in models}
-                cover = {n: covering(x, len(text)) for n, (_, x) in read.items()}
-                found = list(differences({n: t for n, (t, _) in read.items()}, cover, len(text)))
-                rows.append([{"position": p, "type": t, "significance": s, "models": m} for p, t, s, m in found])
-                share = {}
-                for n in models:
-                    said = [["".join(x) for x in m.values()].count("".join(m[n])) for _, _, _, m in found if n in m]
-                    share[n] = sum(c > len(models) / 2 for c in said) / len(said) if said else 1.0
-                shares.append(share)
-            yield pd.DataFrame({id_col: batch["id"], "differences": rows, "consistency": shares})
+            ids, said, columns = batch.column("id"), batch.column("text").to_pylist(), [batch.column(f"s_{n}") for n in models]
+            for first, last in in_pieces(said, PIECE):  # tokens and differences as objects are many times the texts
+                rows, shares = [], []
+                for k in range(first, last):
+                    text = said[k] or ""
+                    read = {n: _read(c[k].as_py()) for n, c in zip(models, columns)}
+                    cover = {n: covering(x, len(text)) for n, (_, x) in read.items()}
+                    found = list(differences({n: t for n, (t, _) in read.items()}, cover, len(text)))
+                    rows.append([{"position": p, "type": t, "significance": s, "models": list(m.items())} for p, t, s, m in found])
+                    counts: dict[str, list[bool]] = {n: [] for n in models}
+                    for *_, m in found:
+                        around = {n: "".join(x) for n, x in m.items()}
+                        alike = list(around.values())
+                        for n, x in around.items():
+                            counts[n].append(alike.count(x) > len(models) / 2)
+                    shares.append([(n, sum(c) / len(c) if c else 1.0) for n, c in counts.items()])
+                own = [ids.slice(first, last - first), pa.array(rows, _DIFFERENCES), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays(own, names=[id_col, "differences", "consistency"])
 
     thin = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"s_{n}") for n, c in models.items()))
-    return thin.mapInPandas(run, f"`{id_col}` {kind}, differences {DIFFERENCES}, consistency map<string,double>")
+    return thin.mapInArrow(run, f"`{id_col}` {kind}, differences {DIFFERENCES}, consistency map<string,double>")

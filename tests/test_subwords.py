@@ -203,3 +203,8 @@ def test_kinds_of_tokens(spark):
     said = {"[CLS]": "special", "[unk]x": "special", "abc": "english", "知识": "chinese", "知a": "special", "12": "number", "1a": "special", "?!-": "punctuation", "…": "special", "[x]": "special", "é": "special", "()[]": "punctuation"}
     df = spark.createDataFrame(list(said.items()), "t string, k string")
     assert df.where(T.token_kind(F.col("t")) != F.col("k")).count() == 0
+
+
+def test_results_are_handed_on_in_pieces():
+    assert list(subwords.in_pieces([], 5)) == []
+    assert list(subwords.in_pieces(["abc", None, "ab", "a", "", "abcdefgh", "a"], 5)) == [(0, 3), (3, 5), (5, 6), (6, 7)]
