@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions import text as T
 from sedge.operators import evaluation
-from sedge.plans.registry import query, table
+from sedge.plans.registry import dealt, query, table
 from sedge.sources import datasets
 from sedge.streaming.shared import kept
 
@@ -76,7 +76,11 @@ _SECURE = """s AS (SELECT l_orderkey AS case_id, CAST(count(*) FILTER (l_suppkey
 
 
 def _security(spark, d) -> DataFrame:
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Lines and orders are dealt alike, so that they are joined and grouped where they are."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_returnflag", "l_linenumber")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    n = lines.count() + orders.count()
+    rows = dealt(lines, "l_orderkey", n).join(dealt(orders, "o_orderkey", n).hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     lane = F.col("l_linenumber")
     return rows.groupBy(F.col("l_orderkey").alias("case_id")).agg(
         F.count_if(F.col("l_suppkey") % 3 != F.col("o_custkey") % 3).alias("cross_tenant"), F.count_if(F.col("l_partkey") % 2 != F.col("o_custkey") % 2).alias("cross_corpus"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sedge.functions import text as T
 from sedge.functions import vectors as V
 from sedge.operators import aggregates, evaluation, graph, ranking, sequences, tables
-from sedge.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from sedge.plans.registry import ORACLES, QUERIES, dealt, query, table  # noqa: F401
 from sedge.sources import files, pages
 from sedge.streaming import keyed
 from sedge.streaming import totals as streams
@@ -182,12 +182,11 @@ _LANES = """h AS (SELECT l_orderkey AS query_id, 'price' AS lane, l_partkey AS i
 
 
 def _lanes(spark, d):
-    li = table(spark, d, "lineitem")
-
-    def lane(rows, name, column):
-        return rows.groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id")).agg(F.max(column).alias("score")).withColumn("lane", F.lit(name))
-
-    both = lane(li, "price", "l_extendedprice").unionByName(lane(li.where("l_discount >= 0.05"), "quantity", "l_quantity"))
+    """Lines are dealt once by query and grouped once for both lanes; ranks and what fuses them stay in these parts."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"), "l_extendedprice", F.when(F.col("l_discount") >= 0.05, F.col("l_quantity")).alias("quantity"), (F.col("l_discount") >= 0.05).alias("in_quantity"))
+    best = dealt(li, "query_id").groupBy("query_id", "id").agg(F.max("l_extendedprice").alias("price"), F.max("quantity").alias("quantity"), F.max(F.coalesce("in_quantity", F.lit(False))).alias("in_quantity"))
+    lanes = F.array(F.struct(F.lit("price").alias("lane"), F.col("price").alias("score"), F.lit(True).alias("there")), F.struct(F.lit("quantity").alias("lane"), F.col("quantity").alias("score"), F.col("in_quantity").alias("there")))
+    both = best.select("query_id", "id", F.explode(lanes).alias("l")).where("l.there").select("query_id", "id", "l.score", "l.lane")
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "lane").orderBy(F.desc("score"), "id")))
 
 
