@@ -341,8 +341,8 @@ def s25_article_list(spark, d):
     k = F.col("page_id") % 3
     name = F.when(k == 0, "guide").when(k == 1, "news").otherwise("misc")
     place = F.array_position(F.array(F.lit("guide"), F.lit("news")), name)
-    rows = table(spark, d, "pages").select("page_id", title.alias("title"), T.slug(title).alias("slug"), F.greatest(F.lit(1), F.ceil(F.length("html") / 400)).cast("long").alias("minutes"), F.when(place > 0, place).otherwise(99).cast("int").alias("category"))
-    return rows.orderBy("category", "title", "page_id")
+    rows = table(spark, d, "pages").select("page_id", title.alias("title"), T.dashed(title).alias("slug"), F.greatest(F.lit(1), F.ceil(F.length("html") / 400)).cast("long").alias("minutes"), F.when(place > 0, place).otherwise(99).cast("int").alias("category"))
+    return rows.orderBy("category", F.asc_nulls_last("title"), F.asc_nulls_last("page_id"))
 
 
 @query("""WITH p AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_一-龥]+'), lambda t: t <> '')) AS token FROM documents) SELECT 'dense' AS side, count(*) AS n FROM embeddings UNION ALL SELECT 'lexical', count(*) FROM p""")
