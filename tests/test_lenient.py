@@ -80,3 +80,12 @@ def test_queries_over_all_events(spark):
         own = [longest(p[:n]) for n in range(1, len(p) + 1)]
         ks = [v["k"] for v in own if v and "k" in v]
         assert got[i] == (len(p), len(ks), sum(ks))
+
+
+def test_equal_texts_are_read_once(monkeypatch):
+    import pandas as pd
+
+    met, plain = [], lenient.found_json
+    monkeypatch.setattr(lenient, "found_json", lambda t: met.append(t) or plain(t))
+    got = lenient._lenient(pd.Series(['{"k": 1', None, '{"k": 1', "x", None], dtype=object))
+    assert sorted(map(str, met)) == ["None", "x", '{"k": 1'] and got["json"].tolist()[0] == got["json"].tolist()[2] == '{"k": 1}'
