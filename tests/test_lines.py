@@ -57,3 +57,38 @@ def test_pages_of_items(spark):
 def test_no_items(spark):
     assert lines.page_lines(spark.createDataFrame([], "page int, text string, x int, y int, width int, height int"), ["page"]).count() == 0
     assert lines.group_lines([]) == []
+
+
+def loose(items):
+    """Items with a place and size that group_lines and readable take as they are."""
+    return [(t or "", *(float(v or 0) for v in own)) for t, *own in items]
+
+
+def test_pages_at_once_as_one_by_one(spark, monkeypatch):
+    r = random.Random(2)
+    texts = ["word", "a", "b", "c", "(", ")", ",", "x.", " ", "", "\x1c", "漢字", "two words", "[q", "é", None]
+    pages = {p: [(r.choice(texts), r.randrange(100) + r.random(), r.choice([0, 1, 2, 3, 6.5, 7, 13.1, 14, 30, -4]) + r.choice([0, 0.1, 0.5]), r.choice([0, 4, 6, 9.5, None]), r.choice([0, 2, 5, 10, 12, None])) for _ in range(r.randrange(0, 40))] for p in range(60)}
+    pages[60] = [(f"w{k}", 60.0 * k, 12.0 * (k // 9) + k % 3, 40.0, 10.0) for k in range(90)]
+    pages[61], pages[62] = None, [("a", k, 0.9 * k, 1, 1) for k in range(50)]  # one line after another, each within reach of the item before
+    pages = {p: i and [(t, *(None if v is None else float(v) for v in own)) for t, *own in i] for p, i in pages.items()}
+    monkeypatch.setattr(lines, "AT_ONCE", 64)
+    df = spark.createDataFrame([(p, "z", i) for p, i in pages.items()], "page long, kind string, own array<struct<text string, x double, y double, width double, height double>>").repartition(2)
+    found = lines.lines_of_pages(df, "own")
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for x in found.orderBy("page", "line").collect():
+        assert x.kind == "z" and x.line == len(got.setdefault(x.page, []))
+        got[x.page].append((x.items, round(x.y, 6), x.text))
+    want = {}
+    for p, items in pages.items():
+        grouped = lines.group_lines(loose(items or []))
+        want[p] = [(len(g), round(sum(i[2] for i in g) / len(g), 6), lines.readable(g)) for g in grouped]
+    joined = spark.createDataFrame([(p, k, t) for p, own in want.items() for k, (_, _, t) in enumerate(own)], "page long, k int, text string")
+    texts = {(x.page, x.k): x.text for x in joined.select("page", "k", lines.T.letters_joined(joined["text"]).alias("text")).collect()}
+    assert got == {p: [(n, y, texts[p, k]) for k, (n, y, _) in enumerate(own)] for p, own in want.items() if own}
+
+
+def test_documents_are_pages_without_a_shuffle(spark):
+    from sedge.plans.texts import f13_page_lines
+
+    assert "Exchange" not in f13_page_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
