@@ -72,3 +72,14 @@ def test_query_gives_all_documents_back(spark, sf):
 def test_text_is_cleaned_for_markup():
     assert containers.word_text(containers.write_word(["a\x00b\x0bc <&> \t d\ne"])) == "abc <&> \t d\ne"
     assert containers.slide_texts(containers.write_slides([[], ["x", "", "y"]])) == ["第 1 页", "x\ny"]
+
+
+def test_results_are_handed_on_before_the_batch_ends(monkeypatch):
+    """Large rows leave a task in pieces while the rest is still to be read, and nothing of them is lost."""
+    monkeypatch.setattr(containers, "HELD", 1000)
+    rows, read = [(f"{k}.txt", b"x" * 400) for k in range(20)] + [("a.txt", None), ("b.txt", b"y" * 5000)], []
+    got = containers._handed_on((read.append(r) or r for r in rows), containers._FILES)
+    first = next(got)
+    assert first.num_rows == len(read) == 3
+    rest = list(got)
+    assert max(b.num_rows for b in rest) == 4 and [tuple(r.values()) for b in [first, *rest] for r in b.to_pylist()] == rows
