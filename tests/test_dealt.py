@@ -1,7 +1,9 @@
 """Tables dealt by a key: parts of a bounded number of rows, and nothing moved after that; slugs of titles."""
 
-from sedge.operators import ranking
-from sedge.plans import evaluations, queries, registry, stores
+import random
+
+from sedge.operators import graph, ranking
+from sedge.plans import evaluations, graphs, queries, registry, stores
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +31,29 @@ def test_titles_are_no_file_names(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = stores.s25_article_list(spark, str(tmp_path)).select("page_id", "slug").collect()
     assert [tuple(x) for x in got] == [(3, "about-v1-5"), (6, "notes-md"), (0, None)]
+
+
+def test_passages_against_a_plain_loop(spark):
+    r = random.Random(3)
+    pick = lambda own: r.choice([*own, None] if r.random() < 0.1 else own)
+    refs = [(pick(range(12)), pick(range(0, 16, 2)), pick(range(1, 16, 2)), pick([0.1, 0.5, 0.9, 1.7, -1.0])) for _ in range(300)]
+    nodes = {k: (r.random(), r.choice([0, 1, 2])) for k in range(16) if r.random() < 0.7}
+    weight = {}
+    for _, a, b, w in refs:
+        weight[a, b] = max(weight.get((a, b), -9), -9 if w is None else w)
+    weight = {k: 1.0 if w == -9 else min(1.0, max(0.0, w)) for k, w in weight.items()}
+    want = {}
+    for p, n in {(p, n) for p, a, b, _ in refs for n in (a, b) if n in nodes}:
+        want.setdefault(p, []).append((nodes[n][0] * (2 if nodes[n][1] == 0 else 1), nodes[n][1]))
+    for p, a, b in {(p, a, b) for p, a, b, _ in refs if a in nodes and b in nodes}:
+        want[p].append(((nodes[a][0] + nodes[b][0]) / 2 * weight[a, b], min(nodes[a][1], nodes[b][1])))
+    selected = spark.createDataFrame([(k, *v) for k, v in nodes.items()], "node long, score double, hop int")
+    df = spark.createDataFrame(refs, "passage long, a long, b long, weight double").repartition(3)
+    got = {x.passage: (round(x.score, 9), x.hop) for x in graph.passage_scores(selected, df).collect()}
+    assert got == {p: (round(sum(s for s, _ in own), 9), min(h for _, h in own)) for p, own in want.items()}
+
+
+def test_passages_move_each_line_three_times(spark):
+    """By part, by supplier and by passage."""
+    selected = spark.range(10).selectExpr("id AS node", "0.5D AS score", "1 AS hop")
+    assert shuffles(graph.passage_scores(selected, graphs._numbered(spark, SF))) == 3
