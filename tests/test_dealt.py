@@ -57,3 +57,8 @@ def test_passages_move_each_line_three_times(spark):
     """By part, by supplier and by passage."""
     selected = spark.range(10).selectExpr("id AS node", "0.5D AS score", "1 AS hop")
     assert shuffles(graph.passage_scores(selected, graphs._numbered(spark, SF))) == 3
+
+
+def test_fusions_of_lanes_move_lines_once(spark):
+    for q in ("o4_fusion_sort", "g37_reciprocal_rank_sum", "r4_reciprocal_rank_fusion", "u5_first_occurrence"):
+        assert shuffles(queries.QUERIES[q](spark, SF)) == 1, q
