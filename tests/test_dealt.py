@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from sedge.operators import graph, ranking
 from sedge.plans import evaluations, graphs, queries, registry, stores
 
@@ -62,3 +63,13 @@ def test_passages_move_each_line_three_times(spark):
 def test_fusions_of_lanes_move_lines_once(spark):
     for q in ("o4_fusion_sort", "g37_reciprocal_rank_sum", "r4_reciprocal_rank_fusion", "u5_first_occurrence"):
         assert shuffles(queries.QUERIES[q](spark, SF)) == 1, q
+
+
+@pytest.mark.parametrize("name", ["o4_fusion_sort"])
+def test_fused_parts_follow_lines(spark, monkeypatch, name):
+    """More lines make more parts, not larger ones, and the same rows."""
+    whole = queries.QUERIES[name](spark, SF)
+    monkeypatch.setattr(registry, "PART_ROWS", 100)
+    parts = queries.QUERIES[name](spark, SF)
+    assert parts.rdd.getNumPartitions() == -(-registry.table(spark, SF, "lineitem").count() // 100) > whole.rdd.getNumPartitions()
+    assert sorted(parts.collect()) == sorted(whole.collect())
