@@ -65,7 +65,7 @@ def test_fusions_of_lanes_move_lines_once(spark):
         assert shuffles(queries.QUERIES[q](spark, SF)) == 1, q
 
 
-@pytest.mark.parametrize("name", ["o4_fusion_sort", "g37_reciprocal_rank_sum", "r4_reciprocal_rank_fusion"])
+@pytest.mark.parametrize("name", ["o4_fusion_sort", "g37_reciprocal_rank_sum", "r4_reciprocal_rank_fusion", "u5_first_occurrence"])
 def test_fused_parts_follow_lines(spark, monkeypatch, name):
     """More lines make more parts, not larger ones, and the same rows."""
     whole = queries.QUERIES[name](spark, SF)
