@@ -21,17 +21,21 @@ REMEMBERED, REMEMBERED_STEPS = 100_000, 2_000_000
 PIECE = 1 << 20
 
 
-def in_pieces(texts: Sequence[str | None], at_most: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of texts that have at most so many characters, or are one text."""
+def runs_of(sizes: Sequence[int], at_most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts that have at most so many characters, or are one text; sizes: characters of each."""
     start = size = 0
-    for k, t in enumerate(texts):
-        own = len(t or "")
+    for k, own in enumerate(sizes):
         if k > start and size + own > at_most:
             yield start, k
             start, size = k, 0
         size += own
-    if size or start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def in_pieces(texts: Sequence[str | None], at_most: int) -> Iterator[tuple[int, int]]:
+    """runs_of() the texts' sizes."""
+    yield from runs_of([len(t or "") for t in texts], at_most)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -208,3 +208,36 @@ def test_kinds_of_tokens(spark):
 def test_results_are_handed_on_in_pieces():
     assert list(subwords.in_pieces([], 5)) == []
     assert list(subwords.in_pieces(["abc", None, "ab", "a", "", "abcdefgh", "a"], 5)) == [(0, 3), (3, 5), (5, 6), (6, 7)]
+
+
+def test_counts_of_differences_are_those_of_the_differences(spark):
+    r = random.Random(6)
+    rows = [(0, "", [], None), (1, None, [], []), (2, "ab", [], [("ab", 0, 2)])]
+    for i in range(3, 60):
+        text = "".join(r.choice("ab é漢") for _ in range(r.randrange(0, 30)))
+        cuts = sorted(r.randrange(len(text) + 1) for _ in range(r.randrange(0, 12)))
+        words = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        rows.append((i, text, words[: r.choice([99, 99, 3])], [(text[k : k + 3], k, k + 3) for k in range(r.randrange(2), len(text), 3)]))
+    df = spark.createDataFrame(rows, "id int, text string, a array<string>, b array<struct<token:string,start:int,end:int>>").repartition(3)
+    whole = {x.id: x for x in spans.tokenizer_differences(df, {"a": "a", "b": "b"}, "id").collect()}
+    for x in spans.difference_counts(df, {"a": "a", "b": "b"}, "id").collect():
+        want, own = whole[x.id].differences, dict((i, (t or "", a, b)) for i, t, a, b in rows)[x.id]
+        tokens = {"a": list(own[1]), "b": [t[0] for t in own[2] or []]}
+        cover = {"a": plain_cover(spans._read(own[1])[1], len(own[0])), "b": plain_cover([t[1:] for t in own[2] or []], len(own[0]))}
+        assert [(d.position, d.type, d.significance, d.models) for d in want] == plain_differences(tokens, cover, len(own[0]))
+        kinds = [sum(d.type == k for d in want) for k in spans.TYPES]
+        assert [x.differences, x.merge, x.split, x.unknown] == [len(want), *kinds] and x.high == sum(d.significance == "high" for d in want)
+        assert x.last == (want[-1].position if want else None) and x.consistency == whole[x.id].consistency
+
+
+def test_differences_of_many_characters_are_found_as_arrays():
+    import time
+
+    import pyarrow as pa
+
+    text = "".join(random.Random(7).choice(["word", "or", " ", "  ", ", ", "x1"]) for _ in range(500_000))
+    cut = [re.findall(p, text) for p in (r" ?[^ ]+| +", r"[a-z0-9]+|[^a-z0-9]", r".{1,3}")]
+    columns = [pa.array([c]) for c in cut]
+    at = time.process_time()
+    counts = spans._Piece(spans.np.array([len(text)]), columns).consistency()
+    assert time.process_time() - at < 4 and len(counts) == 3  # plain loops over characters take 8 s or more
