@@ -241,3 +241,33 @@ def test_differences_of_many_characters_are_found_as_arrays():
     at = time.process_time()
     counts = spans._Piece(spans.np.array([len(text)]), columns).consistency()
     assert time.process_time() - at < 4 and len(counts) == 3  # plain loops over characters take 8 s or more
+
+
+def test_parts_of_texts_split_as_the_whole(ranks):
+    r = random.Random(8)
+    for _ in range(30):
+        words = {"".join(r.choice("abé漢 ") for _ in range(r.randrange(1, 5))): (i, r.randrange(50), r.choice([0, 1, 5, 900])) for i in range(12)}
+        trie = subwords.Trie([subwords.Entry(t, *x) for t, x in words.items()])
+        for _ in range(30):
+            text = "".join(r.choice("abé漢x \U0001f600") for _ in range(r.randrange(0, 40)))
+            assert "".join(trie.parts(text)) == text and all(trie.parts(text))
+            assert [x for rows in trie.by_part(text, tuple) for x in rows] == list(trie.split(text)) == plain_waterfall(text, words)
+    trie = subwords.Trie([subwords.Entry(t.decode("latin-1"), i, i, 1) for t, i in ranks.items() if max(t) < 128])
+    assert trie.parts("of words, and  more") == ["of", " words", ",", " and", " ", " more"]
+    split, done = trie.split, []
+    trie.split = lambda part: done.append(part) or split(part)
+    assert trie.by_part("one two one two one two", tuple) == [tuple(split(w)) for w in ("one", *[" two", " one"] * 2, " two")]
+    assert len(done) <= 4  # a part that was met is not gone through again
+
+
+def test_ids_of_words_are_those_of_their_merges(ranks):
+    r = random.Random(9)
+    for _ in range(3_000):
+        w = bytes(r.choice(b"abc the\xc3\xa9\xff") for _ in range(r.randrange(0, 100)))
+        assert subwords.merged_ids(w, ranks) == [i for i, _, _ in subwords.merge_steps(w, ranks)[0]]
+
+
+def test_counts_of_tokens_over_whole_documents(spark, ranks):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = Counter(i for x in subwords.capture_merges(docs, ranks, plans._WORDS, "doc_id").collect() for i in x.ids)
+    assert {x.id: x.n for x in subwords.token_counts(docs.repartition(3), ranks, plans._WORDS).collect()} == want
