@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -80,7 +81,7 @@ class _Piece:
         coded = pa.concat_arrays(tokens).dictionary_encode()
         self.values = coded.dictionary
         codes = np.split(coded.indices.to_numpy(), np.cumsum([len(x) for x in tokens])[:-1])
-        size = pc.utf8_length(self.values).to_numpy()
+        size = pc.utf8_length(self.values).to_numpy().astype(np.int32)
         self.rows, self.codes, self.tokens = rows, codes, tokens
         self.cover = [self._cover(r, s, size[c], lengths) for r, s, c in zip(rows, spans, codes)]
         self._find(size)
@@ -89,35 +90,34 @@ class _Piece:
         """Number of the token that covers each character, -1 for none."""
         upto = np.concatenate([[0], np.cumsum(size)])
         if spans is None and (np.diff(upto[rows]) == lengths).all():
-            return np.repeat(np.arange(len(size)), size)
-        out = [np.zeros(0, np.int64)]
+            return np.repeat(np.arange(len(size), dtype=np.int32), size)
+        out = [np.zeros(0, np.int32)]
         for first, last, n in zip(rows[:-1], rows[1:], lengths):
             own = zip(upto[first:last] - upto[first], upto[first + 1 : last + 1] - upto[first]) if spans is None else zip(*(s[first:last] for s in spans))
-            got = np.array(covering([(int(a), int(b)) for a, b in own], int(n)), np.int64)
-            out.append(np.where(got >= 0, got + first, -1))
+            got = np.array(covering([(int(a), int(b)) for a, b in own], int(n)), np.int32)
+            out.append(np.where(got >= 0, got + first, -1).astype(np.int32))
         return np.concatenate(out)
 
     def _find(self, size: np.ndarray) -> None:
         """Places where tokens differ, each text from the left; after one, as many positions as its longest token has characters are passed over.
         Positions that fewer than two tokenizers cover are nothing."""
         length = len(self.cover[0])
-        kinds, covered, longest, seen = np.zeros(length, np.int8), np.zeros(length, np.int8), np.ones(length, np.int64), []
+        kinds, covered, longest, seen = np.zeros(length, np.int8), np.zeros(length, np.int8), np.ones(length, np.int32), []
         for cover, codes in zip(self.cover, self.codes):
-            own = np.where(cover >= 0, np.append(codes, -1)[cover], -1)  # -1 is the last one
+            own = np.append(codes, np.int32(-1))[cover]  # -1 is the last one
             there = own >= 0
             new = there.copy()
             for other in seen:
                 new &= own != other
             kinds += new
             covered += there
-            np.maximum(longest, np.append(size, 0)[own], out=longest)
+            np.maximum(longest, np.append(size, np.int32(0))[own], out=longest)
             seen.append(own)
         differ = (covered > 1) & (kinds > 1)
         before = np.concatenate([[0], np.cumsum(differ)])
         found = np.flatnonzero(differ)
         row = np.searchsorted(self.starts, found, "right") - 1  # texts of no length before it are passed over
-        following = before[np.minimum(found + longest[found], self.ends[row])].tolist()
-        k, taken = 0, []
+        following, k, taken = array("q", before[np.minimum(found + longest[found], self.ends[row])].tobytes()), 0, array("q")
         while k < len(following):
             taken.append(k)
             k = following[k]
